@@ -1,0 +1,5 @@
+STAGES = []
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError
