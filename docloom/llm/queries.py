@@ -3,9 +3,16 @@ returns the columns that its contract names."""
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing, quality, tokens, toxicity
+from .common import new_path
+from .sharding import shard_by_bytes
 from .simhash import simhash_components
 from .suffix import remove_repeats
 
@@ -14,6 +21,22 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@F.pandas_udf("long")
+def _crc32(data: pd.Series) -> pd.Series:
+    return data.map(zlib.crc32, na_action="ignore")
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"),
+    )
+    return shard_by_bytes(docs, 40, "size", ["doc_id"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = remove_repeats(docs, "text", length=200)
@@ -26,6 +49,43 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_path(spark, "token-ids")
+    tokens.write_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read_ids(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", _crc32("ids").alias("ids_crc32"))
+
+
+def op6_mixing_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    out = mixing.mix(docs, "size", mixing.order_key("doc_id"))
+    return out.select(
+        "doc_id",
+        "size",
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        (F.col("size") * F.col("__copies")).alias("taken"),
+    )
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+    return quality.judge(docs).select("doc_id", *(F.col(f"__{x}").alias(x) for x in names))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.col("__offending").alias("offending_sentences"),
+    )
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = simhash_components(docs, k=3, max_bits=2)
@@ -37,8 +97,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op4_token_ids": op4_token_ids,
+    "op6_mixing_target_weights": op6_mixing_target_weights,
+    "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_quality_rules": quality.sql()}
