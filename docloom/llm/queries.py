@@ -9,6 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import mixing, quality, tokens, toxicity
 from .common import new_path
@@ -21,7 +22,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _crc32(data: pd.Series) -> pd.Series:
     return data.map(zlib.crc32, na_action="ignore")
 
