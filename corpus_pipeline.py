@@ -1,16 +1,63 @@
-"""A corpus from documents: toxicity, near copies, repeats, mixture, token ids."""
+"""A training corpus from documents, in five stages.
+
+Each stage takes all that its predecessor kept and returns the columns of documents; the last
+returns token ids. Between stages the rows are written to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.llm import mixing, pieces, simhash, suffix, toxicity
+from docloom.llm.common import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold stay. The labels of the same folder train it."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).filter(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays."""
+    return simhash.keep_one(docs, k=5, similarity=0.8)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes or more that stand elsewhere too are cut out of the texts."""
+    return suffix.clean_texts(docs, length=200)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them, in the order of training."""
+    sized = docs.withColumn("__words", mixing.word_count(F.col("text")))
+    mixed = mixing.mix(sized, "__words", mixing.order_key("doc_id"))
+    return mixing.train_order(mixed, "__words", docs.columns).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, little-endian unsigned 32-bit, of each document taken."""
+    out = pieces.encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    n_tokens = (F.octet_length("__ids") / 4).cast("long")
+    return out.select("doc_id", "source", n_tokens.alias("n_tokens"), F.col("__ids").alias("ids"))
 
-from docloom.llm import pipeline_stages as stages
 
-STAGES = stages.STAGES
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("source mixture", mix_sources),
+    ("sentencepiece ids", encode),
+]
 
-ORACLE_SQL = None  # no stage but the mixture can be said in SQL; tests compare with brute force
+ORACLE_SQL = None  # most stages can't be said in SQL; tests hold each against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written to the shared folder and read again."""
-    return stages.run(spark, sf_dir)
+    """The stages in order, applied to the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

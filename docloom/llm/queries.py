@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from . import mixing, quality, tokens, toxicity
+from . import mixing, pieces, quality, tokens, toxicity
 from .common import new_path
 from .sharding import shard_by_bytes
 from .simhash import simhash_components
@@ -50,6 +50,21 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select("doc_id", "text", F.sha2(F.regexp_replace(text, pieces.BLANK, " ").cast("binary"), 256).alias("want"))
+    ids = pieces.encode_texts(docs, model).select("doc_id", "want", "__ids")
+    return pieces.decode_ids(ids, model).select(
+        "doc_id",
+        (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"),
+        _crc32("__ids").alias("ids_crc32"),
+        F.length("__decoded").cast("long").alias("decoded_chars"),
+        (F.sha2(F.col("__decoded").cast("binary"), 256) == F.col("want")).alias("round_trip"),
+    )
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     path = new_path(spark, "token-ids")
@@ -100,6 +115,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_token_ids": op4_token_ids,
     "op6_mixing_target_weights": op6_mixing_target_weights,
     "op7_quality_rules": op7_quality_rules,

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 TRAIN_ROWS = 12_000
 MAX_FEATURES = 20_000
-MIN_DOCS = 6
+MIN_DOCS = 5
 THRESHOLD = 0.3
 CACHE_WORDS = 300_000
 
@@ -80,7 +80,7 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(bag_sizes, sentence_sizes, col, labels, n_features: int, steps: int = 250, rate: float = 0.15, l2: float = 2e-5):
+def fit(bag_sizes, sentence_sizes, col, labels, n_features: int, steps: int = 400, rate: float = 0.15, l2: float = 2e-6):
     """Weights and bias of the noisy-or by Adam. bag_sizes: sentences of each document;
     sentence_sizes: features of each sentence; col: the features' numbers."""
     n_bags, n_flat = len(bag_sizes), len(sentence_sizes)
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .agg(F.count("*").alias("d"), F.sum("y").alias("k"))
         .filter(F.col("d") >= MIN_DOCS)
         .withColumn("chi", (F.col("k") - F.col("d") * share) ** 2 / (F.col("d") * share * (1 - share)))
-        .filter("chi > 8")
+        .filter("chi > 30")
         .orderBy(F.desc("chi"), "f")
         .limit(MAX_FEATURES)
         .select("f")
@@ -175,7 +175,7 @@ def score_text(text: str | None, model: Model, words: _Words) -> tuple[float, li
             bad.append(i)
         if z > -30:
             log_clean -= math.log1p(math.exp(z)) if z < 30 else z
-    return -math.expm1(log_clean), bad
+    return abs(math.expm1(log_clean)), bad
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
