@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from . import mixing, pieces, quality, tokens, toxicity
+from . import chat, embeddings, mixing, pieces, quality, tokens, toxicity
 from .common import new_path
 from .sharding import shard_by_bytes
 from .simhash import simhash_components
@@ -72,6 +72,11 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_ids(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", _crc32("ids").alias("ids_crc32"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embeddings.near_vectors(rows, least=0.98).withColumnRenamed("id", "vec_id")
+
+
 def op6_mixing_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     out = mixing.mix(docs, "size", mixing.order_key("doc_id"))
@@ -112,15 +117,26 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = f"{chat.END}{chat.START}assistant ok"
+    fixture = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], turns.schema)
+    path = new_path(spark, "chat")
+    chat.windows(turns.unionByName(fixture)).write.parquet(path)
+    return chat.read_back(spark.read.parquet(path))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_ids": op4_token_ids,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_mixing_target_weights": op6_mixing_target_weights,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL = {"op7_quality_rules": quality.sql()}
