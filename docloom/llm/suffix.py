@@ -39,7 +39,8 @@ from .common import materialize, text_bytes
 
 GRAM = 32
 WIDTHS = (32, 4, 1)
-PIECE = 1 << 22  # bytes of text that are named at a time
+OUT_ROWS = 500  # texts that are cut at a time
+PIECE = 1 << 20  # bytes of text that are named at a time
 BROADCAST_KEYS = 1_000_000  # keys are sent to all executors up to this many, joined beyond
 POSITION = np.uint64((1 << 24) - 1)
 
@@ -110,32 +111,33 @@ def _pieces(text: bytes, length: int):
 def _anchors(length: int):
     def run(batches):
         seen: set[int] = set()  # a text is named once in a task
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            part: list[tuple[int, int, bytes]] = []
-            room = 0
-
-            def flush():
-                no, first, count, reach, anchor, name = contexts([x[2] for x in part], length)
-                key = np.array([x[0] for x in part], np.int64)[no]
-                base = np.array([x[1] for x in part], np.int64)[no]
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (anchor, name, key, first + base, count.astype(np.int32), reach.astype(np.int32))],
-                    names=["g", "c", "t", "lo", "n", "reach"],
-                )
+        part: list[tuple[int, int, bytes]] = []
+        room = 0
+
+        def flush():
+            no, first, count, reach, anchor, name = contexts([x[2] for x in part], length)
+            key = np.array([x[0] for x in part], np.int64)[no]
+            base = np.array([x[1] for x in part], np.int64)[no]
+            part.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (anchor, name, key, first + base, count.astype(np.int32), reach.astype(np.int32))],
+                names=["g", "c", "t", "lo", "n", "reach"],
+            )
 
-            for key, text in zip(keys, texts):
-                if len(text) < length or key in seen:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, text = batch.column(0)[i].as_py(), batch.column(1)[i]
+                if key in seen:
                     continue
                 seen.add(key)
-                for base, piece in _pieces(text, length):
+                for base, piece in _pieces(text.as_py(), length):
                     part.append((key, base, piece))
                     room += len(piece)
                     if room >= PIECE:
                         yield flush()
-                        part, room = [], 0
-            if part:
-                yield flush()
+                        room = 0
+        if part:
+            yield flush()
 
     return run
 
@@ -237,17 +239,23 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     )
 
 
-def removed_runs(size: int, windows: list[tuple[int, int]] | None, whole: bool, length: int) -> list[tuple[int, int]]:
+def removed_runs(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs [begin, end) of bytes to remove, from runs of window starts."""
+    order = np.argsort(first, kind="stable")
+    first, upto = first[order], np.maximum.accumulate(last[order] + length)
+    begins = np.flatnonzero(np.r_[True, first[1:] > upto[:-1]])
+    return first[begins], upto[np.r_[begins[1:] - 1, len(first) - 1]]
+
+
+def _cut(text: bytes, first: np.ndarray, last: np.ndarray, whole: bool, length: int) -> tuple[bytes, int]:
+    """What remains of a text, and how many runs were removed."""
     if whole:
-        return [(0, size)] if size else []
-    out: list[tuple[int, int]] = []
-    for first, last in sorted(windows or ()):
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], last + length))
-        else:
-            out.append((first, last + length))
-    return out
+        return b"", min(1, len(text))
+    if not len(first):
+        return text, 0
+    begin, end = removed_runs(first, last, length)
+    parts = [text[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(text)])]
+    return b"".join(parts), len(begin)
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200) -> DataFrame:
@@ -272,28 +280,30 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200) ->
         both = hit.unionByName(miss)
     else:
         both = tagged.join(found, "__t", "left")
-    keep = [c for c in df.columns]
+    keep = df.columns
     schema = df.limit(0).select(
         *keep, F.lit(b"").alias("__kept"), *(F.lit(0).cast("long").alias(c) for c in ("__n_bytes", "__n_removed", "__n_spans"))
     ).schema
 
     def run(batches):
-        for batch in batches:
-            n = len(keep)
-            kept, counts = [], []
-            for text, windows, whole in zip(*(batch.column(i).to_pylist() for i in (n, n + 1, n + 2))):
-                gone = removed_runs(len(text), [(w["first"], w["last"]) for w in windows or ()], bool(whole), length)
-                parts, at = [], 0
-                for a, b in gone:
-                    parts.append(text[at:a])
-                    at = b
-                kept.append(b"".join([*parts, text[at:]]))
-                counts.append((len(text), len(text) - len(kept[-1]), len(gone)))
-            counts = np.array(counts, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n], pa.array(kept, pa.binary()), *(pa.array(counts[:, i]) for i in range(3))],
-                names=schema.names,
-            )
+        n = len(keep)
+        for big in batches:
+            for at in range(0, big.num_rows, OUT_ROWS):
+                batch = big.slice(at, OUT_ROWS)
+                windows = batch.column(n + 1)
+                span = windows.offsets.to_numpy().tolist()
+                first, last = (windows.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                kept, counts = [], []
+                for i, whole in enumerate(batch.column(n + 2).to_pylist()):
+                    text, own = batch.column(n)[i].as_py(), slice(span[i], span[i + 1])
+                    left, runs = _cut(text, first[own], last[own], bool(whole), length)
+                    kept.append(left)
+                    counts.append((len(text), len(text) - len(left), runs))
+                counts = np.array(counts, np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:n], pa.array(kept, pa.binary()), *(pa.array(counts[:, i]) for i in range(3))],
+                    names=schema.names,
+                )
 
     return both.select(*keep, "__text", "__windows", "__whole").mapInArrow(run, schema)
 
