@@ -1,7 +1,688 @@
-"""All registered queries of the library and their SQL."""
+"""All registered queries of the library, with their SQL.
+
+Each reads the given tables in whole. Where a table lacks what an operator needs, an adapter says
+what stands in: documents' lines for paragraphs, benchmark items for questions, their sentences for
+generated wordings, conversations for answers and calls, orders for metadata, events for
+recognised tokens.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import fixed as X
+from ..functions import text as T
+from ..operators import chunking, context, elements, embed, evaluation, filters, hooks, rerank, retrieval, routing
+from ..sources import files, ocr
+from . import sql as S
+
+SIZE, OVERLAP = 1000, 150
+TOP_K = 5
+DEPTH = max(TOP_K, 8)
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "mock_answer"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- adapters -----------------------------------------------------------------------------
+
+
+def _chunks(spark, d):
+    return chunking.fixed_size(_t(spark, d, "documents"), SIZE, OVERLAP)
+
+
+def _questions(spark, d):
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.lit(0).alias("query_idx"), "text")
+
+
+def _wordings(spark, d):
+    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?؟])\s+"), T.strip), lambda s: s != "")
+    base = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text", F.slice(parts, 1, 3).alias("generated"))
+    return retrieval.wordings(base, "generated")
+
+
+def _paragraphs(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return elements.text_elements(docs)
+
+
+def _headed(spark, d):
+    """Every fifth line is a heading of levels 1, 2, 3 in turn."""
+    n = F.floor(F.col("pos") / 5)
+    head = F.col("pos") % 5 == 0
+    return (
+        _paragraphs(spark, d)
+        .withColumn("type", F.when(head, "heading").otherwise("paragraph"))
+        .withColumn("level", F.when(head, (n % 3 + 1).cast("int")))
+        .withColumn("page", (F.floor(F.col("pos") / 12) + 1).cast("int"))
+    )
+
+
+_HEADED = f"""
+docs as (select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from documents),
+lines as (select doc_id, unnest(string_split_regex(text, '\\n\\s*\\n')) as raw, generate_subscripts(string_split_regex(text, '\\n\\s*\\n'), 1) as ln from docs),
+para as (select doc_id, row_number() over (partition by doc_id order by ln) - 1 as pos, {S.strip('raw')} as text from lines where {S.strip('raw')} <> ''),
+headed as (select doc_id, pos, text, case when pos % 5 = 0 then 'heading' else 'paragraph' end as type,
+  case when pos % 5 = 0 then (pos // 5) % 3 + 1 end as level, pos // 12 + 1 as page from para)"""
+
+
+def _order_tables(spark, d):
+    """A table for each customer: orders as rows below a header."""
+    orders = _t(spark, d, "orders")
+    row = F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" ")))
+    rows = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row")))).alias("r"))
+    head = F.array(F.array(F.lit("order"), F.lit("status"), F.lit("priority"), F.lit("")))
+    return rows.select("o_custkey", F.concat(head, F.transform("r", lambda x: x["row"])).alias("rows"))
+
+
+# --- sources and elements -----------------------------------------------------------------
+
+
+@query(f"with {_HEADED} select doc_id, pos::bigint as pos, 'paragraph' as type, text from para")
+def text_elements(spark, d):
+    return _paragraphs(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), "type", "text")
+
+
+@query(
+    f"with {_HEADED}, r as (select doc_id, pos, case when type = 'heading' then repeat('#', level::int) || ' ' || text else text end as t from headed) "
+    "select doc_id, md5(string_agg(t, chr(10) || chr(10) order by pos)) as text_md5, sum(length(t))::bigint + 2 * (count(*) - 1) as n_chars from r group by 1"
+)
+def full_text_render(spark, d):
+    full = elements.full_text(_headed(spark, d))
+    return full.select("doc_id", F.md5(F.col("full_text").cast("binary")).alias("text_md5"), F.length("full_text").cast("long").alias("n_chars"))
+
+
+@query(
+    f"with {_HEADED}, h as (select doc_id, pos, type, text, {', '.join(f'''max(case when type = 'heading' and level = {k} then pos end) over o as p{k}''' for k in (1, 2, 3))} "
+    "from headed window o as (partition by doc_id order by pos rows unbounded preceding)) "
+    "select h.doc_id, h.pos::bigint as pos, concat_ws(' > ', a.text, case when h.p2 > coalesce(h.p1, -1) then b.text end, "
+    "case when h.p3 > coalesce(h.p1, -1) and h.p3 > coalesce(h.p2, -1) then c.text end) as section from h "
+    "left join headed a on a.doc_id = h.doc_id and a.pos = h.p1 left join headed b on b.doc_id = h.doc_id and b.pos = h.p2 "
+    "left join headed c on c.doc_id = h.doc_id and c.pos = h.p3 where h.type <> 'heading'"
+)
+def section_paths(spark, d):
+    return elements.section_paths(_headed(spark, d), 3).select("doc_id", F.col("pos").cast("long").alias("pos"), "section")
+
+
+@query()
+def markdown_elements(spark, d):
+    """Documents as Markdown: every fifth line a heading, each with a table of its words' first cells."""
+    marked = F.array_join(
+        F.transform(
+            F.split("text", "\n"),
+            lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("## "), x)).when(i % 7 == 3, F.concat(F.lit("| a | b |\n|---|---|\n| "), F.substring(x, 1, 20), F.lit(" | c |"))).otherwise(x),
+        ),
+        "\n",
+    )
+    out = elements.markdown_elements(_t(spark, d, "documents").select("doc_id", marked.alias("text")))
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "type", "text", "level", "table")
+
+
+@query()
+def html_elements(spark, d):
+    pages = _t(spark, d, "pages").select(
+        F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("path"), F.lit("html").alias("format"), F.col("html").cast("binary").alias("content")
+    )
+    return files.parsed(pages).select("doc_id", "pos", "type", "text", "level", "table", "_error")
+
+
+@query(
+    "with r as (select o_custkey, '| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |  |' as line, o_orderkey from orders) "
+    "select o_custkey, '**Table: orders**' || chr(10) || chr(10) || '| order | status | priority |  |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || "
+    "string_agg(line, chr(10) order by o_orderkey) as markdown from r group by 1"
+)
+def markdown_table_render(spark, d):
+    return _order_tables(spark, d).select("o_custkey", T.table_markdown(F.col("rows"), F.lit("orders")).alias("markdown"))
+
+
+@query()
+def table_pieces(spark, d):
+    tables = _order_tables(spark, d).select("o_custkey", T.table_markdown(F.col("rows")).alias("md"))
+    pieces = chunking.table_splitter(300)(F.col("md"), F.lit("orders"))
+    return tables.select("o_custkey", F.posexplode(pieces).alias("piece", "text"))
+
+
+_OCR = f"""
+tok as (select user_id as page, event_id // 1000 as block, event_id % 9 as line, event_id as word, case when event_id % 4 = 0 then substr(event_type, 1, 4) else event_type end as t, value as conf from events)"""
+
+
+def _ocr_tokens(spark, d):
+    word = F.when(F.col("event_id") % 4 == 0, F.substring("event_type", 1, 4)).otherwise(F.col("event_type"))
+    return _t(spark, d, "events").select(
+        F.lit(0).alias("doc_id"),
+        F.col("user_id").alias("page"),
+        F.floor(F.col("event_id") / 1000).alias("block_num"),
+        F.lit(0).alias("par_num"),
+        (F.col("event_id") % 9).alias("line_num"),
+        F.col("event_id").alias("word_num"),
+        word.alias("text"),
+        F.col("value").cast("string").alias("conf"),
+    )
+
+
+_OCR_TEXT = f"""{_OCR},
+good as (select * from tok where not (conf < 20 and length(t) <= 4)),
+ln as (select page, block, line, string_agg(t, ' ' order by word) as s from good group by 1, 2, 3),
+dedup as (select page, block, line, s from (select *, lag(s) over (partition by page order by block, line) as p from ln) where p is distinct from s),
+pg as (select page, string_agg(s, chr(10) order by block, line) as text from dedup group by 1)"""
+
+
+@query(f"with {_OCR_TEXT} select page, text from pg")
+def ocr_lines(spark, d):
+    return ocr.page_text(_ocr_tokens(spark, d)).select("page", "text")
+
+
+@query(
+    f"with {_OCR_TEXT}, st as (select page, round_even(avg(conf), 6) as mean_conf, sum((conf < 25 and length(t) <= 4)::int)::bigint as low_count, count(*) as token_count from tok group by 1) "
+    "select page, mean_conf, low_count, token_count, (length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) < 20 or mean_conf < 18) as weak from st left join pg using (page)"
+)
+def ocr_page_quality(spark, d):
+    tokens = _ocr_tokens(spark, d)
+    both = ocr.page_stats(tokens).join(ocr.page_text(tokens), ["doc_id", "page"], "left")
+    weak = ocr.is_weak(F.coalesce("text", F.lit("")), F.col("mean_conf"), F.col("token_count"))
+    return both.select("page", "mean_conf", "low_count", "token_count", weak.alias("weak"))
+
+
+# --- chunks -------------------------------------------------------------------------------
+
+
+@query(f"with {S.chunks(SIZE, OVERLAP)} select doc_id, position::bigint as position, chunk_id, text, char_start::bigint as char_start, char_end::bigint as char_end from chunks")
+def fixed_size_chunks(spark, d):
+    n = lambda c: F.col(c).cast("long").alias(c)
+    return _chunks(spark, d).select("doc_id", n("position"), "chunk_id", "text", n("char_start"), n("char_end"))
+
+
+@query(
+    f"with {S.chunks(SIZE, OVERLAP)} select doc_id, count(*) as n_chunks, min(length(text))::bigint as shortest, max(length(text))::bigint as longest, sum(length(text))::bigint as total from chunks group by 1"
+)
+def fixed_size_stats(spark, d):
+    n = F.length("text").cast("long")
+    return _chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.sum(n).alias("total"))
+
+
+@query()
+def recursive_chunks(spark, d):
+    return chunking.recursive(_paragraphs(spark, d))
+
+
+@query()
+def structural_chunks(spark, d):
+    return chunking.structural(_headed(spark, d))
+
+
+@query()
+def procedure_chunks(spark, d):
+    """Every ninth line starts a procedure."""
+    text = F.when(F.col("pos") % 9 == 4, F.concat(F.lit("Procedure "), F.col("pos").cast("string"), F.lit(": "), F.col("text"))).otherwise(F.col("text"))
+    return chunking.procedures(_paragraphs(spark, d).withColumn("text", text))
+
+
+@query()
+def parent_child_chunks(spark, d):
+    return chunking.parent_child(_paragraphs(spark, d))
+
+
+# --- tokens and vectors -------------------------------------------------------------------
+
+
+@query(f"with toks as ({S.tokens('documents', 'doc_id')}) select doc_id, term, count(*) as tf from toks group by 1, 2")
+def tokens(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+@query(
+    f"with {S.chunks(SIZE, OVERLAP)}, {S.ONE}, {S.bm25(TOP_K)} select term, df, round_even(idf, 6) as idf from terms"
+)
+def term_stats(spark, d):
+    _, terms, _ = retrieval.index(_chunks(spark, d))
+    return terms.select("term", "df", F.bround("idf", 6).alias("idf"))
+
+
+@query(f"with {S.hashed('documents', 'doc_id', 'v')} select doc_id, idx::int as idx, round_even(value, 6) as value from v")
+def hash_embedding(spark, d):
+    vectors = embed.HashingEmbedder().embed(_t(spark, d, "documents"), ["doc_id"], "text")
+    rows = vectors.select("doc_id", F.posexplode("vector").alias("idx", "value")).filter("value <> 0")
+    return rows.select("doc_id", "idx", F.bround("value", 6).alias("value"))
+
+
+def _vectors(spark, d):
+    return _t(spark, d, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+
+
+def _cosine_sql(same: str) -> str:
+    return (
+        "with s as (select a.vec_id as query, b.vec_id as chunk_id, round_even(list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) "
+        f"* list_dot_product(b.embedding::double[], b.embedding::double[])), 6) as score from embeddings a join embeddings b on {same} where a.vec_id % 20 = 0), "
+        "r as (select *, row_number() over (partition by query order by score desc, chunk_id) as rank from s) select query, chunk_id, score, rank::int as rank from r where rank <= 10"
+    )
+
+
+@query(_cosine_sql("true"))
+def cosine_topk(spark, d):
+    rows = _vectors(spark, d)
+    asked = rows.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query"), "vector")
+    return retrieval.cosine_topk(asked, rows, 10).select("query", "chunk_id", "score", "rank")
+
+
+@query(_cosine_sql("a.label = b.label"))
+def cosine_topk_filtered(spark, d):
+    rows = _vectors(spark, d)
+    asked = rows.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query"), "vector", "label")
+    return retrieval.cosine_topk(asked, rows, 10, where="label").select("query", "chunk_id", "score", "rank")
+
+
+# --- retrieval ----------------------------------------------------------------------------
+
+
+def _keyword(spark, d, top_k=40):
+    return retrieval.bm25(_questions(spark, d), _chunks(spark, d), top_k)
+
+
+def _semantic(spark, d, top_k=40):
+    e = embed.HashingEmbedder()
+    key = F.concat_ws(":", "qid", "query_idx").alias("query")
+    asked = e.embed(retrieval.usable(_questions(spark, d), top_k), ["qid", "query_idx"], "text").select(key, "vector")
+    hits = retrieval.cosine_topk(asked, e.embed(_chunks(spark, d), ["chunk_id"], "text"), top_k)
+    part = lambda i: F.split("query", ":")[i]
+    return hits.select(part(0).cast("long").alias("qid"), part(1).cast("int").alias("query_idx"), "chunk_id", "score", "rank")
+
+
+def _hits(df):
+    return df.select("qid", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+_HITS = "select qid, chunk_id, score, rank::int as rank from "
+
+
+@query(f"with {S.chunks(SIZE, OVERLAP)}, {S.ONE}, {S.bm25(10)} {_HITS} hits")
+def bm25_topk(spark, d):
+    return _hits(_keyword(spark, d, 10))
+
+
+@query(f"with {S.chunks(SIZE, OVERLAP)}, {S.ONE}, {S.semantic(10)} {_HITS} sem")
+def hash_semantic_topk(spark, d):
+    return _hits(_semantic(spark, d, 10))
+
+
+_FUSION = f"with {S.chunks(SIZE, OVERLAP)}, {S.ONE}, {S.semantic(40)}, {S.bm25(40)}"
+_FUSED = "select qid, chunk_id, score, semantic_rank::int as semantic_rank, keyword_rank::int as keyword_rank, rank::int as rank from ordered"
+
+
+def _fused(df):
+    n = lambda c: F.col(c).cast("int").alias(c)
+    return df.select("qid", "chunk_id", "score", n("semantic_rank"), n("keyword_rank"), n("rank"))
+
+
+@query(f"{_FUSION}, {S.RRF}, {S.ORDERED} {_FUSED}")
+def rrf_fusion(spark, d):
+    return _fused(retrieval.rrf(_semantic(spark, d), _keyword(spark, d)))
+
+
+@query(f"{_FUSION}, {S.WEIGHTED}, {S.ORDERED} {_FUSED}")
+def weighted_fusion(spark, d):
+    return _fused(retrieval.weighted(_semantic(spark, d), _keyword(spark, d), alpha=0.4))
+
+
+@query(f"{_FUSION}, {S.RRF}, {S.ORDERED} {_FUSED} where rank <= {TOP_K}")
+def hybrid_topk(spark, d):
+    return _fused(retrieval.hybrid(_semantic(spark, d), _keyword(spark, d), TOP_K))
+
+
+@query(
+    f"{_FUSION}, {S.RRF}, {S.ORDERED}, good as (select o.*, row_number() over (partition by qid, query_idx order by rank) as r2 from ordered o join chunks c using (chunk_id) "
+    "join labels l on l.doc_id = c.doc_id where l.quality = 1) select qid, chunk_id, score, semantic_rank::int as semantic_rank, keyword_rank::int as keyword_rank, r2::int as rank from good where r2 <= 5"
+)
+def hybrid_postfilter(spark, d):
+    """Only chunks of documents of quality 1, after fusion; a question may keep fewer than five."""
+    fused = retrieval.rrf(_semantic(spark, d), _keyword(spark, d))
+    of = _chunks(spark, d).select("chunk_id", "doc_id").join(_t(spark, d, "labels").filter("quality = 1"), "doc_id")
+    kept = fused.join(of.select("chunk_id"), "chunk_id", "left_semi")
+    order = Window.partitionBy("qid", "query_idx").orderBy("rank")
+    return _fused(kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP_K))
+
+
+def _metadata_orders(spark, d):
+    date = F.date_format("o_orderdate", "yyyy-MM-dd")
+    meta = F.create_map(
+        F.lit("Issue_Date"), date, F.lit("department"), F.col("o_orderpriority"), F.lit("section"), F.concat(F.lit("S-"), F.col("o_orderstatus")),
+        F.lit("issue_year"), F.when(F.col("o_orderkey") % 3 != 0, F.year("o_orderdate").cast("string")),
+    )
+    return _t(spark, d, "orders").select("o_orderkey", F.map_filter(meta, lambda k, v: v.isNotNull()).alias("metadata"), "o_orderstatus", "o_orderpriority")
+
+
+@query("select o_orderkey from orders where contains(lower(o_orderpriority), 'urgent') and o_orderstatus = 'O' and year(o_orderdate) > 1996")
+def metadata_filter_store(spark, d):
+    rows = _metadata_orders(spark, d)
+    return rows.filter(filters.store_filter(F.col("metadata"), {"department": "URGENT", "section": "s-o", "year_gt": 1996})).select("o_orderkey")
+
+
+@query("select o_orderkey from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderkey % 3 <> 0 and year(o_orderdate) = 1997")
+def metadata_filter_keyword(spark, d):
+    rows = _metadata_orders(spark, d)
+    wanted = {"department": ["1-URGENT", "2-HIGH"], "issue_year": "1997", "year_gt": 1990}
+    return rows.filter(filters.keyword_filter(F.col("metadata"), wanted)).select("o_orderkey")
+
+
+@query("select o_orderkey from orders where contains(lower(o_orderstatus), 'f') and year(o_orderdate) = 1998 and contains(lower(o_orderpriority), 'low')")
+def metadata_filter_engine(spark, d):
+    rows = _metadata_orders(spark, d).withColumn("metadata", F.map_filter("metadata", lambda k, _: k != "section"))
+    wanted = {"section": "F", "issue_year": 1998, "document": "low", "year_gt": 1997}
+    keep = filters.engine_filter(F.col("metadata"), wanted, F.col("o_orderstatus"), F.col("o_orderpriority"), F.lit(""))
+    return rows.filter(keep).select("o_orderkey")
+
+
+_MANY = f"with {S.chunks(SIZE, OVERLAP)}, {S.MANY}, {S.bm25(DEPTH)}, {S.MERGED}"
+
+
+def _many_hits(spark, d):
+    return retrieval.bm25(_wordings(spark, d), _chunks(spark, d), DEPTH)
+
+
+def _listed(c, kind="string"):
+    return F.array_join(F.transform(c, lambda x: x.cast(kind)), ",")
+
+
+@query(
+    f"{_MANY} select qid, chunk_id, score, best_query::int as best_query, array_to_string(list_distinct(qs).list_sort(), ',') as queries, len(ss)::int as n_scores, rank::int as rank from merged"
+)
+def multi_query_merge(spark, d):
+    rows = retrieval.merge(_many_hits(spark, d))
+    return rows.select("qid", "chunk_id", "score", F.col("best_query").cast("int").alias("best_query"), _listed("queries").alias("queries"), F.size("scores").alias("n_scores"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(
+    f"{_MANY}, sub as (select m.*, len(list_filter(qs, lambda x: x > 0)) as n_sub from merged m) select qid, chunk_id, score, len(ss)::int + 1 as n_scores, n_sub::int as n_sub, rank::int as rank from sub"
+)
+def decomposed_merge(spark, d):
+    """The sentences are the sub-questions; their hits and the question's are merged as lists are."""
+    rows = retrieval.merge(_many_hits(spark, d), listed=True)
+    return rows.select("qid", "chunk_id", "score", F.size("scores").alias("n_scores"), F.size(F.filter("queries", lambda x: x > 0)).alias("n_sub"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(
+    f"{_MANY} select h.qid, h.query_idx::int as query_idx, count(*) as result_count, string_agg(case when h.rank <= 5 then h.chunk_id end, ',' order by h.rank) as top_chunks, "
+    "sum(case when h.rank <= 5 then length(substr(c.text, 1, 500)) end)::bigint as preview_chars from hits h join chunks c using (chunk_id) group by 1, 2"
+)
+def query_stats(spark, d):
+    rows = retrieval.query_stats(_many_hits(spark, d), _chunks(spark, d))
+    chars = F.aggregate(F.transform("previews", F.length), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("qid", F.col("query_idx").cast("int").alias("query_idx"), "result_count", F.array_join("top_chunks", ",").alias("top_chunks"), chars.alias("preview_chars"))
+
+
+# --- rerank, confidence, correction, compression ------------------------------------------
+
+
+def _candidates(spark, d):
+    asked = _wordings(spark, d).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("query_idx", "text"))).alias("w"))
+    hits = retrieval.merge(_many_hits(spark, d)).filter(F.col("rank") <= rerank.CANDIDATES)
+    rows = hits.join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(asked, "qid")
+    found = F.transform("queries", lambda i: F.filter("w", lambda x: x["query_idx"] == i)[0]["text"])
+    return rows.withColumns(
+        {"variants": rerank.variants(F.col("w")[0]["text"], found), "n_found": F.size("queries"), "chunk_type": F.lit("text")}
+    )
+
+
+_FEAT = f"{_MANY}, {S.features()}"
+_FEATURES = "qid, chunk_id, pair, lexical, formula_bonus, keyword_bonus, phrase_bonus, multi_bonus, retrieval, new_score"
+
+
+@query(f"{_FEAT} select {_FEATURES}, md5(best_query) as best_query from scored2")
+def rerank_features(spark, d):
+    rows = rerank.features(_candidates(spark, d))
+    return rows.select(*_FEATURES.split(", "), F.md5(F.col("best_query").cast("binary")).alias("best_query"))
+
+
+@query(f"{_FEAT} select qid, chunk_id, new_score, new_rank::int as new_rank from reranked")
+def rerank_topk(spark, d):
+    return rerank.rerank(_candidates(spark, d), TOP_K).select("qid", "chunk_id", "new_score", F.col("new_rank").cast("int").alias("new_rank"))
+
+
+_CONF = f"""{_FEAT},
+f as (select qid, count(*) as n, max(case when new_rank = 1 then pair end) as top, max(case when new_rank = 2 then pair end) as second, avg(case when new_rank <= 3 then pair end) as av,
+  sum(({S.any_of('text', X.EVIDENCE_TERMS)})::int) as forms from reranked group by 1),
+g as (select qid, n, top, av, forms, case when second is null then top else greatest(0.0, top - second) end as margin from f),
+h as (select *, round(greatest(0.0, least(1.0, 0.55 * top + 0.35 * av + 0.1 * least(1.0, margin * 5))), 9) as raw from g)"""
+
+
+@query(
+    f"{_CONF} select i.item_id as qid, coalesce(round_even(raw, 3), 0.0) as confidence, case when raw >= 0.8 then 'Very High' when raw >= 0.65 then 'High' when raw >= 0.45 then 'Medium' when raw >= 0.25 then 'Low' else 'Very Low' end as label, "
+    "coalesce(round_even(top, 3), 0.0) as top_score, coalesce(round_even(av, 3), 0.0) as average_top_score, coalesce(round_even(margin, 3), 0.0) as margin, coalesce(round_even(least(1.0, forms / 2), 3), 0.0) as formula_evidence, least(5, coalesce(n, 0))::int as evidence_count "
+    "from benchmark i left join h on h.qid = i.item_id"
+)
+def confidence(spark, d):
+    rows = rerank.confidence(_questions(spark, d), rerank.rerank(_candidates(spark, d), TOP_K))
+    return rows.select("qid", "confidence", "label", "top_score", "average_top_score", "margin", "formula_evidence", "evidence_count")
+
+
+@query(
+    f"{_FEAT}, m as (select qid, round(avg(pair), 9) as mean from reranked group by 1) select i.item_id as qid, case when coalesce(mean, 0) < 0.4 then 'not_relevant' when mean < 0.55 then 'uncertain' else 'relevant' end as decision, "
+    "case when coalesce(mean, 0) < 0.55 then 'rewrite' else 'keep' end as action, coalesce(round_even(mean, 3), 0.0) as score from benchmark i left join m on m.qid = i.item_id"
+)
+def corrective_check(spark, d):
+    rows = rerank.corrective_check(_questions(spark, d), rerank.rerank(_candidates(spark, d), TOP_K))
+    return rows.select("qid", "decision", "action", "score")
+
+
+def _five(spark, d):
+    chunks = _chunks(spark, d)
+    hits = retrieval.bm25(_questions(spark, d), chunks, TOP_K).drop("query_idx")
+    rows = hits.join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
+    return rows.withColumns(
+        {
+            "chunk_type": F.lit("text"),
+            "source": F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")),
+            "page": F.lit(None).cast("int"),
+            "section": F.lit(None).cast("string"),
+        }
+    )
+
+
+_ONE = f"with {S.chunks(SIZE, OVERLAP)}, {S.ONE}, {S.bm25(TOP_K)}"
+_COMPRESSED = f"""{_ONE},
+hc as (select h.qid, h.chunk_id, c.text, q.text as question from hits h join chunks c using (chunk_id) join questions q on q.qid = h.qid),
+parts as (select qid, chunk_id, text, question, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?؟])\\s+|\\n', '\\1' || chr(1), 'g'), chr(1)), lambda s: {S.strip('s')}), lambda s: s <> '')) as s,
+  generate_subscripts(list_filter(list_transform(string_split(regexp_replace(text, '([.!?؟])\\s+|\\n', '\\1' || chr(1), 'g'), chr(1)), lambda s: {S.strip('s')}), lambda s: s <> ''), 1) as i from hc),
+mark as (select *, len(list_intersect({S.words('s')}, {S.words('question')})) > 0 as hit from parts),
+near as (select *, hit or coalesce(lag(hit) over w, false) or coalesce(lead(hit) over w, false) as keep from mark window w as (partition by qid, chunk_id order by i)),
+short as (select qid, chunk_id, string_agg(s, ' ' order by i) as short from near where keep group by 1, 2),
+comp as (select hc.qid, hc.chunk_id, hc.text, coalesce(short, hc.text) as compressed from hc left join short using (qid, chunk_id))"""
+
+
+def _compressed(spark, d):
+    asked = _questions(spark, d).select("qid", F.array("text").alias("queries"))
+    return rerank.compress(_five(spark, d).join(asked, "qid"))
+
+
+@query(f"{_COMPRESSED} select qid, chunk_id, compressed from comp")
+def compress_context(spark, d):
+    return _compressed(spark, d).select("qid", "chunk_id", "compressed")
+
+
+@query(f"{_COMPRESSED} select qid, sum(length(text))::bigint as chars_before, sum(length(compressed))::bigint as chars_after, sum(length(text) - length(compressed))::bigint as chars_removed from comp group by 1")
+def compression_stats(spark, d):
+    return rerank.compression_stats(_compressed(spark, d))
+
+
+# --- context and answers ------------------------------------------------------------------
+
+_BUDGET = 3000
+
+
+def _contexts(spark, d, budget=_BUDGET):
+    q = _questions(spark, d)
+    return q.select("qid", F.col("text").alias("question")).join(context.build(q, _five(spark, d), budget), "qid")
+
+
+_CTX = f"{_ONE}, {S.BLOCKS.format(budget=_BUDGET)}, asked_q as (select item_id as qid, text as question, coalesce(context, '') as context, coalesce(n_sources, 0) as n_sources from benchmark left join ctx on ctx.qid = item_id)"
+_PROMPTED = f"{_CTX}, prompted as (select *, {S.prompt('question', 'context')} as prompt from asked_q)"
+
+
+@query(f"{_CTX} select qid, index::int as index, chunk_id, block from taken")
+def context_blocks(spark, d):
+    return context.blocks(_five(spark, d), _BUDGET).select("qid", F.col("index").cast("int").alias("index"), "chunk_id", "block")
+
+
+@query(f"{_PROMPTED} select qid, 1 as n_messages, md5(prompt) as prompt_md5, length(prompt)::bigint as prompt_chars, n_sources::int as n_sources from prompted")
+def prompt_messages(spark, d):
+    rows = context.messages(_contexts(spark, d))
+    last = F.element_at("messages", -1)["content"]
+    n = F.when(F.col("sources").isNull(), 0).otherwise(F.size("sources"))
+    return rows.select("qid", F.size("messages").alias("n_messages"), F.md5(last.cast("binary")).alias("prompt_md5"), F.length(last).cast("long").alias("prompt_chars"), n.alias("n_sources"))
+
+
+@query(
+    f"{_PROMPTED}, e as (select *, {S.strip('context')} as c from prompted) select qid, question, case when c <> '' then {S.q(X.MOCK_PREFIX)} || substr(c, 1, 500) else {S.q(X.NOT_FOUND)} end || {S.q(X.MOCK_SUFFIX)} as answer, (length(prompt) // 4)::bigint as input_tokens from e"
+)
+def mock_answer(spark, d):
+    """Questions to answers: chunks, BM25, context, prompt, the stand-in model."""
+    rows = _contexts(spark, d).withColumn("prompt", context.prompt(F.col("question"), F.col("context")))
+    rows = hooks.MockLLM().generate(rows, "", "prompt", "answer")
+    used, _ = hooks.mock_usage(F.col("prompt"), F.col("answer"))
+    return rows.select("qid", "question", "answer", used.alias("input_tokens"))
+
+
+# --- routes -------------------------------------------------------------------------------
+
+
+def _asked(spark, d):
+    users = _t(spark, d, "conversations").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("qid"), F.coalesce("text", F.lit("")).alias("question"))
+    items = _t(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("qid"), F.col("text").alias("question"))
+    return users.union(items)
+
+
+_ASKED = "with asked as (select conv_id || ':' || turn as qid, coalesce(text, '') as question from conversations where role = 'user' union all select 'b' || item_id, text from benchmark)"
+
+
+@query(
+    f"{_ASKED}, n as (select qid, regexp_replace({S.strip('question')}, '\\s+', ' ', 'g') as x from asked), r as (select qid, {S.route_case('x')} as r from n) "
+    "select qid, string_split(r, '|')[1] as route, string_split(r, '|')[2] as techniques from r"
+)
+def route_rules(spark, d):
+    rows = _asked(spark, d).withColumn("r", routing.by_rules(F.col("question")))
+    return rows.select("qid", "r.route", F.array_join("r.techniques", ",").alias("techniques"))
+
+
+@query(f"{_ASKED}, r as (select qid, {S.fallback_case('question')} as r from asked) select qid, string_split(r, '|')[1] as route, string_split(r, '|')[2] as techniques from r")
+def route_fallback(spark, d):
+    rows = _asked(spark, d).withColumn("r", routing.fallback(F.col("question")))
+    return rows.select("qid", "r.route", F.array_join("r.techniques", ",").alias("techniques"))
+
+
+@query("select event_id, case when event_type <> 'error' then (json_extract_string(props, '$.k'))::int end as issue_year, case when event_type in ('view', 'click') then event_type end as section, (case when event_type <> 'error' then 1 else 0 end + (event_type in ('view', 'click'))::int)::int as n from events")
+def self_query_filters(spark, d):
+    """Replies of a filter model made of events: a fence, an unknown field, a year that is no number."""
+    year = F.when(F.col("event_type") == "error", F.lit('"soon"')).otherwise(F.get_json_object("props", "$.k"))
+    section = F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).otherwise("")
+    reply = F.format_string('```json\n{"issue_year": %s, "section": " %s ", "other": 1, "version": null}\n```', year, section)
+    rows = _t(spark, d, "events").select("event_id", routing.filters(reply).alias("f"))
+    return rows.select("event_id", F.col("f")["issue_year"].cast("int").alias("issue_year"), F.col("f")["section"].alias("section"), F.size("f").alias("n"))
+
+
+@query(
+    "with h as (select conv_id, turn, role, text, string_agg(role || ':' || coalesce(text, ''), chr(10)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as s, "
+    "count(*) over (partition by conv_id order by turn) - 1 as n from conversations) select conv_id, turn, text as question, n::int as n_history, md5(coalesce(s, '')) as history_md5 from h where role = 'user'"
+)
+def chat_history(spark, d):
+    rows = context.chat_history(_t(spark, d, "conversations"))
+    text = F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["content"], F.lit("")))), "\n")
+    return rows.select("conv_id", "turn", "question", F.size("history").alias("n_history"), F.md5(text.cast("binary")).alias("history_md5"))
+
+
+# --- evaluation and costs -----------------------------------------------------------------
+
+
+def _pairs(spark, d):
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _t(spark, d, "conversations").withColumns(
+        {"question": F.lag("text").over(order), "asked_by": F.lag("role").over(order), "context": F.lag("text", 2).over(order)}
+    )
+    rows = rows.filter("role = 'assistant' and asked_by = 'user'")
+    return rows.select("conv_id", "turn", "question", F.col("text").alias("answer"), F.coalesce("context", F.lit("")).alias("context"), F.lit("basic_rag").alias("route"), F.col("question").alias("reference"))
+
+
+_QA = f"with {S.PAIRS}, qt as (select *, {S.eval_tokens('question')} as qw, {S.eval_tokens('answer')} as aw, {S.eval_tokens('context')} as cw from qa)"
+_FAITH = f"""{_QA},
+sent as (select conv_id, turn, cw, unnest(string_split(regexp_replace(answer, '([.!?؟])\\s+', '\\1' || chr(1), 'g'), chr(1))) as s from qt where context <> ''),
+sw as (select *, {S.eval_tokens('s')} as w from sent where regexp_matches(s, '[^\\s\\x{{A0}}]')),
+fa as (select conv_id, turn, round_even(round(avg(case when contains(lower(s), '[source') and len(w) > 3 then {S.eval_share('w', 'cw', 0.45)} else {S.eval_share('w', 'cw', 0.55)} end), 9), 3) as f from sw group by 1, 2)"""
+_METRICS = ["context_relevance", "faithfulness", "answer_relevance"]
+
+
+@query(
+    f"{_FAITH} select conv_id, turn, case when context = '' then 0.0 else round_even({S.eval_share('qw', 'cw', 0.45)}, 3) end as context_relevance, "
+    f"case when context = '' then 0.0 else coalesce(f, 0.0) end as faithfulness, round_even({S.eval_share('qw', 'aw', 0.35)}, 3) as answer_relevance from qt left join fa using (conv_id, turn)"
+)
+def eval_metrics(spark, d):
+    return evaluation.evaluate(_pairs(spark, d), ["conv_id", "turn"]).select("conv_id", "turn", *_METRICS)
+
+
+@query(
+    f"{_QA} select conv_id, turn, case when question is null or question = '' then null when len(list_intersect(aw, qw)) > 0 then round_even(round(2 * len(list_intersect(aw, qw)) / (len(aw) + len(qw)), 9), 3) else 0.0 end as correctness from qt"
+)
+def eval_correctness_f1(spark, d):
+    rows = _pairs(spark, d)
+    return rows.select("conv_id", "turn", evaluation.f1(F.col("answer"), F.col("reference")).alias("correctness"))
+
+
+_MODELS = ("qwen3-max", "models/gemini-3.5-flash-lite-001", "qwen-plus", "gemini-2.5-flash-lite", "another")
+_STEPS = ("router", "final_generation", " rewriter ", "evaluation_judge")
+
+
+def _calls(spark, d):
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    quarter = lambda c: F.floor(F.length(F.coalesce(c, F.lit(""))) / 4).cast("long")
+    return _pairs(spark, d).select(
+        "conv_id", "turn", pick(_MODELS, F.col("conv_id")).alias("model"), quarter("question").alias("input_tokens"), quarter("answer").alias("output_tokens"), pick(_STEPS, F.col("turn")).alias("step")
+    )
+
+
+_LIST = lambda names: "[" + ", ".join(map(S.q, names)) + "]"
+_SIM = sorted(X.SIMULATED_PRICES.items(), key=lambda p: -len(p[0]))
+_ACT = list(X.ACTUAL_PRICES.items())
+_COST = f"""with {S.PAIRS},
+calls as (select conv_id, turn, {_LIST(_MODELS)}[conv_id % 5 + 1] as model, (length(coalesce(question, '')) // 4)::bigint as input_tokens, (length(coalesce(answer, '')) // 4)::bigint as output_tokens, {_LIST(_STEPS)}[turn % 4 + 1] as step from qa),
+priced as (select *, case trim(step) when 'router' then 'routing' when 'rewriter' then 'rewriting' else trim(step) end as technique,
+  round_even(input_tokens / 1000000 * {S.price_case('model', _SIM, X.SIMULATED_DEFAULT, 0)} + output_tokens / 1000000 * {S.price_case('model', _SIM, X.SIMULATED_DEFAULT, 1)}, 10) as cost,
+  round_even(input_tokens / 1000000 * {S.price_case('model', _ACT, X.ACTUAL_DEFAULT, 0)} + output_tokens / 1000000 * {S.price_case('model', _ACT, X.ACTUAL_DEFAULT, 1)}, 10) as actual_cost from calls)"""
+
+
+@query(f"{_COST} select conv_id, turn, model, technique, input_tokens, output_tokens, round_even(cost, 8) as cost, round_even(actual_cost, 8) as actual_cost from priced")
+def cost_report(spark, d):
+    rows = evaluation.costs(_calls(spark, d))
+    return rows.select("conv_id", "turn", "model", "technique", "input_tokens", "output_tokens", F.bround("cost", 8).alias("cost"), F.bround("actual_cost", 8).alias("actual_cost"))
+
+
+@query(
+    f"{_COST} select coalesce(technique, '(all)') as technique, count(*) as n_calls, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens, round_even(sum(cost::decimal(28,10))::double, 6) as cost from priced group by rollup (technique)"
+)
+def cost_by_technique(spark, d):
+    rows = evaluation.by_technique(evaluation.costs(_calls(spark, d)))
+    return rows.withColumns({"technique": F.coalesce("technique", F.lit("(all)")), "cost": F.bround("cost", 6)})
+
+
+@query(
+    f"{_FAITH}, ev as (select conv_id, turn, case when context = '' then 0.0 else round_even({S.eval_share('qw', 'cw', 0.45)}, 3) end as a, round_even({S.eval_share('qw', 'aw', 0.35)}, 3) as b from qt) "
+    "select conv_id, turn, a as advanced_relevance, b as basic_relevance, round_even(a - b, 3) as delta_relevance from ev"
+)
+def basic_vs_advanced(spark, d):
+    rows = evaluation.evaluate(_pairs(spark, d), ["conv_id", "turn"])
+    one = rows.select("conv_id", "turn", F.col("context_relevance").alias("relevance"))
+    two = rows.select("conv_id", "turn", F.col("answer_relevance").alias("relevance"))
+    return evaluation.compare(one, two, ["conv_id", "turn"], ["relevance"])
