@@ -99,20 +99,22 @@ def confidence(questions: DataFrame, hits: DataFrame, rank: str = "new_rank", pa
         F.count_if((F.col(rank) <= 5) & contains_any(F.col("text"), X.EVIDENCE_TERMS)).alias("formulas"),
     )
     w = X.CONFIDENCE_WEIGHTS
-    margin = F.when(F.col("second").isNull(), F.col("top")).otherwise(F.greatest(F.lit(0.0), F.col("top") - F.col("second")))
+    margin = F.when(F.col("second").isNull(), F.col("top")).otherwise(
+        F.when(F.col("top") > F.col("second"), F.col("top") - F.col("second")).otherwise(0.0)
+    )
     raw = (
         w["top"] * F.col("top")
         + (w["average"] + w["agreement"]) * F.col("average")
         + w["margin"] * F.least(F.lit(1.0), margin * 5.0)
     )
     rows = questions.select("qid").distinct().join(facts, "qid", "left").withColumns(
-        {"margin": margin, "raw": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 9)}
+        {"margin": margin, "raw": F.when(F.col("n") > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 9))}
     )
     zero = lambda c: F.coalesce(F.bround(c, 3), F.lit(0.0))
     label = F.when(F.col("raw") >= X.CONFIDENCE_LABELS[0][0], X.CONFIDENCE_LABELS[0][1])
     for least, name in X.CONFIDENCE_LABELS[1:]:
         label = label.when(F.col("raw") >= least, name)
-    share = lambda c, n: F.coalesce(F.bround(F.least(F.lit(1.0), F.col(c) / n), 3), F.lit(0.0))
+    share = lambda c, n: F.bround(F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(0)) / n), 3)
     return rows.select(
         "qid",
         zero(F.col("raw")).alias("confidence"),
