@@ -40,7 +40,7 @@ from .common import materialize
 
 CHUNK = 32768
 BLANK = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 LOW = -(1 << 60)
 _UNIT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
@@ -163,56 +163,69 @@ def cuts_in(s: str, after: int) -> list[int]:
     return [a + max(0, after - 1) for a in at if a + max(0, after - 1) > after]
 
 
-def chunk_ways(v: Vocabulary, s: str, left: int, begin: dict[int, int]):
-    """Best sums at the states of a chunk's end, from ``begin`` (place to sum, places up to
-    ``left``), and a function from an end's place to the ids between and the place in ``begin``
-    that they start from. ``s`` has ``left`` characters before the chunk."""
-    n = len(s)
-    forced = cuts_in(s, left)
-    low = max(n - v.reach + 1, left + 1)
-
-    def follow(text: str, back: list[int], end: int) -> tuple[list[int], int]:
+class Chunk:
+    """Ways through a chunk. ``s`` has ``left`` characters before the chunk's start. ``begin`` holds
+    the places up to ``left`` where its first piece may start, with their sums."""
+
+    def __init__(self, v: Vocabulary, s: str, left: int):
+        self.v, self.s, self.left, self.n = v, s, left, len(s)
+        self.low = max(self.n - v.reach + 1, left + 1)
+        forced = cuts_in(s, left)
+        self.f, self.last = (forced[0], forced[-1]) if forced else (self.n, None)
+        if forced:
+            self.middle = [v.word(u) for u in units(s[self.f : self.last])]
+            self.between = sum(x[1] for x in self.middle)
+            self.tail, self.tail_back = v.best(s[self.last :], {0: 0}, 0)
+            self.low = max(self.low, self.last)
+
+    def head(self, begin: dict[int, int]) -> tuple[list[int], list[int]]:
+        """Up to the first place where a word starts, or the chunk's end."""
+        return self.v.best(self.s[: self.f], begin, self.left + 1)
+
+    def sums(self, begin: dict[int, int]) -> dict[int, int]:
+        """The best sum to each place at the end that can be a state."""
+        score, _ = self.head(begin)
+        if self.last is None:
+            return {e: score[e] for e in range(self.low, self.n + 1) if score[e] > LOW}
+        if score[self.f] <= LOW:
+            return {}
+        base = score[self.f] + self.between
+        return {e: base + self.tail[e - self.last] for e in range(self.low, self.n + 1) if self.tail[e - self.last] > LOW}
+
+    def _cuts(self, back: list[int], end: int) -> list[int]:
         cuts = [end]
-        while cuts[-1] > left:
+        while cuts[-1] > self.left:
             cuts.append(back[cuts[-1]])
-        cuts.reverse()
-        return [i for x, y in zip(cuts, cuts[1:]) for i in v.ids_of(text[x:y])], cuts[0]
-
-    if not forced:
-        score, back = v.best(s, begin, left + 1)
-
-        def way(end: int) -> tuple[bytes, int]:
-            got, enter = follow(s, back, end)
-            return struct.pack(f"<{len(got)}I", *got), enter
-
-        return {e: score[e] for e in range(low, n + 1) if score[e] > LOW}, way
-    f, last = forced[0], forced[-1]
-    head, head_back = v.best(s[:f], begin, left + 1)
-    middle = [v.word(u) for u in units(s[f:last])] if last > f else []
-    tail, tail_back = v.best(s[last:], {0: 0}, 0)
-    base = head[f] + sum(x[1] for x in middle)
-
-    def way(end: int) -> tuple[bytes, int]:
-        first, enter = follow(s, head_back, f)
-        final = v.trace(s[last:], tail_back, end - last, 0)
-        parts = [struct.pack(f"<{len(x)}I", *x) for x in (first, final)]
-        return b"".join([parts[0], *(x[0] for x in middle), parts[1]]), enter
-
-    return {e: base + tail[e - last] for e in range(max(low, last), n + 1) if tail[e - last] > LOW}, way
-
-
-def matrix(v: Vocabulary, s: str, left: int) -> np.ndarray:
-    """Entry (i, j): the best sum from a cut i characters before the chunk's start to one j
-    characters before its end, both the last at or before their boundaries."""
-    m = v.reach
-    out = np.full((m, m), LOW, np.int64)
-    n = len(s)
-    for i in range(min(m, left + 1)):
-        ends, _ = chunk_ways(v, s, left, {left - i: 0})
-        for e, x in ends.items():
-            if n - e < m:
-                out[i, n - e] = x
-    return out
+        return cuts[::-1]
+
+    def entries(self, begin: dict[int, int]) -> list[int]:
+        """For each state at the end the state at the start that the best way comes from."""
+        score, back = self.head(begin)
+        if self.last is not None:
+            return [self.left - self._cuts(back, self.f)[0]] * self.v.reach
+        ends = (self.n - j for j in range(self.v.reach))
+        return [self.left - self._cuts(back, e)[0] if e >= self.low and score[e] > LOW else 0 for e in ends]
+
+    def ids(self, begin: dict[int, int], end: int) -> bytes:
+        _, back = self.head(begin)
+        cuts = self._cuts(back, end if self.last is None else self.f)
+        first = [i for x, y in zip(cuts, cuts[1:]) for i in self.v.ids_of(self.s[x:y])]
+        out = [struct.pack(f"<{len(first)}I", *first)]
+        if self.last is not None:
+            final = self.v.trace(self.s[self.last :], self.tail_back, end - self.last, 0)
+            out += [*(x[0] for x in self.middle), struct.pack(f"<{len(final)}I", *final)]
+        return b"".join(out)
+
+    def matrix(self) -> np.ndarray:
+        """Entry (i, j): the best sum from a cut i characters before the chunk's start to one j
+        characters before its end, both the last at or before their boundaries."""
+        m = self.v.reach
+        out = np.full((m, m), LOW, np.int64)
+        for i in range(min(m, self.left + 1)):
+            for e, x in self.sums({self.left - i: 0}).items():
+                if self.n - e < m:
+                    out[i, self.n - e] = x
+        return out
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -242,10 +255,14 @@ def at_boundaries(stack: np.ndarray) -> np.ndarray:
     return out
 
 
-def entries(v: Vocabulary, s: str, left: int, sums: list[int]) -> list[int]:
-    """For each state at a chunk's end the state at its start that the best way comes from."""
-    ends, way = chunk_ways(v, s, left, {left - i: x for i, x in enumerate(sums) if x > LOW})
-    return [left - way(len(s) - j)[1] if len(s) - j in ends else 0 for j in range(v.reach)]
+def _begin(left: int, sums: list[int]) -> dict[int, int]:
+    return {left - j: x for j, x in enumerate(sums) if x > LOW}
+
+
+def _slices(batches, rows: int = 50):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -257,11 +274,9 @@ def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int =
 
     def whole(batches):
         v = vocabulary(model)
-        for big in batches:
-            for at in range(0, big.num_rows, 500):
-                batch = big.slice(at, 500)
-                ids = [v.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=schema.names)
+        for batch in _slices(batches, 500):
+            ids = [v.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=schema.names)
 
     def split(batches):
         reach = vocabulary(model).reach
@@ -277,8 +292,8 @@ def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int =
 
     def matrices(batches):
         v = vocabulary(model)
-        for batch in batches:
-            flat = [matrix(v, s, left).ravel().tolist() for left, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        for batch in _slices(batches):
+            flat = [Chunk(v, s, left).matrix().ravel() for left, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.list_(pa.int64()))], names=["t", "no", "m"])
 
     def scan(batches):
@@ -294,19 +309,16 @@ def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int =
 
     def enter(batches):
         v = vocabulary(model)
-        for batch in batches:
+        for batch in _slices(batches):
             _, _, left, s, sums = (x.to_pylist() for x in batch.columns)
-            found = [entries(v, *x) for x in zip(s, left, sums)]
+            found = [Chunk(v, x, n).entries(_begin(n, begin)) for x, n, begin in zip(s, left, sums)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["t", "no", "came"])
 
     def backtrace(batches):
         v = vocabulary(model)
-        for batch in batches:
+        for batch in _slices(batches):
             _, _, left, s, sums, leave = (x.to_pylist() for x in batch.columns)
-            ids = [
-                chunk_ways(v, s[i], left[i], {left[i] - j: x for j, x in enumerate(sums[i]) if x > LOW})[1](len(s[i]) - leave[i])[0]
-                for i in range(len(s))
-            ]
+            ids = [Chunk(v, x, n).ids(_begin(n, begin), len(x) - end) for x, n, begin, end in zip(s, left, sums, leave)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["t", "no", "ids"])
 
     done = short.select(*keep, F.col(text_col).alias("__text")).mapInArrow(whole, schema)
@@ -342,10 +354,8 @@ def decode_ids(df: DataFrame, model: str, ids_col: str = "__ids") -> DataFrame:
 
     def run(batches):
         v = vocabulary(model)
-        for big in batches:
-            for at in range(0, big.num_rows, 500):
-                batch = big.slice(at, 500)
-                texts = [v.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(batch.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
+        for batch in _slices(batches, 200):
+            texts = [v.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
     return df.select("*", F.col(ids_col).alias("__copy")).mapInArrow(run, schema)

@@ -69,7 +69,7 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     path = new_path(spark, "token-ids")
     tokens.write_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"))
-    return tokens.read_ids(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", _crc32("ids").alias("ids_crc32"))
+    return tokens.read_ids(spark, path, digest=True).withColumnRenamed("id", "doc_id")
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

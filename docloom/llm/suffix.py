@@ -32,7 +32,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_bytes
@@ -187,10 +187,9 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     """``docs(t, text)``, t a key of the text, to ``(t, first, last)``: runs of window starts
     whose strings of ``length`` bytes occur elsewhere. Equal texts are to be looked for apart."""
     rows = docs.mapInArrow(_anchors(length), "g long, c long, t long, lo long, n int, reach int")
-    by_name = Window.partitionBy("g")
-    rows = materialize(
-        rows.withColumn("k", F.count("*").over(by_name)).filter("k > 1").drop("k"), "suffix-anchors"
-    )
+    # counted before they are joined: a name that a third of the texts share is split then
+    rows = materialize(rows, "suffix-names")
+    rows = materialize(rows.join(_twice(rows.select("g"), "g"), "g"), "suffix-anchors")
     ctx = materialize(
         rows.groupBy("g", "c").agg(
             F.count("*").alias("k"),

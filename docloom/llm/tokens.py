@@ -10,8 +10,8 @@ string: header, the documents' ids and lengths, block offsets, escapes, words. S
 commits the segments, so a lost executor leaves no half file, and any store that Spark reaches
 will do.
 
-Words are encoded once in a worker and kept (up to CACHE_WORDS): the vocabulary's splitter ends a
-token at each white space, so a text's ids are those of its parts between blanks and line ends.
+Words are encoded once in a worker and kept (up to CACHE_WORDS): a token never spans white space, nor
+a letter and another character, so a text's ids are those of its parts.
 
 Defined cases: a null text is empty and has the end id only; null ids come first; rows with equal
 ids follow in the order they are read; an empty table gives no segments and no rows.
@@ -19,11 +19,13 @@ ids follow in the order they are read; an empty table gives no segments and no r
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +35,13 @@ from .sharding import ranged
 BLOCK = 4096
 SEGMENT_IDS = 1 << 18
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+# The pattern by which the vocabulary splits words; characters that its normaliser changes
+# in more than their case, or that start a special token; what keeps a text from being split at
+# blanks, full stops and commas alone.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_NOT_PLAIN = re.compile("[^ \n\x21-\x7e\xa1-\u012f\u0131-\u024f]|<\\|")
+_MARKS = re.compile("[^ \n.,a-z\xdf-\xf6\xf8-\xff]|[.,][.,]")
 MAGIC = b"S8B1"
 # (ids in a word, bits of each) by selector; selector 0 is the escape
 SELECTORS = [(1, 64), *((n, 60 // n) for n in (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1))]
@@ -41,12 +49,29 @@ _HEADER = struct.Struct("<4sIQQII")  # magic, documents, ids, ids before, blocks
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ids), np.uint8)
-    for shift in (32, 16, 8, 4, 2, 1):
-        big = ids >> np.uint64(shift) != 0
-        out[big] += np.uint8(shift)
-        ids = np.where(big, ids >> np.uint64(shift), ids)
-    return out + (ids != 0)
+    """How many bits each id takes."""
+    high = ids >> np.uint64(32)
+    low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(float))[1]
+    return np.where(high != 0, 32 + np.frexp(high.astype(float))[1], low).astype(np.uint8)
+
+
+def _choices(bits: np.ndarray) -> np.ndarray:
+    """For each id the selector of the word that would start there: the most ids that fit."""
+    n = len(bits)
+    longest = SELECTORS[1][0]
+    wide = np.zeros((-(-n // BLOCK), BLOCK + longest), np.uint8)  # what is past a block's end fits
+    for b in range(len(wide)):
+        part = bits[b * BLOCK : (b + 1) * BLOCK]
+        wide[b, : len(part)] = part
+    choice = np.zeros((len(wide), BLOCK), np.uint8)
+    top, size = wide, 1  # the largest of the next ``size``
+    for sel in range(len(SELECTORS) - 1, 0, -1):  # few ids first, more ids overwrite
+        count, width = SELECTORS[sel]
+        while size < count:
+            step = min(size, count - size)
+            top, size = np.maximum(top[:, :-step], top[:, step:]), size + step
+        choice[top[:, :BLOCK] <= width] = sel
+    return choice.ravel()[:n]
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,14 +79,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
     ends = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
-    bits = _bits(ids)
-    at = np.arange(n)
-    choice = np.zeros(n, np.uint8)
-    for sel in range(len(SELECTORS) - 1, 0, -1):  # few ids first, more ids overwrite
-        count, width = SELECTORS[sel]
-        wide = np.where(bits > width, at, n)
-        stop = np.minimum.accumulate(wide[::-1])[::-1] if n else wide
-        choice[np.minimum(stop, ends) >= np.minimum(at + count, ends)] = sel
+    choice = _choices(_bits(ids))
     step = np.array([c for c, _ in SELECTORS])[choice].tolist()
     picked, offsets = [], [0]
     escaped = choice == 0
@@ -156,7 +174,7 @@ _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer and its cache of words, kept while the worker lives."""
+    """The tokenizer and the ids of words, kept while the worker lives."""
     if path not in _TOKENIZERS:
         import os
 
@@ -169,8 +187,7 @@ def _tokenizer(path: str):
 
 def encode_words(words: list[str], path: str) -> list[bytes]:
     """The ids of each word as little-endian unsigned 32-bit integers, from one call."""
-    tokenizer, _ = _tokenizer(path)
-    got = tokenizer.encode(" ".join(words), add_special_tokens=False)
+    got = _tokenizer(path)[0].encode(" ".join(words), add_special_tokens=False)
     ids = np.array(got.ids, "<u4")
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     begin = np.cumsum(size) - size
@@ -180,18 +197,31 @@ def encode_words(words: list[str], path: str) -> list[bytes]:
     return [data[4 * a : 4 * b] for a, b in zip([0, *cut], [*cut, len(ids)])]
 
 
+def _parts(text: str) -> list[str]:
+    """A text as strings that the tokenizer encodes one by one: its tokens where only plain Latin
+    characters occur, which the normaliser but lower-cases; else what stands between blanks."""
+    if _NOT_PLAIN.search(text):
+        return text.replace("\n", " ").split(" ")
+    low = text.lower()
+    if _MARKS.search(low):
+        return _SPLIT.findall(low)
+    return low.replace(".", " . ").replace(",", " , ").split()
+
+
 def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
     """Each text's ids and the end id as little-endian unsigned 32-bit integers."""
-    cache = _tokenizer(path)[1]
-    split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = [w for w in set().union(*split) if w not in cache] if split else []
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
-        new = list(set().union(*split))
+    known = _tokenizer(path)[1]
+    parts = [_parts(t or "") for t in texts]
+    every = set().union(*parts)
+    new = [w for w in every if w not in known]
+    if len(known) + len(new) > CACHE_WORDS:
+        known.clear()
+        new = list(every)
     for i in range(0, len(new), 5000):
-        cache.update(zip(new[i : i + 5000], encode_words(new[i : i + 5000], path)))
+        known.update(zip(new[i : i + 5000], encode_words(new[i : i + 5000], path)))
     tail = struct.pack("<I", end_id)
-    return [b"".join([*map(cache.__getitem__, s), tail]) for s in split]
+    get = known.__getitem__
+    return [b"".join([*map(get, p), tail]) for p in parts]
 
 
 def write_ids(df: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
@@ -229,36 +259,36 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", t
     rows.mapInArrow(run, "part int, segment int, n_ids long, data binary").write.parquet(out)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
+def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """``(id, start, n_tokens, ids)`` of each document in the files: ids is binary, little-endian
-    unsigned 32-bit integers; start counts the ids of all documents before it."""
+    unsigned 32-bit integers; start counts the ids of all documents before it. With ``digest``,
+    ``ids_crc32`` (long) instead of the ids."""
+    last, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
 
     def run(batches):
         for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                docs, lengths, ids, before = read_segment(data)
-                flat = ids.astype("<u4").tobytes()
+            for i in range(batch.num_rows):
+                docs, lengths, ids, before = read_segment(batch.column(1)[i].as_py())
+                flat = memoryview(ids.astype("<u4").tobytes())
                 end = np.cumsum(lengths)
                 start = end - lengths
+                own = (flat[4 * a : 4 * b] for a, b in zip(start.tolist(), end.tolist()))
+                own = [zlib.crc32(x) for x in own] if digest else [bytes(x) for x in own]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(docs), part, np.int32)),
+                        pa.array(np.full(len(docs), batch.column(0)[i].as_py(), np.int32)),
                         pa.array(docs, pa.int64()),
                         pa.array(start + before),
                         pa.array(lengths),
-                        pa.array([flat[4 * a : 4 * b] for a, b in zip(start.tolist(), end.tolist())], pa.binary()),
+                        pa.array(own, pa.int64() if digest else pa.binary()),
                     ],
-                    names=["part", "id", "local", "n_tokens", "ids"],
+                    names=["part", "id", "local", "n_tokens", last],
                 )
 
     files = spark.read.schema("part int, segment int, n_ids long, data binary").parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    docs = files.select("part", "data").mapInArrow(run, "part int, id long, local long, n_tokens long, ids binary")
+    docs = files.select("part", "data").mapInArrow(run, f"part int, id long, local long, n_tokens long, {last} {kind}")
     # one row for each file, as many as the writer had partitions
-    return docs.join(F.broadcast(starts), "part").select("id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data)
+    return docs.join(F.broadcast(starts), "part").select("id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", last)

@@ -31,6 +31,8 @@ def test_most_ids_go_into_each_word():
 
 
 TEXTS = [None, "", "  ", "It's a Test.\nOf   42 things here!", "<|endoftext|> and<|startoftext|>x", "é é ́x ΑΣ ΟΔΟΣ.", "a\x1cb\x85c d\te\r\nf", "🙂 日本語 ###", "don't won'T 'tis", "x" * 3000]
+TEXTS += ["It is, so. It ends..", "a,b.c", "a.,b", "Über, ß. ÿ×÷", "1,5 .", "x.\ny,"]
+TEXTS += ["".join(map(chr, range(a, a + 16))) + " a" + chr(a) + "'S" + chr(a + 3) + "B9" for a in range(0, 0x3000, 16)]
 
 
 def test_ids_equal_the_library():
@@ -41,7 +43,7 @@ def test_ids_equal_the_library():
 
 
 def test_files_are_in_order_and_read_back(spark, tmp_path, monkeypatch):
-    rows = [(i * 37 % 101, TEXTS[i % len(TEXTS)]) for i in range(100)] + [(None, "null id"), (5, "again")]
+    rows = [(i * 37 % 101, TEXTS[i % 10]) for i in range(100)] + [(None, "null id"), (5, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     T.write_ids(df, str(tmp_path / "ids"), PATH)
     got = sorted(map(tuple, T.read_ids(spark, str(tmp_path / "ids")).collect()), key=lambda x: x[1])
@@ -56,4 +58,5 @@ def test_files_are_in_order_and_read_back(spark, tmp_path, monkeypatch):
         at += n
     T.write_ids(df.limit(0), str(tmp_path / "none"), PATH)
     assert T.read_ids(spark, str(tmp_path / "none")).count() == 0
-    assert T.crc32(b"abc") == zlib.crc32(b"abc")
+    sums = {r.start: r.ids_crc32 for r in T.read_ids(spark, str(tmp_path / "ids"), digest=True).collect()}
+    assert sums == {x[1]: zlib.crc32(bytes(x[3])) for x in got}
