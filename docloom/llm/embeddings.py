@@ -94,13 +94,14 @@ def _cells(least: float):
     return run
 
 
-def candidates(nodes: DataFrame, least: float, size: int) -> DataFrame:
-    """``nodes(label, node, vector)`` to pairs ``(a, b)``, a < b, that are close in a block."""
+def candidates(nodes: DataFrame, least: float, longest: int) -> DataFrame:
+    """``nodes(label, node, vector)`` to pairs ``(a, b)``, a < b, of one label and length that are
+    close in a block. ``longest`` is the greatest length."""
     cells = nodes.select("label", "node", "vector").mapInArrow(
         _cells(least), "block int, label long, cell long, node long, own boolean, y array<double>"
     )
     # numbers in columns of their own: the join's condition stays in generated code
-    width = -(-size // min(BLOCKS, size))
+    width = max(1, -(-longest // BLOCKS))
     flat = cells.select("block", "label", "cell", "node", "own", *(F.coalesce(F.get("y", i), F.lit(0.0)).alias(f"y{i}") for i in range(width)))
     flat = materialize(flat, "vector-cells")
     a, b = flat.filter("own").alias("a"), flat.filter("not own").alias("b")
@@ -142,20 +143,14 @@ def near_vectors(
         F.col(vector_col).cast("array<double>").alias("vector"),
     ).withColumn("node", F.when(F.col("label").isNotNull(), F.xxhash64("label", "vector")))
     good = rows.filter("label is not null")
-    sizes = [r[0] for r in good.select(F.size("vector").alias("n")).distinct().limit(1000).collect()]
+    longest = good.agg(F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("n")).first().n
     nodes = materialize(
         good.groupBy("node").agg(
             F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("id").alias("least")
         ),
         "vector-nodes",
     )
-    links = None
-    for size in sizes:  # vectors of another length never link
-        some = nodes.filter(F.size("vector") == size)
-        found = verified(candidates(some, least, size), some, least)
-        links = found if links is None else links.union(found)
-    if links is None:
-        links = df.sparkSession.createDataFrame([], "a long, b long")
+    links = verified(candidates(nodes, least, longest), nodes, least)
     links = materialize(links, "vector-links")
     roots = connected_components(links).withColumnRenamed("root", "r")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -171,3 +166,16 @@ def near_vectors(
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+
+
+def sql(least: float = 0.98, table: str = "embeddings") -> str:
+    """The query's rows in DuckDB's SQL; vectors are taken to be valid or null."""
+    dot = lambda x, y: f"list_dot_product({x}, {y})"
+    return f"""
+with recursive v as (select vec_id, label, embedding::double[] as e from {table} where label is not null and embedding is not null),
+p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where {dot('a.e', 'b.e')} / sqrt({dot('a.e', 'a.e')} * {dot('b.e', 'b.e')}) >= {least}),
+r as (select vec_id as a, vec_id as b from {table} union select r.a, p.b from r join p on p.a = r.b),
+c as (select a, min(b) as component_id from r group by 1),
+n as (select a, count(*) as n from p group by 1)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from {table} join c on c.a = vec_id left join n on n.a = vec_id"""

@@ -139,4 +139,8 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL = {"op7_quality_rules": quality.sql()}
+ORACLE_SQL = {
+    "op5_embedding_near_dedup": embeddings.sql(),
+    "op6_mixing_target_weights": mixing.sql(),
+    "op7_quality_rules": quality.sql(),
+}
