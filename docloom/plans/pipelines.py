@@ -47,6 +47,7 @@ def answer(questions: DataFrame, chunks: DataFrame, top_k: int = 5, llm: hooks.L
     rows = hits.join(of, "chunk_id").join(texts, "qid").join(needed.select("qid", "route", F.col("text").alias("question")), "qid")
     found = F.transform("queries", lambda i: F.col("w")[i])
     rows = rows.withColumns({"variants": rerank.variants(F.col("question"), found), "n_found": F.size("queries"), "queries": found})
+    rows = rows.persist()  # read by both routes and by each check; recomputed where it is lost
     advanced = rerank.rerank(rows.filter(F.col("route") == routing.ADVANCED), top_k)
     basic = rows.filter(F.col("route") == routing.BASIC).filter(F.col("rank") <= max(top_k, 8))
     facts = rerank.confidence(needed, advanced).select("qid", "confidence", "label")

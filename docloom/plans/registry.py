@@ -15,6 +15,7 @@ from ..functions import fixed as X
 from ..functions import text as T
 from ..operators import chunking, context, elements, embed, evaluation, filters, hooks, rerank, retrieval, routing
 from ..sources import files, ocr
+from . import pipelines
 from . import sql as S
 
 SIZE, OVERLAP = 1000, 150
@@ -686,3 +687,77 @@ def basic_vs_advanced(spark, d):
     one = rows.select("conv_id", "turn", F.col("context_relevance").alias("relevance"))
     two = rows.select("conv_id", "turn", F.col("answer_relevance").alias("relevance"))
     return evaluation.compare(one, two, ["conv_id", "turn"], ["relevance"])
+
+
+# --- more of the scalar functions, and whole pipelines ------------------------------------
+
+
+@query(f"select doc_id, array_to_string(regexp_extract_all(text, {S.q(X.YEAR)}, 1), ',') as years from documents")
+def year_mentions(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", T.years(F.col("text")).alias("y"))
+    return rows.select("doc_id", _listed("y").alias("years"))
+
+
+@query(
+    f"with s as (select doc_id, list_sort({S.eval_tokens('text')}) as w from documents) select doc_id, len(w)::int as n_tokens, md5(array_to_string(w, ' ')) as tokens_md5 from s"
+)
+def evaluation_token_sets(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.sort_array(T.evaluation_tokens(F.col("text"))).alias("w"))
+    return rows.select("doc_id", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("tokens_md5"))
+
+
+_IS_HEADING = (
+    f"(l <> '' and length(l) <= 180 and (regexp_matches(l, {S.q(X.PAGE_PROCEDURE)}) or regexp_matches(l, {S.q(X.PAGE_NUMBERED)}) or regexp_matches(l, {S.q(X.PAGE_SECTION)}) "
+    f"or (len(regexp_extract_all(l, '[{X.ARABIC}]')) >= 3 and length(l) <= 90 and not regexp_matches(l, '[؛:,.،!?؟]') and not regexp_matches(l, '\\p{{Nd}}{{2,}}') and {S.any_of('l', X.PAGE_HEADING_WORDS)})))"
+)
+
+
+@query(
+    f"""with ln as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+num as (select doc_id, i, case when i % 6 = 1 then i || '. ' || {S.strip('raw')} else {S.strip('raw')} end as l from ln),
+k as (select doc_id, i, l, case when l = '' then 'blank' when {_IS_HEADING} then 'heading' else 'paragraph' end as kind from num),
+n as (select *, (kind = 'heading' or kind is distinct from lag(kind) over (partition by doc_id order by i))::int as new from k),
+g as (select *, sum(new) over (partition by doc_id order by i) as island from n),
+e as (select doc_id, island, kind, string_agg(l, chr(10) order by i) as text from g where kind <> 'blank' group by 1, 2, 3)
+select doc_id, row_number() over (partition by doc_id order by island) - 1 as pos, kind as type, text from e"""
+)
+def page_split(spark, d):
+    """Documents as pages; every sixth line is numbered."""
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda x, i: F.when(i % 6 == 0, F.concat((i + 1).cast("string"), F.lit(". "), T.strip(x))).otherwise(x),
+    )
+    pages = _t(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), F.array_join(lines, "\n").alias("text"))
+    return elements.page_elements(pages).select("doc_id", F.col("pos").cast("long").alias("pos"), "type", "text")
+
+
+@query(
+    f"{_ONE}, n as (select qid, chunk_id, case when max(score) over w = min(score) over w then 0.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as norm from hits window w as (partition by qid, query_idx)) "
+    "select qid, chunk_id, round_even(norm, 6) as norm from n"
+)
+def minmax_scores(spark, d):
+    rows = retrieval.minmax(_keyword(spark, d, TOP_K))
+    return rows.select("qid", "chunk_id", F.bround("norm", 6).alias("norm"))
+
+
+def _generated(spark, d):
+    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?؟])\s+"), T.strip), lambda s: s != "")
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text", F.slice(parts, 1, 3).alias("generated"))
+
+
+def _sourced(spark, d):
+    of = _t(spark, d, "documents").select("doc_id", "source")
+    return _chunks(spark, d).join(of, "doc_id").select("chunk_id", "text", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source"))
+
+
+@query()
+def advanced_answers(spark, d):
+    """The whole conditional pipeline over all benchmark items."""
+    rows = pipelines.answer(_generated(spark, d), _sourced(spark, d), TOP_K)
+    return rows.select("qid", "route", _listed("techniques").alias("techniques"), "confidence", "label", "action", "answer")
+
+
+@query()
+def baseline_answers(spark, d):
+    rows = pipelines.baseline(_t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), _sourced(spark, d), TOP_K)
+    return rows.select("qid", F.size("sources").alias("n_sources"), "answer")
