@@ -27,19 +27,17 @@ for each repeats the other.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import materialize, slices, text_bytes
 
 GRAM = 32
 WIDTHS = (32, 4, 1)
-OUT_ROWS = 500  # texts that are cut at a time
+OUT_ROWS = 250  # texts that are cut at a time
 PIECE = 1 << 20  # bytes of text that are named at a time
 BROADCAST_KEYS = 1_000_000  # keys are sent to all executors up to this many, joined beyond
 POSITION = np.uint64((1 << 24) - 1)
@@ -147,7 +145,7 @@ def _nodes(width: int, length: int):
 
     def run(batches):
         digest = xxhash.xxh3_64_digest
-        for batch in batches:
+        for batch in slices(batches, 2000):
             out, core, whole = [], [], []
             for g, c, reach, n, text, above in zip(*(x.to_pylist() for x in batch.columns)):
                 least = reach - n + 1
@@ -286,23 +284,21 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200) ->
 
     def run(batches):
         n = len(keep)
-        for big in batches:
-            for at in range(0, big.num_rows, OUT_ROWS):
-                batch = big.slice(at, OUT_ROWS)
-                windows = batch.column(n + 1)
-                span = windows.offsets.to_numpy().tolist()
-                first, last = (windows.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                kept, counts = [], []
-                for i, whole in enumerate(batch.column(n + 2).to_pylist()):
-                    text, own = batch.column(n)[i].as_py(), slice(span[i], span[i + 1])
-                    left, runs = _cut(text, first[own], last[own], bool(whole), length)
-                    kept.append(left)
-                    counts.append((len(text), len(text) - len(left), runs))
-                counts = np.array(counts, np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:n], pa.array(kept, pa.binary()), *(pa.array(counts[:, i]) for i in range(3))],
-                    names=schema.names,
-                )
+        for batch in slices(batches, OUT_ROWS):
+            windows = batch.column(n + 1)
+            span = windows.offsets.to_numpy().tolist()
+            first, last = (windows.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            kept, counts = [], []
+            for i, whole in enumerate(batch.column(n + 2).to_pylist()):
+                text, own = batch.column(n)[i].as_py(), slice(span[i], span[i + 1])
+                left, runs = _cut(text, first[own], last[own], bool(whole), length)
+                kept.append(left)
+                counts.append((len(text), len(text) - len(left), runs))
+            counts = np.array(counts, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:n], pa.array(kept, pa.binary()), *(pa.array(counts[:, i]) for i in range(3))],
+                names=schema.names,
+            )
 
     return both.select(*keep, "__text", "__windows", "__whole").mapInArrow(run, schema)
 
@@ -319,7 +315,3 @@ def clean_texts(df: DataFrame, text_col: str = "text", length: int = 200) -> Dat
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(F.col("__n_removed") == 0, F.col("n_chars")).otherwise(F.length(text_col).cast(df.schema["n_chars"].dataType)))
     return out.select(*df.columns)
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

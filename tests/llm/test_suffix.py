@@ -62,3 +62,11 @@ def test_repeated_rows_empty_table_and_other_columns(spark):
     rows = clean_texts(df).orderBy("doc_id").collect()
     assert [r.text for r in rows] == ["x", "", ""] and rows[0].asDict().keys() == {"doc_id", "text", "n", "t"}
     assert clean_texts(df.limit(0)).count() == 0
+
+
+def test_texts_longer_than_a_piece(spark):
+    r = random.Random(9)
+    body = "".join(r.choices("abcdefghijklmnop ", k=2_300_000))
+    df = spark.createDataFrame([(1, "#" + body), (2, body + "!"), (3, "lonely " * 9)], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in clean_texts(df).collect()}
+    assert got == {1: "#", 2: "!", 3: "lonely " * 9}
