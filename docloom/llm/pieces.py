@@ -11,8 +11,9 @@ every chunk backtraces on its own from the state that it is told. All scores are
 sums of 64-bit integers, so the order in which they are added changes nothing.
 
 A new word (a blank after another character) always starts a piece. Within a chunk the matrix is
-the sum of a part before the first such cut, one after the last, and words between, whose pieces
-are found once in a worker and kept. A chunk without such a cut computes all states.
+the sum of a part before the first such cut and one after the last; the words between add the same to
+every entry and are left out. Their pieces are found once in a worker and kept. A chunk without such
+a cut computes all states.
 
 The vocabulary file marks its kind as merges by rank (BPE). Merging in order of rank is no sum of
 scores and no scan computes it; as the method asks, pieces are chosen by their scores (in this file
@@ -30,21 +31,37 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 CHUNK = 32768
 BLANK = "▁"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
+CACHE_PARTS = 700_000
 LOW = -(1 << 60)
 _UNIT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
+class _Words(dict):
+    """A word to the ids of it with a blank before; forgets all when full."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self[word] = self.vocabulary.unit(BLANK + word)
+        return found
+
+
 class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
@@ -65,10 +82,12 @@ class Vocabulary:
                 self.text.append(piece.replace(BLANK, " ").encode())
         self.reach = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - 10
-        self.longest: dict[str, int] = {}
-        for piece in self.pieces:
-            self.longest[piece[0]] = max(len(piece), self.longest.get(piece[0], 1))
-        self.words: dict[str, tuple[bytes, int]] = {}
+        # each start of a piece: its score, or None if it is no piece itself
+        self.starts: dict[str, int | None] = {p[:n]: None for p in self.pieces for n in range(1, len(p))}
+        self.starts |= {p: s for p, (_, s) in self.pieces.items()}
+        self.inner = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.units: dict[str, bytes] = {}
+        self.words = _Words(self)
 
     def best(self, s: str, begin: dict[int, int], first_end: int) -> tuple[list[int], list[int]]:
         """Best sums and last cuts for each place of ``s``. begin: the places where pieces may
@@ -76,23 +95,23 @@ class Vocabulary:
         other places start pieces from ``first_end`` on."""
         n = len(s)
         score, back = [LOW] * (n + 1), [-1] * (n + 1)
-        pieces, longest = self.pieces, self.longest
+        get = self.starts.get
         for a in sorted({*begin, *range(first_end, n)}):
-            if a < first_end or a in begin:
-                base = begin.get(a, LOW)
-                if a >= first_end:
-                    base = max(base, score[a])
-            else:
+            base = begin.get(a, LOW)
+            if a >= first_end and score[a] > base:
                 base = score[a]
             if base == LOW or a >= n:
                 continue
             single = False
-            for b in range(a + 1, min(n, a + longest.get(s[a], 1)) + 1):
-                found = pieces.get(s[a:b])
-                if found:
-                    single = single or b == a + 1
-                    if b >= first_end and base + found[1] > score[b]:
-                        score[b], back[b] = base + found[1], a
+            for b in range(a + 1, n + 1):
+                x = get(s[a:b], False)
+                if x is False:
+                    break
+                if x is not None:
+                    if b == a + 1:
+                        single = True
+                    if b >= first_end and base + x > score[b]:
+                        score[b], back[b] = base + x, a
             if not single and a + 1 >= first_end and base + self.unknown > score[a + 1]:
                 score[a + 1], back[a + 1] = base + self.unknown, a
         for a, x in begin.items():
@@ -112,24 +131,36 @@ class Vocabulary:
         cuts.reverse()
         return [i for a, b in zip(cuts, cuts[1:]) for i in self.ids_of(s[a:b])]
 
-    def word(self, unit: str) -> tuple[bytes, int]:
-        """Ids (little-endian unsigned 32-bit) and sum of a unit that starts and ends with a cut."""
-        found = self.words.get(unit)
-        if found is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            score, back = self.best(unit, {0: 0}, 0)
-            ids = self.trace(unit, back, len(unit), 0)
-            found = self.words[unit] = struct.pack(f"<{len(ids)}I", *ids), score[-1]
+    def unit(self, s: str) -> bytes:
+        """Ids (little-endian unsigned 32-bit) of a string that starts and ends with a cut.
+        Neighbours that no piece has in it are cut apart first: many words share such parts."""
+        inner, known, at = self.inner, self.units, 0
+        parts = []
+        for i in range(1, len(s) + 1):
+            if i == len(s) or s[i - 1 : i + 1] not in inner:
+                part = s[at:i]
+                parts.append(known.get(part) or self._solve(part))
+                at = i
+        return parts[0] if len(parts) == 1 else b"".join(parts)
+
+    def _solve(self, s: str) -> bytes:
+        if len(self.units) >= CACHE_PARTS:
+            self.units.clear()
+        _, back = self.best(s, {0: 0}, 0)
+        ids = self.trace(s, back, len(s), 0)
+        found = self.units[s] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
+    def run(self, s: str) -> bytes:
+        """Ids of a normal text that starts with a blank or is empty."""
+        if not s:
             return b""
-        word = self.word
-        if "  " in text or BLANK in text or text[0] == " ":
-            return b"".join([word(u)[0] for u in units(normal(text))])
-        return b"".join([word(BLANK + u)[0] for u in text.split(" ")])
+        if s[0] != BLANK or BLANK + BLANK in s:
+            return b"".join(map(self.unit, units(s)))
+        return b"".join(map(self.words.__getitem__, s[1:].split(BLANK)))
+
+    def encode(self, text: str | None) -> bytes:
+        return self.run(normal(text)) if text else b""
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.text.__getitem__, ids.tolist()))
@@ -173,8 +204,6 @@ class Chunk:
         forced = cuts_in(s, left)
         self.f, self.last = (forced[0], forced[-1]) if forced else (self.n, None)
         if forced:
-            self.middle = [v.word(u) for u in units(s[self.f : self.last])]
-            self.between = sum(x[1] for x in self.middle)
             self.tail, self.tail_back = v.best(s[self.last :], {0: 0}, 0)
             self.low = max(self.low, self.last)
 
@@ -183,13 +212,14 @@ class Chunk:
         return self.v.best(self.s[: self.f], begin, self.left + 1)
 
     def sums(self, begin: dict[int, int]) -> dict[int, int]:
-        """The best sum to each place at the end that can be a state."""
+        """The best sum to each place at the end that can be a state. What lies between the first
+        and the last start of a word is left out: it adds the same to all of them."""
         score, _ = self.head(begin)
         if self.last is None:
             return {e: score[e] for e in range(self.low, self.n + 1) if score[e] > LOW}
         if score[self.f] <= LOW:
             return {}
-        base = score[self.f] + self.between
+        base = score[self.f]
         return {e: base + self.tail[e - self.last] for e in range(self.low, self.n + 1) if self.tail[e - self.last] > LOW}
 
     def _cuts(self, back: list[int], end: int) -> list[int]:
@@ -213,7 +243,7 @@ class Chunk:
         out = [struct.pack(f"<{len(first)}I", *first)]
         if self.last is not None:
             final = self.v.trace(self.s[self.last :], self.tail_back, end - self.last, 0)
-            out += [*(x[0] for x in self.middle), struct.pack(f"<{len(final)}I", *final)]
+            out += [self.v.run(self.s[self.f : self.last]), struct.pack(f"<{len(final)}I", *final)]
         return b"".join(out)
 
     def matrix(self) -> np.ndarray:
@@ -259,24 +289,21 @@ def _begin(left: int, sums: list[int]) -> dict[int, int]:
     return {left - j: x for j, x in enumerate(sums) if x > LOW}
 
 
-def _slices(batches, rows: int = 50):
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """The columns of ``df`` plus ``__ids``, binary, little-endian unsigned 32-bit ids."""
+def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int = CHUNK, decode: bool = False) -> DataFrame:
+    """The columns of ``df`` plus ``__ids``, binary, little-endian unsigned 32-bit ids; with
+    ``decode`` also what ``decode_ids`` adds, from the same pass over short texts."""
     keep = df.columns
     schema = df.limit(0).withColumn("__ids", F.lit(b"")).schema
+    full = _with_decoded(df.limit(0).withColumn("__ids", F.lit(b""))).schema if decode else schema
     short = df.filter(F.coalesce(F.length(text_col), F.lit(0)) <= chunk)
     long_ = df.filter(F.length(text_col) > chunk)
 
     def whole(batches):
         v = vocabulary(model)
-        for batch in _slices(batches, 500):
+        for batch in slices(batches, 200):
             ids = [v.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=schema.names)
+            more = _decoded(v, ids) if decode else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), *more], names=full.names)
 
     def split(batches):
         reach = vocabulary(model).reach
@@ -292,7 +319,7 @@ def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int =
 
     def matrices(batches):
         v = vocabulary(model)
-        for batch in _slices(batches):
+        for batch in slices(batches, 50):
             flat = [Chunk(v, s, left).matrix().ravel() for left, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.list_(pa.int64()))], names=["t", "no", "m"])
 
@@ -309,19 +336,19 @@ def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int =
 
     def enter(batches):
         v = vocabulary(model)
-        for batch in _slices(batches):
+        for batch in slices(batches, 50):
             _, _, left, s, sums = (x.to_pylist() for x in batch.columns)
             found = [Chunk(v, x, n).entries(_begin(n, begin)) for x, n, begin in zip(s, left, sums)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["t", "no", "came"])
 
     def backtrace(batches):
         v = vocabulary(model)
-        for batch in _slices(batches):
+        for batch in slices(batches, 50):
             _, _, left, s, sums, leave = (x.to_pylist() for x in batch.columns)
             ids = [Chunk(v, x, n).ids(_begin(n, begin), len(x) - end) for x, n, begin, end in zip(s, left, sums, leave)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["t", "no", "ids"])
 
-    done = short.select(*keep, F.col(text_col).alias("__text")).mapInArrow(whole, schema)
+    done = short.select(*keep, F.col(text_col).alias("__text")).mapInArrow(whole, full)
     # equal long texts are scanned once; a text's chunks are dealt to all executors
     tagged = long_.withColumn("__t", F.sha2(F.col(text_col).cast("binary"), 256))
     texts = tagged.groupBy(F.col("__t").alias("t")).agg(F.first(text_col).alias("text"))
@@ -345,17 +372,26 @@ def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int =
     )
     ids = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["ids"])), ""))
     rest = tagged.join(joined.select(F.col("t").alias("__t"), ids.alias("__ids")), "__t").select(*keep, "__ids")
-    return done.unionByName(rest)
+    return done.unionByName(decode_ids(rest, model) if decode else rest)
+
+
+def _with_decoded(df: DataFrame) -> DataFrame:
+    return df.withColumns({"__decoded": F.lit(""), "__ids_crc32": F.lit(0).cast("long")})
+
+
+def _decoded(v: Vocabulary, ids: list[bytes]) -> list[pa.Array]:
+    texts = [v.decode(np.frombuffer(x, "<u4")) for x in ids]
+    return [pa.array(texts, pa.string()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
 
 
 def decode_ids(df: DataFrame, model: str, ids_col: str = "__ids") -> DataFrame:
-    """The columns of ``df`` plus ``__decoded``."""
-    schema = df.limit(0).withColumn("__decoded", F.lit("")).schema
+    """The columns of ``df`` plus ``__decoded`` and ``__ids_crc32`` (long)."""
+    schema = _with_decoded(df.limit(0)).schema
 
     def run(batches):
         v = vocabulary(model)
-        for batch in _slices(batches, 200):
-            texts = [v.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
+        for batch in slices(batches, 200):
+            ids = [x or b"" for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_decoded(v, ids)], names=schema.names)
 
     return df.select("*", F.col(ids_col).alias("__copy")).mapInArrow(run, schema)

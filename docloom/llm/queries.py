@@ -3,13 +3,9 @@ returns the columns that its contract names."""
 
 from __future__ import annotations
 
-import zlib
-
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from . import chat, embeddings, mixing, pieces, quality, tokens, toxicity
 from .common import new_path
@@ -22,11 +18,6 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-@F.pandas_udf(LongType())
-def _crc32(data: pd.Series) -> pd.Series:
-    return data.map(zlib.crc32, na_action="ignore")
-
-
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select(
         "doc_id",
@@ -55,11 +46,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select("doc_id", "text", F.sha2(F.regexp_replace(text, pieces.BLANK, " ").cast("binary"), 256).alias("want"))
-    ids = pieces.encode_texts(docs, model).select("doc_id", "want", "__ids")
-    return pieces.decode_ids(ids, model).select(
+    return pieces.encode_texts(docs, model, decode=True).select(
         "doc_id",
         (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"),
-        _crc32("__ids").alias("ids_crc32"),
+        F.col("__ids_crc32").alias("ids_crc32"),
         F.length("__decoded").cast("long").alias("decoded_chars"),
         (F.sha2(F.col("__decoded").cast("binary"), 256) == F.col("want")).alias("round_trip"),
     )

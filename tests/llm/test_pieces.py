@@ -92,11 +92,14 @@ def test_chunks_give_the_same_ids(spark, chunk):
     rows = [(i, t, 1) for i, t in enumerate(texts())] + [(0, None, 2), (1, "", 2), (None, "a" * 700, 3), (7, "a" * 700, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, t int").repartition(3)
     got = P.decode_ids(P.encode_texts(df, PATH, chunk=chunk), PATH).collect()
-    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "text", "t", "__ids", "__decoded"}
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "text", "t", "__ids", "__decoded", "__ids_crc32"}
     for r in got:
         want = plain(v, r.text) if r.text else []
         assert np.frombuffer(bytes(r["__ids"]), "<u4").tolist() == want
         assert r["__decoded"] == (r.text or "").replace("▁", " ")
+    both = P.encode_texts(df, PATH, chunk=chunk, decode=True).collect()
+    key = lambda r: (str(r.doc_id), str(r.text), r.t)
+    assert sorted(both, key=key) == sorted(got, key=key)
     assert P.encode_texts(df.limit(0), PATH).count() == 0
 
 
