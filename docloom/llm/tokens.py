@@ -25,23 +25,24 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import slices
 from .sharding import ranged
 
 BLOCK = 4096
 SEGMENT_IDS = 1 << 18
 END_ID = 2
-CACHE_WORDS = 500_000
-# The pattern by which the vocabulary splits words; characters that its normaliser changes
-# in more than their case, or that start a special token; what keeps a text from being split at
-# blanks, full stops and commas alone.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_NOT_PLAIN = re.compile("[^ \n\x21-\x7e\xa1-\u012f\u0131-\u024f]|<\\|")
-_MARKS = re.compile("[^ \n.,a-z\xdf-\xf6\xf8-\xff]|[.,][.,]")
+CACHE_WORDS = 900_000
+# The pattern by which the vocabulary splits words, for texts of plain characters: the
+# first 256 without controls, no-break space and soft hyphen, whose normaliser but lower-cases.
+_LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_DIGIT}]|[^ \n{_LETTER}{_DIGIT}]+")
+_PLAIN = bytes([10, *range(32, 127), *range(161, 173), *range(174, 256)])
+_SIMPLE = b"\n .,abcdefghijklmnopqrstuvwxyz" + bytes([*range(0xDF, 0xF7), *range(0xF8, 0x100)])
 MAGIC = b"S8B1"
 # (ids in a word, bits of each) by selector; selector 0 is the escape
 SELECTORS = [(1, 64), *((n, 60 // n) for n in (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1))]
@@ -174,36 +175,47 @@ _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer and the ids of words, kept while the worker lives."""
+    """The tokenizer, the ids of words, and which ids end a token; kept while the worker lives."""
     if path not in _TOKENIZERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path), {}
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        _TOKENIZERS[path] = tokenizer, {}, ends
     return _TOKENIZERS[path]
 
 
 def encode_words(words: list[str], path: str) -> list[bytes]:
     """The ids of each word as little-endian unsigned 32-bit integers, from one call."""
-    got = _tokenizer(path)[0].encode(" ".join(words), add_special_tokens=False)
-    ids = np.array(got.ids, "<u4")
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    begin = np.cumsum(size) - size
-    first = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
-    cut = np.searchsorted(first, begin[1:]).tolist()
-    data = ids.tobytes()
-    return [data[4 * a : 4 * b] for a, b in zip([0, *cut], [*cut, len(ids)])]
+    tokenizer, _, ends = _tokenizer(path)
+    text = " ".join(words)
+    ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    cut = np.flatnonzero(ends[ids]) + 1
+    if len(cut) != len(words):  # a word of several tokens, or of none: cut where the words begin
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begin = np.cumsum(size) - size
+        offsets = tokenizer.encode(text, add_special_tokens=False).offsets
+        first = np.fromiter((o[0] for o in offsets), np.int64, len(ids))
+        cut = np.append(np.searchsorted(first, begin[1:]), len(ids))
+    data, cut = ids.tobytes(), (4 * cut).tolist()
+    return [data[a:b] for a, b in zip([0, *cut], cut)]
 
 
 def _parts(text: str) -> list[str]:
-    """A text as strings that the tokenizer encodes one by one: its tokens where only plain Latin
-    characters occur, which the normaliser but lower-cases; else what stands between blanks."""
-    if _NOT_PLAIN.search(text):
+    """A text as strings that the tokenizer encodes one by one: its tokens where only plain
+    characters occur, else what stands between blanks."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        raw = b"\0"
+    if raw.translate(None, _PLAIN) or "<|" in text:
         return text.replace("\n", " ").split(" ")
     low = text.lower()
-    if _MARKS.search(low):
+    if low.encode("latin-1").translate(None, _SIMPLE) or ".." in low or ".," in low or ",." in low or ",," in low:
         return _SPLIT.findall(low)
     return low.replace(".", " . ").replace(",", " , ").split()
 
@@ -211,17 +223,19 @@ def _parts(text: str) -> list[str]:
 def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
     """Each text's ids and the end id as little-endian unsigned 32-bit integers."""
     known = _tokenizer(path)[1]
-    parts = [_parts(t or "") for t in texts]
-    every = set().union(*parts)
-    new = [w for w in every if w not in known]
-    if len(known) + len(new) > CACHE_WORDS:
+    if len(known) > CACHE_WORDS:
         known.clear()
-        new = list(every)
-    for i in range(0, len(new), 5000):
-        known.update(zip(new[i : i + 5000], encode_words(new[i : i + 5000], path)))
+    parts = [_parts(t or "") for t in texts]
+    found = [list(map(known.get, p)) for p in parts]
+    lacking = [None in f for f in found]
+    new = list({w for p, f, x in zip(parts, found, lacking) if x for w, y in zip(p, f) if y is None})
+    tokens, other = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+    for some in (tokens, other):
+        for i in range(0, len(some), 5000):
+            known.update(zip(some[i : i + 5000], encode_words(some[i : i + 5000], path)))
     tail = struct.pack("<I", end_id)
     get = known.__getitem__
-    return [b"".join([*map(get, p), tail]) for p in parts]
+    return [b"".join([*(map(get, p) if x else f), tail]) for p, f, x in zip(parts, found, lacking)]
 
 
 def write_ids(df: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
@@ -243,15 +257,14 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", t
             ids.clear(), docs.clear()
             return row
 
-        for batch in batches:
+        for batch in slices(batches, 200):
             keys, texts = (batch.column(i).to_pylist() for i in (0, 1))
-            for i in range(0, len(keys), 200):
-                for key, found in zip(keys[i : i + 200], encode_texts(texts[i : i + 200], tokenizer, end_id)):
-                    docs.append(key)
-                    ids.append(found)
-                    held += len(found) // 4
-                    if held >= SEGMENT_IDS:
-                        yield flush()
+            for key, found in zip(keys, encode_texts(texts, tokenizer, end_id)):
+                docs.append(key)
+                ids.append(found)
+                held += len(found) // 4
+                if held >= SEGMENT_IDS:
+                    yield flush()
         if docs:
             yield flush()
 
