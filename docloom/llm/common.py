@@ -46,6 +46,13 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
 
+def slices(batches, rows: int):
+    """Arrow batches in parts of ``rows`` rows, so that little stands in memory as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of one orderable type to ``(node, root)``: root is the smallest node
     that is reachable. Only nodes with an edge are returned.

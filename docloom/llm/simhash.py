@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, text_bytes
+from .common import connected_components, materialize, slices, text_bytes
 
 SEED = 42
 STEP = 1 << 16  # shingles of one text that are hashed at a time
@@ -72,12 +72,24 @@ def fingerprint(text: bytes, k: int, lanes: int = 1) -> bytes:
     return np.packbits(2 * votes > n).tobytes()
 
 
+def sketch(text: bytes, k: int) -> bytes:
+    """One byte for each of BINS: of the shingle hashes whose top bits name the bin the least,
+    reduced to 1..255; 0 without one. The share of equal bytes estimates the Jaccard similarity."""
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles(words_of(text), k)]), ">u8")
+    out = np.zeros(BINS, np.uint8)
+    if len(hashes):
+        hashes = np.sort(hashes.astype(np.uint64))
+        bins, first = np.unique(hashes >> np.uint64(64 - BIN_BITS), return_index=True)
+        out[bins.astype(np.int64)] = hashes[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
 def with_fingerprint(df: DataFrame, text: Column, keep: list[str], k: int, lanes: int = 1) -> DataFrame:
     """``keep`` columns plus ``fp``: array of ``lanes`` signed longs. ``text`` is binary."""
     schema = df.select(*keep).withColumn("fp", F.array(F.lit(0).cast("long"))).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1000):
             n = batch.num_columns - 1
             flat = b"".join(fingerprint(t or b"", k, lanes) for t in batch.column(n).to_pylist())
             values = pa.array(np.frombuffer(flat, ">i8").astype(np.int64))
@@ -130,7 +142,10 @@ def simhash_components(
 LANES = 4
 BLOCK_BITS = 24
 BLOCKS = 96
-SLACK = 56  # of 256 bits: similarity 0.8 differs in 39 on average, with a deviation of 5.7
+SLACK = 50  # of 256 bits: similarity 0.8 differs in 39 on average, with a deviation of 5.7
+BIN_BITS = 9
+BINS = 1 << BIN_BITS
+DOUBT = 0.06  # below the similarity by which a sketch's estimate still leads to an exact comparison
 BROADCAST_IDS = 1_000_000  # ids are sent to all executors up to this many, joined beyond
 
 
@@ -167,7 +182,8 @@ def jaccard(a: bytes, b: bytes, k: int) -> float:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` of text keys whose shingles' Jaccard similarity is ``least`` or more."""
+    """The rows of ``pairs(a, b, ...)`` whose texts' shingles have a Jaccard similarity of ``least``
+    or more."""
     keys = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-keys")
     if keys.count() <= BROADCAST_IDS:
         keys = F.broadcast(keys)
@@ -177,14 +193,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataF
     both = pairs.join(some.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(
         some.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b"
     )
+    names = pairs.columns
 
     def run(batches):
-        for batch in batches:
-            texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        for batch in slices(batches, 200):
+            texts = zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist())
             good = pa.array([jaccard(x, y, k) >= least for x, y in texts], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
+            yield batch.select(names).filter(good)
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select(*names, "ta", "tb").mapInArrow(run, pairs.schema)
 
 
 def _close(pairs: DataFrame, fps: DataFrame) -> DataFrame:
@@ -196,25 +213,101 @@ def _close(pairs: DataFrame, fps: DataFrame) -> DataFrame:
     return both.select("a", "b", sum(bits[1:], bits[0]).alias("d")).filter(F.col("d") <= SLACK)
 
 
+def _by_block(batches):
+    """Runs of rows with one block, from rows sorted by block, as lists of batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
+        edges = [0, *cuts.tolist(), len(block)]
+        for a, b in zip(edges, edges[1:]):
+            if held and held[0].column(0)[0].as_py() != block[a]:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
+def _column(run: list[pa.RecordBatch], i: int) -> np.ndarray:
+    return np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in run])
+
+
+def _words64(run: list[pa.RecordBatch], i: int) -> np.ndarray:
+    return np.concatenate([b.column(i).flatten().to_numpy(zero_copy_only=False) for b in run]).view(np.uint64).reshape(-1, LANES)
+
+
+def _meets(batches):
+    """Members of a block that are close to one of another component: (block, key, root)."""
+    for run in _by_block(batches):
+        key, root, fp = _column(run, 1), _column(run, 2), _words64(run, 3)
+        hit = np.zeros(len(key), bool)
+        step = max(1, 2_000_000 // max(1, len(key)))
+        for a in range(0, len(key), step):
+            d = np.bitwise_count(fp[a : a + step, None, :] ^ fp[None]).sum(2, dtype=np.int32)
+            hit[a : a + step] = ((d <= SLACK) & (root[a : a + step, None] != root[None])).any(1)
+        if hit.any():
+            block = np.full(int(hit.sum()), run[0].column(0)[0].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(key[hit]), pa.array(root[hit])], names=["block", "key", "root"])
+
+
+def _likely(least: float):
+    """Pairs of a block's members, of different components, whose sketches are alike."""
+
+    def run_(batches):
+        for run in _by_block(batches):
+            key, root = _column(run, 1), _column(run, 2)
+            marks = np.frombuffer(b"".join(x for b in run for x in b.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
+            step = max(1, 16_000_000 // (BINS * len(key)))
+            for a in range(0, len(key), step):
+                own = marks[a : a + step, None, :]
+                same = ((own == marks[None]) & (own != 0)).sum(2)
+                either = ((own != 0) | (marks[None] != 0)).sum(2)
+                good = (same >= (least - DOUBT) * either) & (root[a : a + step, None] < root[None])
+                x, y = np.nonzero(good)
+                if len(x):
+                    found = (key[a + x], key[y], root[a + x], root[y])
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["a", "b", "ra", "rb"])
+
+    return run_
+
+
 def near_copies(df: DataFrame, text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(key, root)`` for each distinct text, key being its 64-bit hash: texts of one root are
     equal or linked by pairs of ``similarity`` or more.
 
     Two passes keep large groups from becoming all their pairs. The first links each text to
-    the nearest of the smallest members of its blocks: at most one pair a text. The second
-    compares within blocks only what is still in different components.
+    the nearest of the most central members of its blocks: at most one pair a text. The second
+    compares within blocks only what is still in different components, in the tasks, by
+    fingerprints and then by sketches; only pairs that look similar enough leave them.
     """
     texts = df.select(text_key(text_col).alias("key"), text_bytes(text_col).alias("text"))
-    fps = with_fingerprint(texts, F.col("text"), ["key"], k, LANES)
-    fps = materialize(fps.groupBy("key").agg(F.first("fp").alias("fp")), "near-fp")
+
+    def marked(batches):
+        for batch in slices(batches, 1000):
+            found = batch.column(1).to_pylist()
+            flat = np.frombuffer(b"".join([fingerprint(t, k, LANES) for t in found]), ">i8").astype(np.int64)
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * LANES)
+            fp = pa.ListArray.from_arrays(offsets, pa.array(flat))
+            marks = pa.array([sketch(t, k) for t in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, marks], names=["key", "fp", "marks"])
+
+    fps = texts.mapInArrow(marked, "key long, fp array<long>, marks binary")
+    fps = materialize(fps.groupBy("key").agg(F.first("fp").alias("fp"), F.first("marks").alias("marks")), "near-fp")
     in_block = Window.partitionBy("block")
     blocks = (
-        fps.mapInArrow(_spread, "block long, key long")
-        .select("block", "key", F.count("*").over(in_block).alias("n"), F.min("key").over(in_block).alias("head"))
+        fps.select("key", "fp")
+        .mapInArrow(_spread, "block long, key long")
+        .withColumn("n", F.count("*").over(in_block))
         .filter("n > 1")
-        .drop("n")
     )
     blocks = materialize(blocks, "near-blocks")
+    # the text that others were copied from shares blocks with more texts than they do
+    reach = blocks.groupBy("key").agg(F.sum("n").alias("n"))
+    central = F.max(F.struct("n", "key")).over(in_block)["key"]
+    blocks = materialize(blocks.drop("n").join(reach, "key").select("block", "key", central.alias("head")), "near-heads")
     star = blocks.filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
     star = _close(star, fps).groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     sure = materialize(_verified(materialize(star, "near-star"), texts, k, similarity), "near-sure")
@@ -223,16 +316,18 @@ def near_copies(df: DataFrame, text_col: str = "text", k: int = 5, similarity: f
     placed = materialize(placed.withColumn("root", F.coalesce("root", "key")), "near-placed")
     mixed = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     placed = placed.join(mixed.filter("lo <> hi").select("block"), "block", "left_semi")
-    x, y = placed.alias("x"), placed.alias("y")
-    cross = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.root") < F.col("y.root")))
-    cross = cross.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    cross = materialize(_close(cross, fps).select("a", "b"), "near-cross")
-    roots = connected_components(sure.union(_verified(cross, texts, k, similarity)))
-    return (
-        fps.select("key")
-        .join(roots.withColumnRenamed("node", "key"), "key", "left")
-        .withColumn("root", F.coalesce("root", "key"))
-    )
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = lambda rows: rows.repartition(n, "block").sortWithinPartitions("block")
+    meet = sorted_(placed.join(fps.select("key", "fp"), "key").select("block", "key", "root", "fp"))
+    meet = materialize(meet.mapInArrow(_meets, "block long, key long, root long"), "near-meet")
+    alike = sorted_(meet.join(fps.select("key", "marks"), "key").select("block", "key", "root", "marks"))
+    cross = alike.mapInArrow(_likely(similarity), "a long, b long, ra long, rb long").distinct()
+    cross = _verified(materialize(cross, "near-cross"), texts, k, similarity)
+    # what the second pass joins are components of the first
+    joined = connected_components(cross.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    first = fps.select("key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    second = first.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+    return second.select("key", F.coalesce("last", "root").alias("root"))
 
 
 def keep_one(

@@ -185,9 +185,10 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     """``docs(t, text)``, t a key of the text, to ``(t, first, last)``: runs of window starts
     whose strings of ``length`` bytes occur elsewhere. Equal texts are to be looked for apart."""
     rows = docs.mapInArrow(_anchors(length), "g long, c long, t long, lo long, n int, reach int")
-    # counted before they are joined: a name that a third of the texts share is split then
+    # counted, and the counts written, before they are joined: between two tables Spark splits a name
+    # that a third of the texts share
     rows = materialize(rows, "suffix-names")
-    rows = materialize(rows.join(_twice(rows.select("g"), "g"), "g"), "suffix-anchors")
+    rows = materialize(rows.join(materialize(_twice(rows.select("g"), "g"), "suffix-twice"), "g"), "suffix-anchors")
     ctx = materialize(
         rows.groupBy("g", "c").agg(
             F.count("*").alias("k"),

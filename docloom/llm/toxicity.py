@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 TRAIN_ROWS = 12_000
 MAX_FEATURES = 20_000
 MIN_DOCS = 5
 THRESHOLD = 0.3
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _PART = re.compile(r"[^\W\d_]+")
@@ -118,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
 
     def seen(batches):
-        for batch in batches:
+        for batch in slices(batches, 500):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = {w for s in sentences(text) for w in s.split()}
                 found = sorted({f for w in words for f in features(w)})
@@ -146,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     number = {r.f: i for i, r in enumerate(kept.collect())}
 
     def bags(batches):
-        for batch in batches:
+        for batch in slices(batches, 500):
             sizes, flat = [], []
             for text in batch.column(0).to_pylist():
                 bag = [[number[f] for w in s.split() for f in features(w) if f in number] for s in sentences(text)]
@@ -188,7 +190,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         words = _Words(model.weights)
-        for batch in batches:
+        for batch in slices(batches, 500):
             at = batch.num_columns - 1
             out = [score_text(t, model, words) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
