@@ -38,7 +38,7 @@ from .common import materialize, slices, text_bytes
 GRAM = 32
 WIDTHS = (32, 4, 1)
 OUT_ROWS = 250  # texts that are cut at a time
-PIECE = 1 << 20  # bytes of text that are named at a time
+PIECE = 1 << 19  # bytes of text that are named at a time
 BROADCAST_KEYS = 1_000_000  # keys are sent to all executors up to this many, joined beyond
 POSITION = np.uint64((1 << 24) - 1)
 
