@@ -257,8 +257,8 @@ def _cut(text: bytes, first: np.ndarray, last: np.ndarray, whole: bool, length:
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200) -> DataFrame:
-    """The columns of ``df`` plus ``__kept`` (binary, the bytes that remain), ``__n_bytes``,
-    ``__n_removed`` and ``__n_spans`` (long)."""
+    """The columns of ``df`` but the text, plus ``__kept`` (binary, the bytes that remain of it),
+    ``__n_bytes``, ``__n_removed`` and ``__n_spans`` (long)."""
     if length < 2 * GRAM + WIDTHS[0]:
         raise ValueError(f"length must be at least {2 * GRAM + WIDTHS[0]}")
     docs = df.select(F.xxhash64(text_bytes(text_col)).alias("t"), text_bytes(text_col).alias("text"))
@@ -268,7 +268,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200) ->
         F.collect_list(F.struct("first", "last")).alias("windows")
     )
     found = materialize(spans.join(copies, "t", "full"), "suffix-spans")
-    tagged = df.withColumn("__t", F.xxhash64(text_bytes(text_col))).withColumn("__text", text_bytes(text_col))
+    tagged = df.withColumn("__t", F.xxhash64(text_bytes(text_col))).withColumn("__text", text_bytes(text_col)).drop(text_col)
     keys, few = _few(found.select(F.col("t").alias("__t")))
     found = found.withColumnRenamed("t", "__t").withColumnsRenamed({"windows": "__windows", "whole": "__whole"})
     if few:  # texts without a repeat then need not move
@@ -278,7 +278,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200) ->
         both = hit.unionByName(miss)
     else:
         both = tagged.join(found, "__t", "left")
-    keep = df.columns
+    keep = [c for c in df.columns if c != text_col]
     schema = df.limit(0).select(
         *keep, F.lit(b"").alias("__kept"), *(F.lit(0).cast("long").alias(c) for c in ("__n_bytes", "__n_removed", "__n_spans"))
     ).schema
@@ -307,12 +307,12 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200) ->
 def clean_texts(df: DataFrame, text_col: str = "text", length: int = 200) -> DataFrame:
     """``df`` with the repeats cut out of its texts. A character that loses some of its bytes
     goes; ``n_chars``, if there, counts the characters that are left; null texts stay null."""
-    out = remove_repeats(df, text_col, length)
-    whole = F.try_validate_utf8(F.col("__kept")) if hasattr(F, "try_validate_utf8") else F.col("__kept").cast("string")
-    text = F.when(F.col("__n_removed") == 0, F.col(text_col)).otherwise(
-        F.coalesce(whole, F.regexp_replace(F.make_valid_utf8(F.col("__kept").cast("string")), "�", ""))
+    out = remove_repeats(df.withColumn("__null", F.col(text_col).isNull()), text_col, length)
+    whole = F.col("__kept").cast("string")
+    text = F.when(F.col("__n_removed") == 0, whole).otherwise(
+        F.coalesce(F.try_validate_utf8(whole), F.regexp_replace(F.make_valid_utf8(whole), "\ufffd", ""))
     )
-    out = out.withColumn(text_col, text)
+    out = out.withColumn(text_col, F.when(~F.col("__null"), text))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(F.col("__n_removed") == 0, F.col("n_chars")).otherwise(F.length(text_col).cast(df.schema["n_chars"].dataType)))
     return out.select(*df.columns)
