@@ -8,8 +8,9 @@ Equal fingerprints are one node. Two widths are in use:
   so they share one of the keys made of two blocks. No pair is missed.
 * 256 bits and a large distance (``near_copies``): similarity 0.8 of five-word shingles means
   some 39 of 256 bits, for which disjoint blocks are no filter. The blocks are then fixed
-  pseudo-random choices of 24 of the 256 bits. Pairs that share one are verified by the
-  Hamming distance and then exactly, by the Jaccard similarity of their shingles.
+  pseudo-random choices of 24 of the 256 bits, and the nearest of those that share one is
+  verified exactly, by the Jaccard similarity of their shingles. As such blocks miss pairs, an
+  exact join on the rarest shingles finds the rest. No pair is missed.
 
 Defined cases: a null text counts as empty; a text without words has the fingerprint zero; a
 text with fewer words than a shingle is one shingle; null ids never become a component's id
@@ -18,6 +19,7 @@ unless the whole component has no other; repeated rows each come back, in one co
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from itertools import combinations
@@ -72,16 +74,17 @@ def fingerprint(text: bytes, k: int, lanes: int = 1) -> bytes:
     return np.packbits(2 * votes > n).tobytes()
 
 
-def sketch(text: bytes, k: int) -> bytes:
-    """One byte for each of BINS: of the shingle hashes whose top bits name the bin the least,
-    reduced to 1..255; 0 without one. The share of equal bytes estimates the Jaccard similarity."""
+def token_hashes(text: bytes, k: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, ascending; one for a text without words."""
     hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles(words_of(text), k)]), ">u8")
-    out = np.zeros(BINS, np.uint8)
-    if len(hashes):
-        hashes = np.sort(hashes.astype(np.uint64))
-        bins, first = np.unique(hashes >> np.uint64(64 - BIN_BITS), return_index=True)
-        out[bins.astype(np.int64)] = hashes[first] % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
+    return np.unique(hashes.astype(np.uint64)) if len(hashes) else np.zeros(1, np.uint64)
+
+
+def prefix(hashes: np.ndarray, least: float, classes: np.ndarray) -> np.ndarray:
+    """The first of ``hashes`` in the order of their class, then value. Two sets with a Jaccard
+    similarity of ``least`` or more have one in common."""
+    order = np.argsort(classes[hashes >> np.uint64(64 - CLASS_BITS)], kind="stable")
+    return hashes[order[: len(hashes) - math.ceil(least * len(hashes) - EPSILON) + 1]]
 
 
 def with_fingerprint(df: DataFrame, text: Column, keep: list[str], k: int, lanes: int = 1) -> DataFrame:
@@ -142,10 +145,11 @@ def simhash_components(
 LANES = 4
 BLOCK_BITS = 24
 BLOCKS = 96
-SLACK = 50  # of 256 bits: similarity 0.8 differs in 39 on average, with a deviation of 5.7
-BIN_BITS = 9
-BINS = 1 << BIN_BITS
-DOUBT = 0.06  # below the similarity by which a sketch's estimate still leads to an exact comparison
+CLASS_BITS = 20
+SAMPLE = 8  # one text in so many counts for the classes
+OFTEN = 3  # a shingle found in so many texts of the sample is no longer of class 0
+SPLIT = 1000  # rows of one shingle that meet all its other rows in one task
+EPSILON = 1e-9
 BROADCAST_IDS = 1_000_000  # ids are sent to all executors up to this many, joined beyond
 
 
@@ -205,97 +209,95 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataF
 
 
 def _close(pairs: DataFrame, fps: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` with ``d``, the differing bits of their fingerprints, up to SLACK."""
+    """Pairs ``(a, b)`` with ``d``, the differing bits of their fingerprints."""
     both = pairs.join(fps.select(F.col("key").alias("a"), F.col("fp").alias("fa")), "a").join(
         fps.select(F.col("key").alias("b"), F.col("fp").alias("fb")), "b"
     )
     bits = [F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(LANES)]
-    return both.select("a", "b", sum(bits[1:], bits[0]).alias("d")).filter(F.col("d") <= SLACK)
+    return both.select("a", "b", sum(bits[1:], bits[0]).alias("d"))
 
 
-def _by_block(batches):
-    """Runs of rows with one block, from rows sorted by block, as lists of batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        block = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
-        edges = [0, *cuts.tolist(), len(block)]
-        for a, b in zip(edges, edges[1:]):
-            if held and held[0].column(0)[0].as_py() != block[a]:
-                yield held
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield held
-
-
-def _column(run: list[pa.RecordBatch], i: int) -> np.ndarray:
-    return np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in run])
-
-
-def _words64(run: list[pa.RecordBatch], i: int) -> np.ndarray:
-    return np.concatenate([b.column(i).flatten().to_numpy(zero_copy_only=False) for b in run]).view(np.uint64).reshape(-1, LANES)
-
-
-def _meets(batches):
-    """Members of a block that are close to one of another component: (block, key, root)."""
-    for run in _by_block(batches):
-        key, root, fp = _column(run, 1), _column(run, 2), _words64(run, 3)
-        hit = np.zeros(len(key), bool)
-        step = max(1, 2_000_000 // max(1, len(key)))
-        for a in range(0, len(key), step):
-            d = np.bitwise_count(fp[a : a + step, None, :] ^ fp[None]).sum(2, dtype=np.int32)
-            hit[a : a + step] = ((d <= SLACK) & (root[a : a + step, None] != root[None])).any(1)
-        if hit.any():
-            block = np.full(int(hit.sum()), run[0].column(0)[0].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(key[hit]), pa.array(root[hit])], names=["block", "key", "root"])
-
-
-def _likely(least: float):
-    """Pairs of a block's members, of different components, whose sketches are alike."""
-
-    def run_(batches):
-        for run in _by_block(batches):
-            key, root = _column(run, 1), _column(run, 2)
-            marks = np.frombuffer(b"".join(x for b in run for x in b.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
-            step = max(1, 16_000_000 // (BINS * len(key)))
-            for a in range(0, len(key), step):
-                own = marks[a : a + step, None, :]
-                same = ((own == marks[None]) & (own != 0)).sum(2)
-                either = ((own != 0) | (marks[None] != 0)).sum(2)
-                good = (same >= (least - DOUBT) * either) & (root[a : a + step, None] < root[None])
-                x, y = np.nonzero(good)
-                if len(x):
-                    found = (key[a + x], key[y], root[a + x], root[y])
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["a", "b", "ra", "rb"])
-
-    return run_
+def _classes(texts: DataFrame, k: int) -> np.ndarray:
+    """How often shingles occur, as powers of two in a sample, by the first bits of their hashes. It
+    only sets the order that ``prefix`` takes: frequent shingles come last."""
+
+    def run(batches):
+        for batch in slices(batches, 200):
+            found = np.concatenate([token_hashes(t, k) for t in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["token"])
+
+    some = texts.filter(F.pmod("key", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "token long")
+    often = some.groupBy("token").count().filter(F.col("count") >= OFTEN)
+    slot = F.shiftrightunsigned("token", 64 - CLASS_BITS).cast("int")
+    table = often.groupBy(slot.alias("slot")).agg(F.max(F.ceil(F.log2("count"))).cast("int").alias("class")).toPandas()
+    out = np.zeros(1 << CLASS_BITS, np.uint8)
+    out[table["slot"].to_numpy(np.int64)] = table["class"].to_numpy(np.uint8)
+    return out
+
+
+def _possible(a: str, b: str, least: float) -> Column:
+    """False for rows ``a`` and ``b`` of one shingle whose texts can't have it as their first in common
+    and a similarity of ``least``, by their numbers of shingles and its places."""
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    common = F.least(x - F.col(f"{a}.pos"), y - F.col(f"{b}.pos"))
+    return (F.least(x, y) >= least * F.greatest(x, y) - EPSILON) & ((1 + least) * common >= least * (x + y) - EPSILON)
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of shingles that texts of different components share, with the least component ``lo``."""
+    own = Window.partitionBy("token")
+    found = rows.withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own), "n": F.count("*").over(own)})
+    return materialize(found.filter("lo <> hi").drop("hi"), "near-tokens")
+
+
+def _to_least(mixed: DataFrame, least: float) -> DataFrame:
+    """For each text the one of the least components' first texts that shares most shingles with it."""
+    head = F.min(F.struct("root", "key", "size", "pos")).over(Window.partitionBy("token"))
+    a = mixed.withColumn("h", head).filter("root <> h.root").alias("a")
+    both = a.filter(_possible("a", "h", least)).groupBy("a.key", "a.root", F.col("h.key").alias("b"), F.col("h.root").alias("rb")).count()
+    best = F.max(F.struct("count", "b", "rb")).alias("best")
+    return both.groupBy("key", "root").agg(best).select(F.col("key").alias("a"), "best.b", F.col("root").alias("ra"), "best.rb")
+
+
+def _all_pairs(mixed: DataFrame, least: float) -> DataFrame:
+    """All pairs of different components that share a shingle of their prefixes. A frequent shingle's
+    rows are split over several keys; each part meets all the others."""
+    parts = F.ceil(F.col("n") / SPLIT).cast("int")
+    a = mixed.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).alias("a")
+    b = mixed.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("b")
+    same = (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part"))
+    pairs = a.join(b, same & (F.col("a.root") < F.col("b.root")) & _possible("a", "b", least))
+    return pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb")).distinct()
 
 
 def near_copies(df: DataFrame, text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(key, root)`` for each distinct text, key being its 64-bit hash: texts of one root are
     equal or linked by pairs of ``similarity`` or more.
 
-    Two passes keep large groups from becoming all their pairs. The first links each text to
-    the nearest of the most central members of its blocks: at most one pair a text. The second
-    compares within blocks only what is still in different components, in the tasks, by
-    fingerprints and then by sketches; only pairs that look similar enough leave them.
+    SimHash blocks link each text to the nearest of the most central members of its blocks, at most
+    one pair a text, which keeps large groups from becoming all their pairs. What that leaves in
+    different components is found by an exact prefix-filter join: texts of ``similarity`` share one
+    of the rarest shingles, a fifth of each text's. First each text meets one other, then all do.
     """
     texts = df.select(text_key(text_col).alias("key"), text_bytes(text_col).alias("text"))
+    classes = _classes(texts, k)
+
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
 
     def marked(batches):
         for batch in slices(batches, 1000):
             found = batch.column(1).to_pylist()
-            flat = np.frombuffer(b"".join([fingerprint(t, k, LANES) for t in found]), ">i8").astype(np.int64)
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * LANES)
-            fp = pa.ListArray.from_arrays(offsets, pa.array(flat))
-            marks = pa.array([sketch(t, k) for t in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, marks], names=["key", "fp", "marks"])
-
-    fps = texts.mapInArrow(marked, "key long, fp array<long>, marks binary")
-    fps = materialize(fps.groupBy("key").agg(F.first("fp").alias("fp"), F.first("marks").alias("marks")), "near-fp")
+            fp = lists([np.frombuffer(fingerprint(t, k, LANES), ">i8").astype(np.int64) for t in found])
+            hashes = [token_hashes(t, k) for t in found]
+            tokens = lists([prefix(h, similarity, classes).view(np.int64) for h in hashes])
+            size = pa.array(list(map(len, hashes)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, size, tokens], names=["key", "fp", "size", "tokens"])
+
+    fps = texts.mapInArrow(marked, "key long, fp array<long>, size int, tokens array<long>")
+    fps = fps.groupBy("key").agg(*(F.first(c).alias(c) for c in ("fp", "size", "tokens")))
+    fps = materialize(fps, "near-fp")
     in_block = Window.partitionBy("block")
     blocks = (
         fps.select("key", "fp")
@@ -307,27 +309,25 @@ def near_copies(df: DataFrame, text_col: str = "text", k: int = 5, similarity: f
     # the text that others were copied from shares blocks with more texts than they do
     reach = blocks.groupBy("key").agg(F.sum("n").alias("n"))
     central = F.max(F.struct("n", "key")).over(in_block)["key"]
-    blocks = materialize(blocks.drop("n").join(reach, "key").select("block", "key", central.alias("head")), "near-heads")
-    star = blocks.filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
+    heads = blocks.drop("n").join(reach, "key").select("key", central.alias("head"))
+    star = heads.filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
     star = _close(star, fps).groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     sure = materialize(_verified(materialize(star, "near-star"), texts, k, similarity), "near-sure")
-    roots = connected_components(sure).withColumnRenamed("node", "key")
-    placed = blocks.drop("head").join(roots, "key", "left")
-    placed = materialize(placed.withColumn("root", F.coalesce("root", "key")), "near-placed")
-    mixed = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    placed = placed.join(mixed.filter("lo <> hi").select("block"), "block", "left_semi")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = lambda rows: rows.repartition(n, "block").sortWithinPartitions("block")
-    meet = sorted_(placed.join(fps.select("key", "fp"), "key").select("block", "key", "root", "fp"))
-    meet = materialize(meet.mapInArrow(_meets, "block long, key long, root long"), "near-meet")
-    alike = sorted_(meet.join(fps.select("key", "marks"), "key").select("block", "key", "root", "marks"))
-    cross = alike.mapInArrow(_likely(similarity), "a long, b long, ra long, rb long").distinct()
-    cross = _verified(materialize(cross, "near-cross"), texts, k, similarity)
-    # what the second pass joins are components of the first
-    joined = connected_components(cross.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-    first = fps.select("key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    second = first.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
-    return second.select("key", F.coalesce("last", "root").alias("root"))
+
+    def replaced(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        new = roots.select(F.col("node").alias("root"), F.col("root").alias("__root"))
+        return rows.join(new, "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root")
+
+    placed = materialize(replaced(fps.select("key", F.col("key").alias("root")), connected_components(sure)), "near-placed")
+    tokens = fps.join(placed, "key").select("key", "root", "size", F.posexplode("tokens").alias("pos", "token"))
+    mixed = _mixed(tokens)
+    for candidates in (_to_least, _all_pairs):
+        cross = _verified(materialize(candidates(mixed, similarity), "near-cross"), texts, k, similarity)
+        roots = connected_components(cross.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        placed = replaced(placed, roots)
+        if candidates is _to_least:
+            mixed = _mixed(replaced(mixed.drop("lo", "n"), roots))
+    return placed.select("key", "root")
 
 
 def keep_one(

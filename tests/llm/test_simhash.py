@@ -75,3 +75,32 @@ def test_long_chains_and_stars_have_one_root(spark):
 def test_fingerprint_of_a_text_longer_than_a_step():
     text = " ".join(str(i % 977) for i in range(70000)).encode()
     assert int.from_bytes(fingerprint(text, 3), "big") == brute_fp(text.decode())
+
+
+def test_no_near_copy_is_missed_at_the_threshold(spark):
+    r = random.Random(3)
+    rows, pairs = [], []
+    for n, m in [(8, 0)] * 40 + [(10, 0)] * 20 + [(60, 1)] * 20 + [(300, 6)] * 20:
+        words = [f"w{r.randrange(10**9)}" for _ in range(n)]
+        other = list(words) if m else [*words, "end"]
+        for i in r.sample(range(5, n - 5), m) if m else []:
+            other[i] = "new"
+        a, b = " ".join(words), " ".join(other)
+        if jaccard(a.encode(), b.encode(), 5) >= 0.8:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    # a family whose members lie just below 0.8 of each other and one text near to each of two
+    base = [f"f{i}" for i in range(104)]
+    rows += [(10_000 + i, " ".join(base[:80] + [f"x{i}_{j}" for j in range(24)])) for i in range(60)]
+    assert len(pairs) > 80
+    got = {x.doc_id for x in keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {a for a, _ in pairs} | {10_000 + i for i in range(60)}
+
+
+def test_a_frequent_shingle_is_split_without_loss(spark, monkeypatch):
+    from docloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "SPLIT", 3)
+    schema = "key long, root long, size int, pos int, token long, n long"
+    rows = spark.createDataFrame([(i, i, 5, 0, 1, 20) for i in range(20)], schema)
+    assert simhash._all_pairs(rows, 0.8).count() == 190
