@@ -38,10 +38,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, little-endian unsigned 32-bit, of each document taken."""
-    out = pieces.encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    """Token ids, little-endian unsigned 32-bit, of each document taken, and its place in training."""
+    docs = mixing.rank_in_order(docs).select("position", "doc_id", "source", "text")
+    out = pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
     n_tokens = (F.octet_length("__ids") / 4).cast("long")
-    return out.select("doc_id", "source", n_tokens.alias("n_tokens"), F.col("__ids").alias("ids"))
+    return out.select("doc_id", "source", n_tokens.alias("n_tokens"), F.col("__ids").alias("ids"), "position")
 
 
 STAGES = [

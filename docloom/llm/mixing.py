@@ -22,10 +22,11 @@ with no rows, or no words at all, targets are 0.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialize
 
 RANGES = 1024  # hash ranges of a source
 CAP = 3.0
@@ -90,18 +91,47 @@ def mix(df: DataFrame, size_col: str, key: Column, source_col: str = "source", c
     return rows.select(*df.columns, "__source_size", "__target", "__copies", "__before", "__tilt")
 
 
+def position(copy: Column, size_col: str) -> Column:
+    """The training time from 0 to 1 at which a copy of a row of ``mix`` is reached."""
+    place = copy * F.col("__source_size") + F.col("__before") + F.col(size_col) * 0.5
+    u = F.when(F.col("__target") > 0, F.least(place / F.col("__target"), F.lit(1.0))).otherwise(F.lit(0.5))
+    b = F.col("__tilt")
+    return 2 * u / ((1 - b) + F.sqrt((1 - b) * (1 - b) + 4 * b * u))
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, "__position").sortWithinPartitions("__position")
+
+
 def train_order(mixed: DataFrame, size_col: str, keep: list[str]) -> DataFrame:
     """A row for each copy, range-sorted by ``__position``, the training time from 0 to 1."""
     copies = mixed.filter(
         "__copies > 0"
     ).withColumn("__copy", F.explode(F.expr("sequence(0, __copies - 1)")))
-    place = F.col("__copy") * F.col("__source_size") + F.col("__before") + F.col(size_col) * 0.5
-    u = F.when(F.col("__target") > 0, F.least(place / F.col("__target"), F.lit(1.0))).otherwise(F.lit(0.5))
-    b = F.col("__tilt")
-    position = 2 * u / ((1 - b) + F.sqrt((1 - b) * (1 - b) + 4 * b * u))
-    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = copies.withColumn("__position", position).select(*keep, "__position", "__copy")
-    return ordered.repartitionByRange(n, "__position").sortWithinPartitions("__position")
+    return _ranged(copies.withColumn("__position", position(F.col("__copy"), size_col)).select(*keep, "__position", "__copy"))
+
+
+def first_order(mixed: DataFrame, size_col: str) -> DataFrame:
+    """The rows of ``mix`` range-sorted by ``__position``, that of their first copy; rows without
+    a copy come last, from 2 on by their place in the source, so that they are not all one value."""
+    place = F.col("__before") / F.greatest(F.col("__source_size"), F.lit(1))
+    first = F.when(F.col("__copies") > 0, position(F.lit(0), size_col)).otherwise(2 + place)
+    return _ranged(mixed.withColumn("__position", first))
+
+
+def rank_in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` plus ``position``: the place of each, from 0, in the frame that was written to the files
+    that it reads, however those are split. A frame that reads no files is written first."""
+    where = [F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    try:
+        tagged = rows.select("*", *where)
+    except AnalysisException:
+        tagged = materialize(rows, "in-order").select("*", *where)
+    part = F.regexp_extract("__file", r"part-(\d+)", 1).try_cast("long")
+    ahead = Window.orderBy(part, "__file").rowsBetween(Window.unboundedPreceding, -1)
+    files = tagged.groupBy("__file").count().select("__file", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__ahead"))
+    return tagged.join(F.broadcast(files), "__file").select(*rows.columns, (F.col("__ahead") + F.col("__row")).alias("position"))
 
 
 def sql(table: str = "documents") -> str:

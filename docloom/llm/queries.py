@@ -69,7 +69,8 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    out = mixing.mix(docs, "size", mixing.order_key("doc_id"))
+    # rows come in the order in which training first reaches them
+    out = mixing.first_order(mixing.mix(docs, "size", mixing.order_key("doc_id")), "size")
     return out.select(
         "doc_id",
         "size",

@@ -102,3 +102,32 @@ def test_early_sources_come_early(spark):
 def test_word_count(spark):
     df = spark.createDataFrame([("a b c\x0bd \t",), (None,), ("",)], "t string")
     assert [x[0] for x in df.select(mixing.word_count(F.col("t"))).collect()] == [3, 0, 0]
+
+
+def test_results_follow_the_curriculum(spark, tmp_path):
+    import corpus_pipeline
+    from docloom.llm import queries
+
+    rows = [(i, f"{'abc'[i % 3]} {i} x y", "en", "abc"[i % 3], 9) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    mixed = mixing.mix(docs.withColumn("size", mixing.word_count(F.col("text"))), "size", mixing.order_key("doc_id"))
+    order = mixing.train_order(mixed, "size", ["doc_id"]).collect()
+    first = {}
+    for r in order:
+        first.setdefault(r.doc_id, r["__position"])
+    got = [x.doc_id for x in queries.op6_mixing_target_weights(spark, str(tmp_path)).collect()]
+    at = [first.get(x, 2.0) for x in got]
+    assert len(got) == 3000 and at == sorted(at) and got != sorted(got)
+    stage = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    stage.write.parquet(f"{tmp_path}/mixed")
+    again = spark.read.parquet(f"{tmp_path}/mixed")
+    for frame in (again, stage):
+        out = sorted(corpus_pipeline.encode(spark, frame, str(tmp_path)).collect(), key=lambda x: x.position)
+        assert [x.position for x in out] == list(range(len(order)))
+        assert Counter(x.doc_id for x in out) == Counter(x.doc_id for x in order)
+        place = {}
+        for r in order:
+            place.setdefault(r.doc_id, []).append(r["__position"])
+        assert all(order[x.position]["__position"] in place[x.doc_id] for x in out)
