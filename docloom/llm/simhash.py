@@ -14,7 +14,9 @@ Equal fingerprints are one node. Two widths are in use:
 
 Defined cases: a null text counts as empty; a text without words has the fingerprint zero; a
 text with fewer words than a shingle is one shingle; null ids never become a component's id
-unless the whole component has no other; repeated rows each come back, in one component.
+unless the whole component has no other; repeated rows each come back, in one component; very long
+texts are hashed in whole, STEP shingles at a time; an empty table gives an empty one; other columns are
+not read by ``simhash_components`` and are kept as they are by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, slices, text_bytes
+from .common import connected_components, guarded, materialize, release, slices, text_bytes, text_key
 
 SEED = 42
 STEP = 1 << 16  # shingles of one text that are hashed at a time
@@ -54,17 +56,17 @@ def shingles(words: list[bytes], k: int) -> Iterator[bytes]:
         yield line[a:b]
 
 
-def fingerprint(text: bytes, k: int, lanes: int = 1) -> bytes:
-    """``lanes`` times 64 bits, the highest bit first; lane i hashes with seed SEED + i."""
-    votes, n, part = np.zeros(64 * lanes, np.int64), 0, []
+def fingerprint(text: bytes, k: int) -> bytes:
+    """64 bits, the highest bit first."""
+    votes, n, part = np.zeros(64, np.int64), 0, []
 
     def count() -> None:
-        bits = np.unpackbits(np.frombuffer(b"".join(part), np.uint8).reshape(-1, 8 * lanes), axis=1)
+        bits = np.unpackbits(np.frombuffer(b"".join(part), np.uint8).reshape(-1, 8), axis=1)
         votes[:] += bits.sum(0, dtype=np.int64)
 
     digest = xxhash.xxh64_digest
     for s in shingles(words_of(text), k):
-        part.append(digest(s, SEED) if lanes == 1 else b"".join([digest(s, SEED + i) for i in range(lanes)]))
+        part.append(digest(s, SEED))
         n += 1
         if len(part) == STEP:
             count()
@@ -74,10 +76,46 @@ def fingerprint(text: bytes, k: int, lanes: int = 1) -> bytes:
     return np.packbits(2 * votes > n).tobytes()
 
 
-def token_hashes(text: bytes, k: int) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's shingles, ascending; one for a text without words."""
-    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles(words_of(text), k)]), ">u8")
-    return np.unique(hashes.astype(np.uint64)) if len(hashes) else np.zeros(1, np.uint64)
+class _Known(dict):
+    """The hashes of words that a task has met, up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+def token_hashes(text: bytes, k: int, known: _Known) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, ascending, each made of the hashes of its words;
+    one for a text without words."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(1, np.uint64)
+    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    k = min(k, len(each))
+    n = len(each) - k + 1
+    out = np.zeros(n, np.uint64)
+    for i in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n]
+    return np.unique(_mixed_bits(out))
+
+
+def _mixed_bits(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """LANES signed longs; a bit is 1 if it is set for over half of the hashes."""
+    votes = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(hashes), STEP):
+        part = hashes[at : at + STEP, None] + np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        bits = np.unpackbits(_mixed_bits(part).view(np.uint8), axis=1)
+        for low in range(0, len(bits), 255):  # as many as a byte can count
+            votes += bits[low : low + 255].sum(0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(hashes)).view(np.int64)
 
 
 def prefix(hashes: np.ndarray, least: float, classes: np.ndarray) -> np.ndarray:
@@ -87,19 +125,16 @@ def prefix(hashes: np.ndarray, least: float, classes: np.ndarray) -> np.ndarray:
     return hashes[order[: len(hashes) - math.ceil(least * len(hashes) - EPSILON) + 1]]
 
 
-def with_fingerprint(df: DataFrame, text: Column, keep: list[str], k: int, lanes: int = 1) -> DataFrame:
-    """``keep`` columns plus ``fp``: array of ``lanes`` signed longs. ``text`` is binary."""
-    schema = df.select(*keep).withColumn("fp", F.array(F.lit(0).cast("long"))).schema
+def with_fingerprint(df: DataFrame, text: Column, keep: list[str], k: int) -> DataFrame:
+    """``keep`` columns plus ``fp``, a signed long. ``text`` is binary."""
+    schema = df.select(*keep).withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches):
         for batch in slices(batches, 1000):
             n = batch.num_columns - 1
-            flat = b"".join(fingerprint(t or b"", k, lanes) for t in batch.column(n).to_pylist())
+            flat = b"".join(fingerprint(t or b"", k) for t in batch.column(n).to_pylist())
             values = pa.array(np.frombuffer(flat, ">i8").astype(np.int64))
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * lanes)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n], pa.ListArray.from_arrays(offsets, values)], names=schema.names
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], values], names=schema.names)
 
     return df.select(*keep, text.alias("__text")).mapInArrow(run, schema)
 
@@ -129,7 +164,7 @@ def simhash_components(
     rows = with_fingerprint(
         df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t")), F.col("t"), ["id"], k
     )
-    rows = materialize(rows.select("id", F.col("fp")[0].alias("fp")), "simhash")
+    rows = materialize(rows, "simhash")
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = connected_components(link_fingerprints(nodes.select("fp"), max_bits))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
@@ -144,20 +179,19 @@ def simhash_components(
 
 LANES = 4
 BLOCK_BITS = 24
-BLOCKS = 96
+BLOCKS = 48
 CLASS_BITS = 20
+KNOWN_WORDS = 1 << 17  # words whose hashes a task keeps at a time
 SAMPLE = 8  # one text in so many counts for the classes
 OFTEN = 3  # a shingle found in so many texts of the sample is no longer of class 0
 SPLIT = 1000  # rows of one shingle that meet all its other rows in one task
+ROUNDS = 1  # in which texts meet some others before all do
+HEADS = 4  # texts of one shingle that its others meet in a round
+NEAREST = 3  # pairs of a text that a round verifies
 EPSILON = 1e-9
 BROADCAST_IDS = 1_000_000  # ids are sent to all executors up to this many, joined beyond
 
 
-def text_key(text_col: str) -> Column:
-    """A text's node in the graph of copies: 64 bits of its UTF-8 bytes."""
-    return F.xxhash64(text_bytes(text_col))
-
-
 def block_keys(bits: np.ndarray) -> np.ndarray:
     """(n, 256) bits to (n, BLOCKS) block values; each block is a fixed choice of bits."""
     rng = random.Random(SEED)
@@ -176,7 +210,7 @@ def _spread(batches):
             bits = np.unpackbits(flat.astype(">i8").view(np.uint8).reshape(-1, 8 * LANES), axis=1)
             keys = np.repeat(some.column(0).to_numpy(zero_copy_only=False), BLOCKS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block_keys(bits.astype(np.int64)).ravel()), pa.array(keys)], names=["block", "key"]
+                [pa.array(block_keys(bits.astype(np.int64)).ravel()), pa.array(keys)], names=["block", "node"]
             )
 
 
@@ -185,48 +219,58 @@ def jaccard(a: bytes, b: bytes, k: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """The rows of ``pairs(a, b, ...)`` whose texts' shingles have a Jaccard similarity of ``least``
-    or more."""
-    keys = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-keys")
-    if keys.count() <= BROADCAST_IDS:
+    or more. ``nodes(node, key)``; ``texts(key, text)``."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
+    asked = materialize(asked, "near-keys")
+    keys = asked.select("key")
+    if asked.count() <= BROADCAST_IDS:
         keys = F.broadcast(keys)
-    some = materialize(
-        texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "near-texts"
-    )
-    both = pairs.join(some.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(
-        some.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b"
+    some = texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    some = materialize(some.join(asked, "key").select("node", "text"), "near-texts")
+    both = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
+        some.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
     )
     names = pairs.columns
 
     def run(batches):
+        known = _Known()
+
+        def near(x: bytes, y: bytes) -> bool:
+            a, b = token_hashes(x, k, known), token_hashes(y, k, known)
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            return common >= least * (len(a) + len(b) - common) - EPSILON and jaccard(x, y, k) >= least
+
         for batch in slices(batches, 200):
             texts = zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist())
-            good = pa.array([jaccard(x, y, k) >= least for x, y in texts], pa.bool_())
+            good = pa.array([near(x, y) for x, y in texts], pa.bool_())
             yield batch.select(names).filter(good)
 
     return both.select(*names, "ta", "tb").mapInArrow(run, pairs.schema)
 
 
 def _close(pairs: DataFrame, fps: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` with ``d``, the differing bits of their fingerprints."""
-    both = pairs.join(fps.select(F.col("key").alias("a"), F.col("fp").alias("fa")), "a").join(
-        fps.select(F.col("key").alias("b"), F.col("fp").alias("fb")), "b"
+    """Pairs ``(a, b, ...)`` with ``d``, the differing bits of their fingerprints."""
+    both = pairs.join(fps.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(
+        fps.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b"
     )
     bits = [F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(LANES)]
-    return both.select("a", "b", sum(bits[1:], bits[0]).alias("d"))
+    return both.select(*pairs.columns, sum(bits[1:], bits[0]).alias("d"))
 
 
 def _classes(texts: DataFrame, k: int) -> np.ndarray:
     """How often shingles occur, as powers of two in a sample, by the first bits of their hashes. It
-    only sets the order that ``prefix`` takes: frequent shingles come last."""
+    only sets the order that ``prefix`` takes: frequent shingles come last. The table has
+    2^CLASS_BITS places at any size of the input."""
 
     def run(batches):
+        known = _Known()
         for batch in slices(batches, 200):
-            found = np.concatenate([token_hashes(t, k) for t in batch.column(0).to_pylist()])
+            found = np.concatenate([token_hashes(t, k, known) for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["token"])
 
-    some = texts.filter(F.pmod("key", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "token long")
+    some = texts.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "token long")
     often = some.groupBy("token").count().filter(F.col("count") >= OFTEN)
     slot = F.shiftrightunsigned("token", 64 - CLASS_BITS).cast("int")
     table = often.groupBy(slot.alias("slot")).agg(F.max(F.ceil(F.log2("count"))).cast("int").alias("class")).toPandas()
@@ -244,40 +288,54 @@ def _possible(a: str, b: str, least: float) -> Column:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of shingles that texts of different components share, with the least component ``lo``."""
-    own = Window.partitionBy("token")
-    found = rows.withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own), "n": F.count("*").over(own)})
-    return materialize(found.filter("lo <> hi").drop("hi"), "near-tokens")
-
-
-def _to_least(mixed: DataFrame, least: float) -> DataFrame:
-    """For each text the one of the least components' first texts that shares most shingles with it."""
-    head = F.min(F.struct("root", "key", "size", "pos")).over(Window.partitionBy("token"))
-    a = mixed.withColumn("h", head).filter("root <> h.root").alias("a")
-    both = a.filter(_possible("a", "h", least)).groupBy("a.key", "a.root", F.col("h.key").alias("b"), F.col("h.root").alias("rb")).count()
-    best = F.max(F.struct("count", "b", "rb")).alias("best")
-    return both.groupBy("key", "root").agg(best).select(F.col("key").alias("a"), "best.b", F.col("root").alias("ra"), "best.rb")
+    """Rows of shingles that texts of different components share. The shingles' facts are written before
+    the join, so that Spark splits a frequent one."""
+    facts = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    facts = materialize(facts.filter("lo <> hi").select("token"), "near-shared")
+    return materialize(rows.join(facts, "token"), "near-tokens")
+
+
+def _to_heads(mixed: DataFrame, fps: DataFrame, least: float, no: int) -> DataFrame:
+    """For each text the NEAREST of some texts of other components that share a shingle with it: HEADS of
+    each shingle, others in each round ``no``. As many pairs at most as NEAREST times the texts."""
+    facts = mixed.groupBy("token").agg(
+        *(F.min(F.struct(F.xxhash64("node", F.lit(no * HEADS + i)), "node", "root", "size", "pos")).alias(f"h{i}") for i in range(HEADS))
+    )
+    heads = facts.select("token", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"h{i}.{c}") for c in ("node", "root", "size", "pos"))) for i in range(HEADS))))).alias("h"))
+    a = mixed.join(materialize(heads, "near-heads"), "token").alias("a")
+    met = a.filter((F.col("root") != F.col("h.root")) & _possible("a", "h", least))
+    met = met.select(F.col("a.node").alias("a"), F.col("h.node").alias("b"), F.col("a.root").alias("ra"), F.col("h.root").alias("rb")).distinct()
+    best = F.slice(F.array_sort(F.collect_list(F.struct("d", "b", "rb"))), 1, NEAREST)
+    near = _close(met, fps).groupBy("a", "ra").agg(best.alias("best"))
+    return near.select("a", F.explode("best").alias("x"), "ra").select("a", "x.b", "ra", "x.rb")
 
 
 def _all_pairs(mixed: DataFrame, least: float) -> DataFrame:
-    """All pairs of different components that share a shingle of their prefixes. A frequent shingle's
-    rows are split over several keys; each part meets all the others."""
+    """All pairs of different components that share a shingle of their prefixes.
+
+    Of each shingle, the rows outside its largest component meet all rows of other components. The
+    rows that they meet are dealt to parts of SPLIT rows, so a frequent shingle spans many tasks."""
+    counts = mixed.groupBy("token", "root").count()
+    facts = counts.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("count").alias("n"))
+    rows = mixed.select("token", "root", "node", "size", "pos").join(materialize(facts, "near-big"), "token")
     parts = F.ceil(F.col("n") / SPLIT).cast("int")
-    a = mixed.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).alias("a")
-    b = mixed.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("b")
+    a = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).alias("a")
+    b = rows.filter("root <> big").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("b")
     same = (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part"))
-    pairs = a.join(b, same & (F.col("a.root") < F.col("b.root")) & _possible("a", "b", least))
-    return pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb")).distinct()
+    once = (F.col("a.root") == F.col("a.big")) | (F.col("a.root") < F.col("b.root"))
+    pairs = a.join(b, same & once & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", least))
+    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb")).distinct()
 
 
 def near_copies(df: DataFrame, text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(key, root)`` for each distinct text, key being its 64-bit hash: texts of one root are
+    """``(key, root)`` for each distinct text, key being its ``text_key``: texts of one root are
     equal or linked by pairs of ``similarity`` or more.
 
     SimHash blocks link each text to the nearest of the most central members of its blocks, at most
     one pair a text, which keeps large groups from becoming all their pairs. What that leaves in
     different components is found by an exact prefix-filter join: texts of ``similarity`` share one
-    of the rarest shingles, a fifth of each text's. First each text meets one other, then all do.
+    of the rarest shingles, a fifth of each text's. First each text meets some others, so that large
+    groups become few components, then all that are still apart do.
     """
     texts = df.select(text_key(text_col).alias("key"), text_bytes(text_col).alias("text"))
     classes = _classes(texts, k)
@@ -287,49 +345,50 @@ def near_copies(df: DataFrame, text_col: str = "text", k: int = 5, similarity: f
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
 
     def marked(batches):
-        for batch in slices(batches, 1000):
-            found = batch.column(1).to_pylist()
-            fp = lists([np.frombuffer(fingerprint(t, k, LANES), ">i8").astype(np.int64) for t in found])
-            hashes = [token_hashes(t, k) for t in found]
+        known = _Known()
+        for batch in slices(batches, 200):
+            hashes = [token_hashes(t, k, known) for t in batch.column(1).to_pylist()]
+            fp = lists([wide_fingerprint(h) for h in hashes])
             tokens = lists([prefix(h, similarity, classes).view(np.int64) for h in hashes])
             size = pa.array(list(map(len, hashes)), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), fp, size, tokens], names=["key", "fp", "size", "tokens"])
 
-    fps = texts.mapInArrow(marked, "key long, fp array<long>, size int, tokens array<long>")
+    fps = texts.mapInArrow(marked, "key binary, fp array<long>, size int, tokens array<long>")
     fps = fps.groupBy("key").agg(*(F.first(c).alias(c) for c in ("fp", "size", "tokens")))
-    fps = materialize(fps, "near-fp")
-    in_block = Window.partitionBy("block")
-    blocks = (
-        fps.select("key", "fp")
-        .mapInArrow(_spread, "block long, key long")
-        .withColumn("n", F.count("*").over(in_block))
-        .filter("n > 1")
-    )
-    blocks = materialize(blocks, "near-blocks")
+    # a short name for each text, fixed by being written
+    fps = materialize(fps.withColumn("node", F.monotonically_increasing_id()), "near-fp")
+    blocks = materialize(fps.select("node", "fp").mapInArrow(_spread, "block long, node long"), "near-blocks")
+    full = materialize(blocks.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1"), "near-full")
+    every, blocks = blocks, materialize(blocks.join(full, "block"), "near-shared-blocks")
+    release(every, full)
     # the text that others were copied from shares blocks with more texts than they do
-    reach = blocks.groupBy("key").agg(F.sum("n").alias("n"))
-    central = F.max(F.struct("n", "key")).over(in_block)["key"]
-    heads = blocks.drop("n").join(reach, "key").select("key", central.alias("head"))
-    star = heads.filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
+    reach = materialize(blocks.groupBy("node").agg(F.sum("n").alias("reach")), "near-reach")
+    placed_blocks = blocks.join(reach, "node")
+    heads = placed_blocks.groupBy("block").agg(F.max(F.struct("reach", "node")).alias("h"))
+    heads = materialize(heads.select("block", F.col("h.node").alias("head")), "near-heads")
+    star = blocks.join(heads, "block").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     star = _close(star, fps).groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    sure = materialize(_verified(materialize(star, "near-star"), texts, k, similarity), "near-sure")
+    sure = materialize(_verified(materialize(star, "near-star"), fps, texts, k, similarity), "near-sure")
+    release(blocks, reach, heads)
 
     def replaced(rows: DataFrame, roots: DataFrame) -> DataFrame:
         new = roots.select(F.col("node").alias("root"), F.col("root").alias("__root"))
         return rows.join(new, "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root")
 
-    placed = materialize(replaced(fps.select("key", F.col("key").alias("root")), connected_components(sure)), "near-placed")
-    tokens = fps.join(placed, "key").select("key", "root", "size", F.posexplode("tokens").alias("pos", "token"))
+    placed = materialize(replaced(fps.select("node", F.col("node").alias("root")), connected_components(sure)), "near-placed")
+    tokens = fps.join(placed, "node").select("node", "root", "size", F.posexplode("tokens").alias("pos", "token"))
     mixed = _mixed(tokens)
-    for candidates in (_to_least, _all_pairs):
-        cross = _verified(materialize(candidates(mixed, similarity), "near-cross"), texts, k, similarity)
+    for no in range(ROUNDS + 1):
+        pairs = _to_heads(mixed, fps, similarity, no) if no < ROUNDS else _all_pairs(mixed, similarity)
+        cross = _verified(materialize(pairs, "near-cross"), fps, texts, k, similarity)
         roots = connected_components(cross.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         placed = replaced(placed, roots)
-        if candidates is _to_least:
-            mixed = _mixed(replaced(mixed.drop("lo", "n"), roots))
-    return placed.select("key", "root")
+        if no < ROUNDS:
+            mixed = _mixed(replaced(mixed, roots))
+    return fps.select("node", "key").join(placed, "node").select("key", "root")
 
 
+@guarded
 def keep_one(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8
 ) -> DataFrame:
@@ -346,4 +405,7 @@ def keep_one(
     )
     tagged = df.withColumn("__key", text_key(text_col)).withColumn("__id", F.col(id_col))
     same = (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i"))
-    return tagged.join(best, same, "left_semi").dropDuplicates(["__key", "__id"]).select(*df.columns)
+    kept = tagged.join(best, same, "left_semi")
+    if not light.groupBy("key", "id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["__key", "__id"])
+    return kept.select(*df.columns)

@@ -101,6 +101,6 @@ def test_a_frequent_shingle_is_split_without_loss(spark, monkeypatch):
     from docloom.llm import simhash
 
     monkeypatch.setattr(simhash, "SPLIT", 3)
-    schema = "key long, root long, size int, pos int, token long, n long"
-    rows = spark.createDataFrame([(i, i, 5, 0, 1, 20) for i in range(20)], schema)
+    schema = "node long, root long, size int, pos int, token long"
+    rows = spark.createDataFrame([(i, i, 5, 0, 1) for i in range(20)], schema)
     assert simhash._all_pairs(rows, 0.8).count() == 190
