@@ -22,7 +22,9 @@ occurrence is dropped. Names are 64-bit hashes within groups of equal 64-bit anc
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` lose nothing; each of
 several equal texts (rows of one doc_id too) of at least ``length`` bytes loses everything,
-for each repeats the other.
+for each repeats the other; very long texts are named in pieces of PIECE bytes that overlap, so
+nothing is lost between them; an empty table gives an empty one; other columns stay, but those named
+like an output are replaced.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_bytes
+from .common import guarded, materialize, release, slices, text_bytes, text_key
 
 GRAM = 32
 WIDTHS = (32, 4, 1)
@@ -108,17 +110,17 @@ def _pieces(text: bytes, length: int):
 
 def _anchors(length: int):
     def run(batches):
-        seen: set[int] = set()  # a text is named once in a task
-        part: list[tuple[int, int, bytes]] = []
+        seen: set = set()  # a text is named once in a task
+        part: list[tuple[int | bytes, int, bytes]] = []
         room = 0
 
         def flush():
             no, first, count, reach, anchor, name = contexts([x[2] for x in part], length)
-            key = np.array([x[0] for x in part], np.int64)[no]
+            key = pa.array([x[0] for x in part]).take(pa.array(no))
             base = np.array([x[1] for x in part], np.int64)[no]
             part.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (anchor, name, key, first + base, count.astype(np.int32), reach.astype(np.int32))],
+                [*map(pa.array, (anchor, name)), key, *map(pa.array, (first + base, count.astype(np.int32), reach.astype(np.int32)))],
                 names=["g", "c", "t", "lo", "n", "reach"],
             )
 
@@ -184,11 +186,13 @@ def _few(keys: DataFrame) -> tuple[DataFrame, bool]:
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     """``docs(t, text)``, t a key of the text, to ``(t, first, last)``: runs of window starts
     whose strings of ``length`` bytes occur elsewhere. Equal texts are to be looked for apart."""
-    rows = docs.mapInArrow(_anchors(length), "g long, c long, t long, lo long, n int, reach int")
-    # counted, and the counts written, before they are joined: between two tables Spark splits a name
-    # that a third of the texts share
-    rows = materialize(rows, "suffix-names")
-    rows = materialize(rows.join(materialize(_twice(rows.select("g"), "g"), "suffix-twice"), "g"), "suffix-anchors")
+    kind = docs.schema["t"].dataType.simpleString()
+    rows = docs.mapInArrow(_anchors(length), f"g long, c long, t {kind}, lo long, n int, reach int")
+    # counted, and the counts written, before they are joined, here and below: between two tables
+    # Spark splits a name that a third of the texts share
+    names = materialize(rows, "suffix-names")
+    rows = materialize(names.join(materialize(_twice(names.select("g"), "g"), "suffix-twice"), "g"), "suffix-anchors")
+    release(names)
     ctx = materialize(
         rows.groupBy("g", "c").agg(
             F.count("*").alias("k"),
@@ -214,12 +218,13 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
         nodes = materialize(nodes, "suffix-nodes")
         if width > 1:
             full = nodes.groupBy("g", "a", "b", "whole").agg(F.count("*").alias("k"), F.min("c").alias("head"))
-            nodes = nodes.join(full.filter("k > 1").drop("k"), ["g", "a", "b", "whole"], "left")
+            full = materialize(full.filter("k > 1").drop("k"), "suffix-full")
+            nodes = nodes.join(full, ["g", "a", "b", "whole"], "left")
         else:
             nodes = nodes.withColumn("head", F.col("c"))
         # a node that is done still answers for those that aren't, by one context for all alike
         ranks = nodes.groupBy("g", "s", "core").agg(F.count("*").alias("k"), F.max(F.col("head").isNull()).alias("more"))
-        nodes = nodes.join(ranks.filter("k > 1").drop("k"), ["g", "s", "core"])
+        nodes = nodes.join(materialize(ranks.filter("k > 1").drop("k"), "suffix-ranks"), ["g", "s", "core"])
         if width > 1:
             nodes = materialize(nodes, "suffix-level")
             still = nodes.filter("head is null or more and head = c")
@@ -229,7 +234,7 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     found = done[0]
     for x in done[1:]:
         found = found.unionByName(x)
-    runs = found.groupBy("g", "c").agg(F.collect_list(F.struct("j0", "j1")).alias("runs"))
+    runs = materialize(found.groupBy("g", "c").agg(F.collect_list(F.struct("j0", "j1")).alias("runs")), "suffix-runs")
     return (
         rows.join(runs, ["g", "c"])
         .select("t", "lo", F.explode("runs").alias("r"))
@@ -245,30 +250,50 @@ def removed_runs(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.n
     return first[begins], upto[np.r_[begins[1:] - 1, len(first) - 1]]
 
 
-def _cut(text: bytes, first: np.ndarray, last: np.ndarray, whole: bool, length: int) -> tuple[bytes, int]:
-    """What remains of a text, and how many runs were removed."""
+def _cut(text: bytes, first: np.ndarray, last: np.ndarray, whole: bool, length: int, characters: bool) -> tuple[bytes, int]:
+    """What remains of a text, and how many runs were removed. With ``characters``, what a cut leaves of
+    a character goes too."""
     if whole:
         return b"", min(1, len(text))
     if not len(first):
         return text, 0
     begin, end = removed_runs(first, last, length)
     parts = [text[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(text)])]
+    if characters:
+        parts = [x.decode("utf-8", "ignore").encode() for x in parts]
     return b"".join(parts), len(begin)
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200) -> DataFrame:
+def _keyed(df: DataFrame, text_col: str, length: int) -> tuple[Column, DataFrame]:
+    """A key of texts, and the keys of texts of ``length`` or more that occur twice. The key has 64 bits
+    unless two different texts would share it, then 128."""
+    text = text_bytes(text_col)
+    other = F.xxhash64(F.lit(1), text)
+    long_ = df.filter(F.octet_length(text) >= length)
+    twice = long_.groupBy(F.xxhash64(text).alias("t")).agg(F.count("*").alias("n"), F.min(other).alias("lo"), F.max(other).alias("hi"))
+    twice = materialize(twice.filter("n > 1"), "suffix-copies")
+    if twice.filter("lo <> hi").isEmpty():
+        return F.xxhash64(text), twice.select("t")
+    key = text_key(text_col)
+    return key, materialize(_twice(long_.select(key.alias("t")), "t"), "suffix-copies")
+
+
+@guarded
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200, characters: bool = False) -> DataFrame:
     """The columns of ``df`` but the text, plus ``__kept`` (binary, the bytes that remain of it),
-    ``__n_bytes``, ``__n_removed`` and ``__n_spans`` (long)."""
+    ``__n_bytes``, ``__n_removed`` and ``__n_spans`` (long). With ``characters``, ``__kept`` leaves out
+    what a cut leaves of a character."""
     if length < 2 * GRAM + WIDTHS[0]:
         raise ValueError(f"length must be at least {2 * GRAM + WIDTHS[0]}")
-    docs = df.select(F.xxhash64(text_bytes(text_col)).alias("t"), text_bytes(text_col).alias("text"))
+    key, copies = _keyed(df, text_col, length)
+    copies = copies.withColumn("whole", F.lit(True))
+    docs = df.select(key.alias("t"), text_bytes(text_col).alias("text"))
     long_ = docs.filter(F.octet_length("text") >= length)
-    copies = _twice(long_.select("t"), "t").withColumn("whole", F.lit(True))
     spans = repeated_windows(long_, length).groupBy("t").agg(
         F.collect_list(F.struct("first", "last")).alias("windows")
     )
     found = materialize(spans.join(copies, "t", "full"), "suffix-spans")
-    tagged = df.withColumn("__t", F.xxhash64(text_bytes(text_col))).withColumn("__text", text_bytes(text_col)).drop(text_col)
+    tagged = df.withColumn("__t", key).withColumn("__text", text_bytes(text_col)).drop(text_col)
     keys, few = _few(found.select(F.col("t").alias("__t")))
     found = found.withColumnRenamed("t", "__t").withColumnsRenamed({"windows": "__windows", "whole": "__whole"})
     if few:  # texts without a repeat then need not move
@@ -292,7 +317,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200) ->
             kept, counts = [], []
             for i, whole in enumerate(batch.column(n + 2).to_pylist()):
                 text, own = batch.column(n)[i].as_py(), slice(span[i], span[i + 1])
-                left, runs = _cut(text, first[own], last[own], bool(whole), length)
+                left, runs = _cut(text, first[own], last[own], bool(whole), length, characters)
                 kept.append(left)
                 counts.append((len(text), len(text) - len(left), runs))
             counts = np.array(counts, np.int64).reshape(-1, 3)
@@ -304,15 +329,12 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 200) ->
     return both.select(*keep, "__text", "__windows", "__whole").mapInArrow(run, schema)
 
 
+@guarded
 def clean_texts(df: DataFrame, text_col: str = "text", length: int = 200) -> DataFrame:
     """``df`` with the repeats cut out of its texts. A character that loses some of its bytes
     goes; ``n_chars``, if there, counts the characters that are left; null texts stay null."""
-    out = remove_repeats(df.withColumn("__null", F.col(text_col).isNull()), text_col, length)
-    whole = F.col("__kept").cast("string")
-    text = F.when(F.col("__n_removed") == 0, whole).otherwise(
-        F.coalesce(F.try_validate_utf8(whole), F.regexp_replace(F.make_valid_utf8(whole), "\ufffd", ""))
-    )
-    out = out.withColumn(text_col, F.when(~F.col("__null"), text))
+    out = remove_repeats(df.withColumn("__null", F.col(text_col).isNull()), text_col, length, characters=True)
+    out = out.withColumn(text_col, F.when(~F.col("__null"), F.col("__kept").cast("string")))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(F.col("__n_removed") == 0, F.col("n_chars")).otherwise(F.length(text_col).cast(df.schema["n_chars"].dataType)))
     return out.select(*df.columns)
