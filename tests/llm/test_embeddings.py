@@ -6,11 +6,11 @@ import pytest
 from docloom.llm.embeddings import near_vectors
 
 
-def brute(rows, least):
+def brute(rows, least, kind=np.float32):
     good = {}
     for n, (i, v, label) in enumerate(rows):
         if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            x = np.array(v, np.float32).astype(float)
+            x = np.array(v, kind).astype(float)
             good[n] = (label, x)
     root, links = list(range(len(rows))), [0] * len(rows)
 
@@ -22,7 +22,7 @@ def brute(rows, least):
     for i in good:
         for j in good:
             (a, x), (b, y) = good[i], good[j]
-            if i < j and a == b and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= least:
+            if i < j and a == b and len(x) == len(y) and x / abs(x).max() @ (y / abs(y).max()) / np.sqrt((x / abs(x).max()) @ (x / abs(x).max()) * ((y / abs(y).max()) @ (y / abs(y).max()))) >= least:
                 links[i] += 1
                 links[j] += 1
                 root[find(i)] = find(j)
@@ -36,7 +36,7 @@ def brute(rows, least):
     return out
 
 
-@pytest.mark.parametrize("size", [64, 5])
+@pytest.mark.parametrize("size", [64, 5, 2])
 def test_equals_brute_force(spark, size):
     r = np.random.default_rng(size)
     rows = []
@@ -54,3 +54,9 @@ def test_equals_brute_force(spark, size):
     key = lambda t: (t[0] is None, t[0] or 0, t[1])
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows, 0.98), key=key)
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_very_large_and_small_vectors_and_other_columns(spark):
+    rows = [(1, [1e200, 2e200], 1, "a"), (2, [1e-200, 2e-200], 1, "b"), (3, [1.0, 2.01], 1, "c"), (4, [-1e200, -2e200], 1, "d"), (5, [5e-324, 1e-323], 1, "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node string")
+    assert sorted(map(tuple, near_vectors(df).collect())) == brute([x[:3] for x in rows], 0.98, float)
