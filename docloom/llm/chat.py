@@ -15,7 +15,9 @@ groups of bounded size, so no conversation is gathered. Only the reader's runnin
 conversation passes one task, a row at a time.
 
 Defined cases: a null text or role is empty; turns are ordered by turn (null first), then role,
-then text; rows with a null conversation form one; repeated rows are turns of their own.
+then text; rows with a null conversation form one; repeated rows are turns of their own; a very long
+text is a turn that fills its window alone; an empty table gives an empty one; other columns are not
+read, whatever their names. Turns that share one number are ordered in one task.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ source may hold any share of the rows.
 
 Defined cases: a null or empty text has size 0, takes no words and follows its source's passes; a
 null source is a source; rows equal in id and text are taken in some order, alike on each run;
-with no rows, or no words at all, targets are 0.
+with no rows, or no words at all, targets are 0; a very long document counts by its words like any
+other; an empty table gives an empty one; columns named like an output are replaced, others stay.
+The sources of a table are few: they share windows of one row a source.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, guarded, materialize
 
 RANGES = 1024  # hash ranges of a source
 CAP = 3.0
@@ -61,6 +63,7 @@ def targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     return out.withColumn("target", F.least(F.col("weight") * F.col("level"), full)).drop("ratio", "level")
 
 
+@guarded
 def mix(df: DataFrame, size_col: str, key: Column, source_col: str = "source", cap: float = CAP) -> DataFrame:
     """The columns of ``df`` plus ``__source_size`` (long), ``__target`` (double), ``__copies``
     (int), ``__before`` (long: the size of what precedes the row in its source) and ``__tilt``.
@@ -146,9 +149,11 @@ r as (select *, size / weight as ratio from w),
 l as (select *, (sum(size) {whole} - {CAP}::double * coalesce(sum(size) over (order by ratio, k rows between unbounded preceding and 1 preceding), 0)::double)::double
   / (sum(weight) over (order by ratio, k rows between current row and unbounded following))::double as level from r),
 f as (select arg_min(level, (ratio, k)) as level from l where weight * level <= {CAP}::double * size),
-t as (select source, k, size as source_size, least(weight * f.level, {CAP}::double * size) as target from r, f),
-o as (select d.*, t.source_size, t.target, sum(d.size) over (partition by t.k order by key rows unbounded preceding) - d.size as before
+t as (select source, k, size as source_size, least(weight * f.level, {CAP}::double * size) as target, {list(TILTS)}[weight]::double as tilt from r, f),
+o as (select d.*, t.source_size, t.target, t.tilt, sum(d.size) over (partition by t.k order by key rows unbounded preceding) - d.size as before
   from d join t on t.k = coalesce('=' || d.source, '-')),
-c as (select *, case when source_size > 0 then floor(target / source_size) else 1 end as passes from o)
-select doc_id, size, source_size, target,
-  (size * (passes + (before + size * 0.5 <= target - passes * source_size and target - passes * source_size > 0)::int))::bigint as taken from c"""
+c as (select *, case when source_size > 0 then floor(target / source_size) else 1 end as passes,
+  case when target > 0 then least((before + size * 0.5::double) / target, 1.0::double) else 0.5::double end as u from o),
+n as (select *, (passes + (before + size * 0.5 <= target - passes * source_size and target - passes * source_size > 0)::int)::bigint as copies from c)
+select doc_id, size, source_size, target, (size * copies)::bigint as taken,
+  case when copies > 0 then round_even(2 * u / ((1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * u)), 9) end as first_position from n"""

@@ -7,8 +7,8 @@ being the longest piece. A chunk yields a transfer matrix: the best sum from eac
 start to each at its end. Max-plus products of matrices are associative, so prefix products give
 the best sums at each boundary. Given those, a chunk tells from which state at its start each state
 at its end is reached; these maps, applied from the last boundary back, fix the state at each. Then
-every chunk backtraces on its own from the state that it is told. All scores are whole numbers,
-sums of 64-bit integers, so the order in which they are added changes nothing.
+every chunk backtraces on its own from the state that it is told. Scores are 64-bit integers (whole
+ones as they are, others in steps of 2^-16), so the order in which they are added changes nothing.
 
 A new word (a blank after another character) always starts a piece. Within a chunk the matrix is
 the sum of a part before the first such cut and one after the last; the words between add the same to
@@ -24,7 +24,9 @@ outside the vocabulary become byte pieces.
 Of ways with equal sums the one whose last piece is longest is taken, from the end on.
 
 Defined cases: a null or empty text has no ids; decoding gives back every text without U+2581,
-which the vocabulary uses for the blank; rows are encoded one by one, whatever their ids.
+which the vocabulary uses for the blank; rows are encoded one by one, whatever their ids, so repeated
+rows come out alike; an empty table gives an empty one; columns named like an output are replaced,
+others stay. A file that normalises texts, or has a piece that crosses the start of a word, is refused.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import guarded, materialize, slices
 
 CHUNK = 32768
 BLANK = "▁"
@@ -67,6 +69,11 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        probe = "a  b\u3000\uff21\u0301\t\n "
+        if model.normalize(probe) != normal(probe):
+            raise ValueError(f"{path}: texts are taken as they are, with a blank before, but this file normalises them")
+        scores = [model.get_score(i) for i in range(model.vocab_size())]
+        steps = 1 if all(x == int(x) for x in scores) else 1 << 16
         self.pieces: dict[str, tuple[int, int]] = {}
         self.bytes = [0] * 256
         self.text: list[bytes] = []
@@ -78,10 +85,12 @@ class Vocabulary:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.text.append(b"")
             else:
-                self.pieces[piece] = (i, int(model.get_score(i)))
+                self.pieces[piece] = (i, round(scores[i] * steps))
                 self.text.append(piece.replace(BLANK, " ").encode())
+        if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.pieces):
+            raise ValueError(f"{path}: a piece crosses the start of a word")
         self.reach = max(map(len, self.pieces))
-        self.unknown = min(s for _, s in self.pieces.values()) - 10
+        self.unknown = min(s for _, s in self.pieces.values()) - 10 * steps
         # each start of a piece: its score, or None if it is no piece itself
         self.starts: dict[str, int | None] = {p[:n]: None for p in self.pieces for n in range(1, len(p))}
         self.starts |= {p: s for p, (_, s) in self.pieces.items()}
@@ -289,6 +298,7 @@ def _begin(left: int, sums: list[int]) -> dict[int, int]:
     return {left - j: x for j, x in enumerate(sums) if x > LOW}
 
 
+@guarded
 def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int = CHUNK, decode: bool = False) -> DataFrame:
     """The columns of ``df`` plus ``__ids``, binary, little-endian unsigned 32-bit ids; with
     ``decode`` also what ``decode_ids`` adds, from the same pass over short texts."""
@@ -360,18 +370,30 @@ def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int =
     sums = stacks.mapInArrow(scan, "t string, no int, sums array<bigint>")
     chunks = materialize(chunks.join(sums, ["t", "no"]).select("t", "no", "before", "s", "sums"), "piece-sums")
     came = chunks.mapInArrow(enter, "t string, no int, came array<int>")
-    # from the last boundary, state 0, each chunk tells the state at the boundary before
-    back = came.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("no", "came")), asc=False).alias("back"))
-    leave = F.expr("aggregate(back, array(0), (a, x) -> concat(a, array(x.came[a[size(a) - 1]])))")
-    leave = back.select("t", F.size("back").alias("n"), F.posexplode(leave).alias("i", "leave")).filter("i < n")
-    traced = chunks.join(leave.select("t", (F.col("n") - 1 - F.col("i")).alias("no"), "leave"), ["t", "no"])
-    traced = traced.select("t", "no", "before", "s", "sums", "leave")
+
+    def leaves(batches):
+        """From the last boundary, state 0, each chunk tells the state at the boundary before."""
+        for batch in batches:
+            for key, stack in zip(batch.column(0).to_pylist(), batch.column(1)):
+                states, out = stack.values.field(1), [0]
+                for i in range(len(states) - 1, 0, -1):
+                    out.append(states[i][out[-1]].as_py())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(out)), pa.array(range(len(out)), pa.int32()), pa.array(out[::-1], pa.int32())], names=["t", "no", "leave"]
+                )
+
+    def joins(batches):
+        for batch in batches:
+            for key, stack in zip(batch.column(0).to_pylist(), batch.column(1)):
+                whole = b"".join(x.as_py() for x in stack.values.field(1))
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([whole], pa.binary())], names=["t", "__ids"])
+
+    listed = lambda df, c: df.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("no", c))).alias("all"))
+    leave = listed(came, "came").mapInArrow(leaves, "t string, no int, leave int")
+    traced = chunks.join(leave, ["t", "no"]).select("t", "no", "before", "s", "sums", "leave")
     parts = traced.mapInArrow(backtrace, "t string, no int, ids binary")
-    joined = parts.groupBy("t").agg(
-        F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts")
-    )
-    ids = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["ids"])), ""))
-    rest = tagged.join(joined.select(F.col("t").alias("__t"), ids.alias("__ids")), "__t").select(*keep, "__ids")
+    joined = listed(parts, "ids").mapInArrow(joins, "t string, __ids binary").withColumnRenamed("t", "__t")
+    rest = tagged.join(joined, "__t").select(*keep, "__ids")
     return done.unionByName(decode_ids(rest, model) if decode else rest)
 
 

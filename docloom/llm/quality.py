@@ -13,7 +13,9 @@ Failing lines are removed. A document is rejected if they hold more than LOST_SH
 characters in words, or if its base statistics fail.
 
 Defined cases: a null or empty text has no words, fails the base and is not kept; lines without
-a word are never judged or counted; repeated rows are judged alike.
+a word are never judged or counted; repeated rows are judged alike; a very long text is judged in whole,
+as a row of its own; an empty table gives an empty one; columns named like an output are replaced, others
+stay. The phrases of the navigation and boilerplate rules are English; the other rules know no language.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, guarded
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -93,6 +95,7 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(window, count)).cast("long")
 
 
+@guarded
 def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of ``df`` plus ``__n_words``, ``__word_chars``, ``__n_symbols``,
     ``__n_dup_lines``, ``__n_repeat_words``, ``__lost_chars`` (long), ``__base_failed``,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embeddings, mixing, pieces, quality, tokens, toxicity
-from .common import new_path
+from .common import materialize, new_path
 from .sharding import shard_by_bytes
 from .simhash import simhash_components
 from .suffix import remove_repeats
@@ -69,6 +69,7 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    docs = materialize(docs, "mixture-sizes")  # counted once, read by each sum
     # rows come in the order in which training first reaches them
     out = mixing.first_order(mixing.mix(docs, "size", mixing.order_key("doc_id")), "size")
     return out.select(
@@ -77,6 +78,7 @@ def op6_mixing_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
         (F.col("size") * F.col("__copies")).alias("taken"),
+        F.when(F.col("__copies") > 0, F.bround("__position", 9)).alias("first_position"),
     )
 
 

@@ -6,8 +6,8 @@ whose equal share of all bytes its middle lies. No group is gathered and no shar
 neither a hot key nor a huge shard matters.
 
 Defined cases: null order values come first; rows equal in the order columns follow in the order
-they are read, whatever their number; a null size counts as 0; columns named as the outputs are
-replaced.
+they are read, whatever their number; a null size counts as 0; sizes are given, so texts of any length
+do; an empty table gives an empty one; columns named as the outputs are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import guarded, materialize
 
 
 def ranged(df: DataFrame, order: list[str]) -> DataFrame:
@@ -29,6 +29,7 @@ def ranged(df: DataFrame, order: list[str]) -> DataFrame:
     return tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("__tie")
 
 
+@guarded
 def shard_by_bytes(df: DataFrame, n_shards: int, size_col: str, order: list[str]) -> DataFrame:
     """The columns of ``df`` plus ``shard`` (int, 0 to n_shards - 1) and ``slot`` (long, the row's
     place in its shard, gapless from 0). All columns are written once to the shared folder, so

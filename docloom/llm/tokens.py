@@ -14,11 +14,13 @@ Words are encoded once in a worker and kept (up to CACHE_WORDS): a token never s
 a letter and another character, so a text's ids are those of its parts.
 
 Defined cases: a null text is empty and has the end id only; null ids come first; rows with equal
-ids follow in the order they are read; an empty table gives no segments and no rows.
+ids follow in the order they are read; an empty table gives no segments and no rows; a text longer than a
+segment makes a segment of its own; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -43,6 +45,14 @@ _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_DIGIT}]|[^ \n{_LETTER}{_DIGIT}]+")
 _PLAIN = bytes([10, *range(32, 127), *range(161, 173), *range(174, 256)])
 _SIMPLE = b"\n .,abcdefghijklmnopqrstuvwxyz" + bytes([*range(0xDF, 0xF7), *range(0xF8, 0x100)])
+# The steps of a file for which the above holds. Others encode each text in whole.
+_STEPS = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 MAGIC = b"S8B1"
 # (ids in a word, bits of each) by selector; selector 0 is the escape
 SELECTORS = [(1, 64), *((n, 60 // n) for n in (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1))]
@@ -175,7 +185,8 @@ _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer, the ids of words, and which ids end a token; kept while the worker lives."""
+    """The tokenizer, the ids of words (None if it must see whole texts), and which ids end a token; kept
+    while the worker lives."""
     if path not in _TOKENIZERS:
         import os
 
@@ -183,9 +194,13 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        file = json.loads(tokenizer.to_str())
+        found = {"normalizer": (file["normalizer"] or {}).get("normalizers"), "pre_tokenizer": (file["pre_tokenizer"] or {}).get("pretokenizers")}
+        special = all(t["content"].startswith("<|") and not t["normalized"] for t in file["added_tokens"])
+        known = {} if found == _STEPS and special and file["model"].get("end_of_word_suffix") == "</w>" else None
         ends = np.zeros(tokenizer.get_vocab_size(), bool)
         ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        _TOKENIZERS[path] = tokenizer, {}, ends
+        _TOKENIZERS[path] = tokenizer, known, ends
     return _TOKENIZERS[path]
 
 
@@ -222,7 +237,10 @@ def _parts(text: str) -> list[str]:
 
 def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
     """Each text's ids and the end id as little-endian unsigned 32-bit integers."""
-    known = _tokenizer(path)[1]
+    tokenizer, known, _ = _tokenizer(path)
+    if known is None:
+        found = tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        return [np.array([*x.ids, end_id], "<u4").tobytes() for x in found]
     if len(known) > CACHE_WORDS:
         known.clear()
     parts = [_parts(t or "") for t in texts]

@@ -8,12 +8,15 @@ blame goes to the sentences that explain the labels, and those can be named afte
 A word's features are its first 3 to 6 letters and the word itself. Features that are frequent
 enough and tell the classes apart are kept.
 
-``TRAIN_ROWS`` bounds the labelled rows that training sees (those with the smallest hash of the
-id); ``MAX_FEATURES`` bounds the model. Scoring reads every text in whole.
+``max_rows`` (TRAIN_ROWS) bounds the labelled rows that training sees, those with the smallest hash of
+the id, and ``max_chars`` (TRAIN_CHARS) their characters in sum, so what the driver fits on is bounded;
+``max_features`` (MAX_FEATURES) and ``min_chi`` (MIN_CHI) bound the model. Scoring reads every text in whole.
 
 Defined cases: a null or empty text has no sentence with a word and scores 0; null ids are not
 held out and never trained on; labels with a null id or value are ignored; of several labels of an
-id the largest counts; repeated rows score alike; without any usable label all scores are 0.
+id the largest counts; repeated rows score alike; without any usable label all scores are 0; a very
+long text is scored in whole, sentence by sentence; an empty table gives an empty one; columns named like
+an output are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import guarded, materialize, slices
 
 TRAIN_ROWS = 12_000
+TRAIN_CHARS = 60_000_000
 MAX_FEATURES = 20_000
 MIN_DOCS = 5
+MIN_CHI = 30.0
 THRESHOLD = 0.3
 CACHE_WORDS = 200_000
 
@@ -106,18 +111,34 @@ def fit(bag_sizes, sentence_sizes, col, labels, n_features: int, steps: int = 40
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from labelled rows of ``docs`` that are not held out, TRAIN_ROWS of them at most."""
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    max_rows: int = TRAIN_ROWS,
+    max_chars: int = TRAIN_CHARS,
+    max_features: int = MAX_FEATURES,
+    min_chi: float = MIN_CHI,
+) -> Model:
+    """Learns from labelled rows of ``docs`` that are not held out, ``max_rows`` of them at most."""
     rows = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
         .groupBy(F.col(id_col).alias("id"))
         .agg(F.max(F.col(label_col) > 0).alias("y"))
         .orderBy(F.xxhash64("id"), "id")
-        .limit(TRAIN_ROWS)
+        .limit(max_rows)
     )
     spark = docs.sparkSession
-    picked = spark.createDataFrame(rows.collect(), rows.schema)  # TRAIN_ROWS bounds it
+    picked = spark.createDataFrame(rows.collect(), rows.schema)  # max_rows bounds it
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    # found once; the rows of an id come together, max_rows bounds the ids in the window
+    texts = materialize(texts.repartition(spark.sparkContext.defaultParallelism), "toxic-labelled")
+    sizes = texts.groupBy("id").agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id"))
+    within = sizes.withColumn("upto", upto).filter(F.col("upto") <= max_chars).select("id")
+    texts = texts.join(F.broadcast(within), "id", "left_semi")
 
     def seen(batches):
         for batch in slices(batches, 500):
@@ -140,9 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .agg(F.count("*").alias("d"), F.sum("y").alias("k"))
         .filter(F.col("d") >= MIN_DOCS)
         .withColumn("chi", (F.col("k") - F.col("d") * share) ** 2 / (F.col("d") * share * (1 - share)))
-        .filter("chi > 30")
+        .filter(F.col("chi") > min_chi)
         .orderBy(F.desc("chi"), "f")
-        .limit(MAX_FEATURES)
+        .limit(max_features)
         .select("f")
     )
     number = {r.f: i for i, r in enumerate(kept.collect())}
@@ -180,6 +201,7 @@ def score_text(text: str | None, model: Model, words: _Words) -> tuple[float, li
     return abs(math.expm1(log_clean)), bad
 
 
+@guarded
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The columns of ``df`` plus ``__score`` (0 to 1) and ``__offending``, the numbers of the
     sentences to blame."""
