@@ -186,10 +186,10 @@ SAMPLE = 8  # one text in so many counts for the classes
 OFTEN = 3  # a shingle found in so many texts of the sample is no longer of class 0
 SPLIT = 1000  # rows of one shingle that meet all its other rows in one task
 ROUNDS = 1  # in which texts meet some others before all do
-HEADS = 4  # texts of one shingle that its others meet in a round
-NEAREST = 3  # pairs of a text that a round verifies
+NEAREST = 2  # pairs of a text that a round verifies
 EPSILON = 1e-9
-BROADCAST_IDS = 1_000_000  # ids are sent to all executors up to this many, joined beyond
+BROADCAST_GONE = 200_000  # rows to leave out are sent to all executors up to this many, joined beyond
+BROADCAST_IDS = 200_000  # ids are sent to all executors up to this many, joined beyond
 
 
 def block_keys(bits: np.ndarray) -> np.ndarray:
@@ -247,7 +247,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, leas
             good = pa.array([near(x, y) for x, y in texts], pa.bool_())
             yield batch.select(names).filter(good)
 
-    return both.select(*names, "ta", "tb").mapInArrow(run, pairs.schema)
+    found = materialize(both.select(*names, "ta", "tb").mapInArrow(run, pairs.schema), "near-sure")
+    release(pairs, asked, some)
+    return found
 
 
 def _close(pairs: DataFrame, fps: DataFrame) -> DataFrame:
@@ -296,12 +298,10 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _to_heads(mixed: DataFrame, fps: DataFrame, least: float, no: int) -> DataFrame:
-    """For each text the NEAREST of some texts of other components that share a shingle with it: HEADS of
-    each shingle, others in each round ``no``. As many pairs at most as NEAREST times the texts."""
-    facts = mixed.groupBy("token").agg(
-        *(F.min(F.struct(F.xxhash64("node", F.lit(no * HEADS + i)), "node", "root", "size", "pos")).alias(f"h{i}") for i in range(HEADS))
-    )
-    heads = facts.select("token", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"h{i}.{c}") for c in ("node", "root", "size", "pos"))) for i in range(HEADS))))).alias("h"))
+    """For each text the NEAREST of some texts of other components that share a shingle with it, one of each
+    shingle and others in each round ``no``. As many pairs at most as NEAREST times the texts."""
+    order = F.struct(F.xxhash64("node", F.lit(no)), "node")
+    heads = mixed.groupBy("token").agg(F.min_by(F.struct("node", "root", "size", "pos"), order).alias("h"))
     a = mixed.join(materialize(heads, "near-heads"), "token").alias("a")
     met = a.filter((F.col("root") != F.col("h.root")) & _possible("a", "h", least))
     met = met.select(F.col("a.node").alias("a"), F.col("h.node").alias("b"), F.col("a.root").alias("ra"), F.col("h.root").alias("rb")).distinct()
@@ -368,7 +368,7 @@ def near_copies(df: DataFrame, text_col: str = "text", k: int = 5, similarity: f
     heads = materialize(heads.select("block", F.col("h.node").alias("head")), "near-heads")
     star = blocks.join(heads, "block").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     star = _close(star, fps).groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    sure = materialize(_verified(materialize(star, "near-star"), fps, texts, k, similarity), "near-sure")
+    sure = _verified(materialize(star, "near-star"), fps, texts, k, similarity)
     release(blocks, reach, heads)
 
     def replaced(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -384,7 +384,8 @@ def near_copies(df: DataFrame, text_col: str = "text", k: int = 5, similarity: f
         roots = connected_components(cross.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         placed = replaced(placed, roots)
         if no < ROUNDS:
-            mixed = _mixed(replaced(mixed, roots))
+            old, mixed = mixed, _mixed(replaced(mixed, roots))
+            release(old)
     return fps.select("node", "key").join(placed, "node").select("key", "root")
 
 
@@ -403,9 +404,13 @@ def keep_one(
         .agg(F.min_by(F.struct("id", "key"), order).alias("best"))
         .select(F.col("best.id").alias("__i"), F.col("best.key").alias("__k"))
     )
-    tagged = df.withColumn("__key", text_key(text_col)).withColumn("__id", F.col(id_col))
-    same = (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i"))
-    kept = tagged.join(best, same, "left_semi")
+    same = (F.col("key") == F.col("__k")) & F.col("id").eqNullSafe(F.col("__i"))
+    gone = light.distinct().join(materialize(best, "near-best"), same, "left_anti")
+    gone = materialize(gone.select(F.col("key").alias("__k"), F.col("id").alias("__i")), "near-gone")
+    if gone.count() <= BROADCAST_GONE:  # texts then need not move
+        gone = F.broadcast(gone)
+    tagged = df.withColumns({"__key": text_key(text_col), "__id": F.col(id_col)})
+    kept = tagged.join(gone, (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i")), "left_anti")
     if not light.groupBy("key", "id").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["__key", "__id"])
     return kept.select(*df.columns)
