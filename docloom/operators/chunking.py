@@ -41,18 +41,15 @@ def fixed_size(docs: DataFrame, size: int = 1000, overlap: int = 200, text_col:
     step = size - overlap
     n = F.length(text_col)
     last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step).cast("int"))
-    windows = docs.filter(n > 0).select("doc_id", text_col, n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("w"))
-    start = F.col("w") * step
-    pieces = windows.select(
-        "doc_id",
-        "w",
-        strip(F.substring(F.col(text_col), start + 1, F.lit(size))).alias("text"),
-        start.alias("char_start"),
-        F.least(start + size, F.col("n")).alias("char_end"),
-    ).filter("text <> ''")
-    order = Window.partitionBy("doc_id").orderBy("w")
-    out = pieces.withColumn("position", F.row_number().over(order) - 1)
-    return out.select("doc_id", "position", _chunk_id("fixed_size").alias("chunk_id"), "text", "char_start", "char_end")
+    piece = lambda w: F.struct(
+        strip(F.substring(F.col(text_col), w * step + 1, F.lit(size))).alias("text"),
+        (w * step).alias("char_start"),
+        F.least(w * step + size, n).alias("char_end"),
+    )
+    pieces = F.filter(F.transform(F.sequence(F.lit(0), last), piece), lambda x: x["text"] != "")
+    # made where the text lies: no row moves
+    out = docs.filter(n > 0).select("doc_id", F.posexplode(pieces).alias("position", "piece"))
+    return out.select("doc_id", "position", _chunk_id("fixed_size").alias("chunk_id"), "piece.text", "piece.char_start", "piece.char_end")
 
 
 # --- recursive splitting ------------------------------------------------------------------
@@ -110,10 +107,13 @@ def splitter(size: int, overlap: int):
     return F.pandas_udf(run, ArrayType(StringType()))
 
 
+_ROW = re.compile(r"(?ms)^\|.*?\|$(?=\n\||\n?\Z)")  # a row of a rendered table; its cells may hold line ends
+
+
 def split_table(markdown: str, size: int, caption: str | None = None) -> list[str]:
     """A rendered table in pieces of ``size`` at most, each with the header; a row that is too
     long stands alone."""
-    lines = [x for x in markdown.split("\n") if x.startswith("|")]
+    lines = _ROW.findall(markdown)
     head, body = lines[:2], lines[2:]
     start = (f"**Table: {caption}**\n\n" if caption else "") + "\n".join(head)
     out, held, length = [], [], len(start)
@@ -174,7 +174,7 @@ def recursive(elements: DataFrame, size: int = 1000, overlap: int = 150) -> Data
     table = rows.filter("chunk_type = 'table'")
     small = table.filter(F.length("text") <= size).withColumn("pieces", F.array("text"))
     large = table.filter(F.length("text") > size)
-    lines = F.filter(F.split("text", "\n"), lambda x: x.startswith("|"))
+    lines = F.regexp_extract_all("text", F.lit(r"(?ms)^\|.*?\|$(?=\n\||\n?\z)"), F.lit(0))
     kept = F.filter(lines, lambda x, i: (i == 1) | ~x.contains("---"))
     large = large.withColumn("pieces", table_splitter(size)(F.array_join(kept, "\n"), F.lit(None).cast("string")))
     both = text.unionByName(small).unionByName(large)

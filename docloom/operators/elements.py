@@ -15,12 +15,11 @@ from ..functions.text import blank, render, strip, table_markdown
 def text_elements(docs: DataFrame, text: Column | None = None) -> DataFrame:
     """Paragraphs between blank lines. ``docs(doc_id, text)``."""
     text = F.col("text") if text is None else text
-    parts = docs.select("doc_id", F.posexplode(F.split(text, r"\n\s*\n")).alias("at", "raw"))
-    kept = parts.withColumn("text", strip(F.col("raw"))).filter("text <> ''")
-    order = Window.partitionBy("doc_id").orderBy("at")
-    return kept.select(
+    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda x: x != "")
+    # made where the text lies: no row moves
+    return docs.select("doc_id", F.posexplode(parts).alias("pos", "text")).select(
         "doc_id",
-        (F.row_number().over(order) - 1).alias("pos"),
+        "pos",
         F.lit("paragraph").alias("type"),
         "text",
         F.lit(None).cast("int").alias("level"),

@@ -1,15 +1,20 @@
-"""Vectors of texts: feature hashing as expressions, models behind a protocol."""
+"""Vectors of texts: feature hashing, models behind a protocol."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 
 DIM = 384
+KNOWN_TOKENS = 1 << 17
 
 
 class Embedder(Protocol):
@@ -19,43 +24,44 @@ class Embedder(Protocol):
     def embed(self, df: DataFrame, id_cols: list[str], text_col: str, out: str, query: bool = False) -> DataFrame: ...
 
 
-def bucket(token: Column) -> Column:
-    """md5 of a token modulo 2 * DIM, exact for DIM = 384: 2^32 is 1 modulo 3 and 0 modulo 256."""
-    part = lambda i: F.conv(F.substring(F.md5(token.cast("binary")), 8 * i + 1, 8), 16, 10).cast("long")
-    thirds = (part(0) + part(1) + part(2)) % 3
-    return (256 * thirds + part(3)) % (2 * DIM)
+class _Places(dict):
+    """Tokens to the number of their place and sign: their md5 modulo 2 * DIM; forgets all when full."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= KNOWN_TOKENS:
+            self.clear()
+        value = self[token] = int(hashlib.md5(token.encode()).hexdigest(), 16) % (2 * DIM)
+        return value
 
 
 class HashingEmbedder:
-    """Each token adds or subtracts 1 at a place that its hash names; then unit length."""
+    """Each token adds or subtracts 1 at a place that its hash names; then unit length. Row by row in Arrow
+    batches: no row moves."""
 
     dim = DIM
 
-    def features(self, df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
-        """``(ids..., idx, value)``: the places that are not zero, before normalising."""
-        found = F.regexp_extract_all(F.lower(text_col), F.lit(X.TOKEN), F.lit(0))
-        rows = df.select(*id_cols, F.explode(found).alias("token")).groupBy(*id_cols, "token").agg(F.count("*").alias("n"))
-        m = bucket(F.col("token"))
-        signed = F.when(m < DIM, F.col("n")).otherwise(-F.col("n"))
-        return (
-            rows.select(*id_cols, (m % DIM).cast("int").alias("idx"), signed.alias("n"))
-            .groupBy(*id_cols, "idx")
-            .agg(F.sum("n").alias("value"))
-            .filter("value <> 0")
-        )
-
     def embed(self, df: DataFrame, id_cols: list[str], text_col: str, out: str = "vector", query: bool = False) -> DataFrame:
-        """``(ids..., out)``: texts without a token get the zero vector."""
-        places = self.features(df, id_cols, text_col).groupBy(*id_cols).agg(
-            F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("at"),
-            F.sqrt(F.sum(F.col("value") * F.col("value")).cast("double")).alias("norm"),
-        )
-        dense = F.transform(
-            F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.col("at")[i] / F.col("norm"), F.lit(0.0))
-        )
-        zero = F.array_repeat(F.lit(0.0), DIM)
-        known = places.select(*id_cols, dense.alias(out))
-        return df.select(*id_cols).distinct().join(known, id_cols, "left").withColumn(out, F.coalesce(out, zero))
+        """``(ids..., out)``: texts without a token, and null ones, get the zero vector."""
+        rows = df.select(*id_cols, F.lower(text_col).alias("__text"))
+        schema = rows.drop("__text").withColumn(out, F.array(F.lit(0.0))).schema
+        token = re.compile(X.TOKEN)
+
+        def run(batches):
+            places = _Places()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    some = batch.slice(at, 1000)
+                    signed = np.zeros((some.num_rows, 2 * DIM))
+                    for i, text in enumerate(some.column(some.num_columns - 1).to_pylist()):
+                        found = list(map(places.__getitem__, token.findall(text or "")))
+                        signed[i] = np.bincount(found, minlength=2 * DIM)
+                    value = signed[:, :DIM] - signed[:, DIM:]
+                    norm = np.sqrt((value * value).sum(1, keepdims=True))
+                    flat = pa.array((value / np.where(norm == 0, 1, norm)).ravel())
+                    offsets = pa.array(np.arange(some.num_rows + 1, dtype=np.int32) * DIM)
+                    yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
+
+        return rows.mapInArrow(run, schema)
 
 
 def choose(name: str = "auto", neural: Embedder | None = None) -> Embedder:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, tokens
+from .written import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BROADCAST_ROWS = 200_000  # smaller sides are sent to all executors up to this many rows
@@ -37,30 +38,40 @@ def ranked(scored: DataFrame, top_k: int, *by: str) -> DataFrame:
 # --- vectors ------------------------------------------------------------------------------
 
 
-def _best_in_batches(queries: list, vectors: np.ndarray, groups: list, top_k: int):
-    """Scores of a batch against all queries; each batch sends on its own top_k only."""
+def _comparable(column: str) -> Column:
+    """Vectors with a component, none of which is null."""
+    return F.coalesce((F.size(column) > 0) & F.forall(column, lambda x: x.isNotNull()), F.lit(False))
+
+
+def _best_in_batches(queries: list, vectors: list[np.ndarray], groups: list, top_k: int):
+    """Scores of a batch against all queries of a vector's length; each batch sends on its own top_k only."""
+    lengths = np.array([len(v) for v in vectors])
+
+    def against(x: np.ndarray, own, names: pa.Array, of: np.ndarray):
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        scores = np.round(x / np.where(norm == 0, 1, norm) @ np.array([vectors[j] for j in of]).T, PLACES)
+        for at, j in enumerate(of):
+            rows = np.arange(len(x)) if own is None else np.flatnonzero(own == groups[j])
+            if not len(rows):
+                continue
+            k = min(top_k, len(rows))
+            cut = np.partition(scores[rows, at], len(rows) - k)[len(rows) - k]
+            best = rows[scores[rows, at] >= cut]  # with all that tie at the end
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([queries[j]] * len(best)), names.take(pa.array(best)), pa.array(scores[best, at])], names=["query", "chunk_id", "score"]
+            )
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            x = x / np.where(norm == 0, 1, norm)
-            scores = np.round(x @ vectors.T, PLACES)
-            if batch.num_columns > 2:
-                own = np.array(batch.column(2).to_pylist(), object)
-            for j, q in enumerate(queries):
-                rows = np.arange(len(x)) if batch.num_columns < 3 else np.flatnonzero(own == groups[j])
-                if not len(rows):
-                    continue
-                k = min(top_k, len(rows))
-                cut = np.partition(scores[rows, j], len(rows) - k)[len(rows) - k]
-                best = rows[scores[rows, j] >= cut]  # with all that tie at the end
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([q] * len(best)), batch.column(0).take(pa.array(best)), pa.array(scores[best, j])],
-                    names=["query", "chunk_id", "score"],
-                )
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+            begin = np.cumsum(sizes) - sizes
+            own = np.array(batch.column(2).to_pylist(), object) if batch.num_columns > 2 else None
+            for size in np.unique(sizes).tolist():
+                rows, of = np.flatnonzero(sizes == size), np.flatnonzero(lengths == size)
+                if len(of):
+                    x = flat[begin[rows][:, None] + np.arange(size)]
+                    yield from against(x, None if own is None else own[rows], batch.column(0).take(pa.array(rows)), of)
 
     return run
 
@@ -71,17 +82,18 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, top_k: int, where: str |
 
     A block of queries goes to each task, which multiplies it with its chunks batch by batch and
     sends on the best; no pair leaves a task otherwise. More than ``max_queries`` queries are
-    taken in blocks of that size.
+    taken in blocks of that size. Vectors of different lengths never meet; null vectors, empty ones and
+    ones with a null component have no hits and are none.
     """
     extra = [where] if where else []
-    rows = chunks.filter(F.col("vector").isNotNull()).select("chunk_id", "vector", *extra)
+    rows = chunks.filter(_comparable("vector")).select("chunk_id", "vector", *extra)
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     first = queries.schema["query"].dataType.simpleString()
-    out, taken = None, queries.filter(F.col("vector").isNotNull()).select("query", "vector", *extra).toLocalIterator()
+    out, taken = None, queries.filter(_comparable("vector")).select("query", "vector", *extra).toLocalIterator()
     while block := [r for _, r in zip(range(max_queries), taken)]:
-        vectors = np.array([r.vector for r in block], float)
-        norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-        run = _best_in_batches([r.query for r in block], vectors / np.where(norm == 0, 1, norm), [r[where] for r in block] if where else [], top_k)
+        vectors = [np.array(r.vector, float) for r in block]
+        vectors = [v / (np.linalg.norm(v) or 1) for v in vectors]
+        run = _best_in_batches([r.query for r in block], vectors, [r[where] for r in block] if where else [], top_k)
         part = rows.mapInArrow(run, f"query {first}, chunk_id {kind}, score double")
         out = part if out is None else out.union(part)
     if out is None:
@@ -93,41 +105,42 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, top_k: int, where: str |
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, term, tf)``."""
-    terms = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
-    return terms.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    """``(chunk_id, dl, term, tf)``: dl is the number of a chunk's tokens."""
+    found = chunks.select("chunk_id", tokens(F.col("text")).alias("found"))
+    terms = found.select("chunk_id", F.size("found").cast("long").alias("dl"), F.explode("found").alias("term"))
+    return terms.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings with their chunk's length, terms with df and idf, one row of corpus totals).
+    """(postings, terms with df and idf, one row of corpus totals), each written once: pass them to
+    several searches of the same chunks.
 
     idf is ln(N - df + 0.5) - ln(df + 0.5); where that is negative, EPSILON times the mean over all
     terms. Chunks without a term count for N and the mean length.
     """
-    post = postings(chunks)
-    lengths = post.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    totals = chunks.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("words")))
+    post = written(postings(chunks), "postings")
+    totals = written(chunks.agg(F.count("*").alias("n")).crossJoin(post.agg(F.sum("tf").alias("words"))), "totals")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.crossJoin(F.broadcast(totals)).withColumn("raw", raw)
+    idf = written(df.crossJoin(F.broadcast(totals)).withColumn("raw", raw), "terms")  # totals is one row
     mean = idf.agg(F.avg("raw").alias("mean"))
     terms = idf.crossJoin(F.broadcast(mean)).select(
         "term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf")
     )
-    return post.join(lengths, "chunk_id"), terms, totals
+    return post, terms, totals
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
+def bm25(questions: DataFrame, chunks: DataFrame, top_k: int, made: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Top-k chunks of each ``(qid, query_idx)`` that share a term with it; a term that a question
-    repeats counts as often."""
-    post, terms, totals = index(chunks)
+    repeats counts as often. ``made``: the chunks' ``index``, if there is one."""
+    post, terms, totals = made or index(chunks)
     asked = (
         usable(questions, top_k)
         .select("qid", "query_idx", F.explode(tokens(F.col("text"))).alias("term"))
         .groupBy("qid", "query_idx", "term")
         .agg(F.count("*").alias("qtf"))
     )
-    wanted = asked.join(terms, "term")
+    wanted = written(asked.join(terms, "term"), "asked")
     found = post.join(small(wanted), "term").crossJoin(F.broadcast(totals))
     length = 1 - B + B * F.col("dl") * F.col("n") / F.col("words")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)

@@ -34,11 +34,11 @@ def fallback(question: Column) -> Column:
     q = F.lower(question)
     words = F.size(F.regexp_extract_all(question, F.lit(r"[^\s\x{A0}]+"), F.lit(0)))
     return (
-        F.when(contains_any(q, X.FALLBACK_COMPARE), _decision(ADVANCED, "Multi-part question", "decomposition", "compression"))
-        .when(contains_any(q, X.FALLBACK_DATE), _decision(ADVANCED, "Metadata/date constraint", "self_query"))
-        .when(contains_any(q, X.FALLBACK_VAGUE), _decision(ADVANCED, "Ambiguous wording", "rewriting"))
-        .when((words <= 7) & contains_any(q, X.FALLBACK_FOCUSED), _decision(BASIC, "Focused question"))
-        .otherwise(_decision(BASIC, "Default focused retrieval"))
+        F.when(contains_any(q, X.FALLBACK_COMPARE), _decision(ADVANCED, "a comparison, or more than one part", "decomposition", "compression"))
+        .when(contains_any(q, X.FALLBACK_DATE), _decision(ADVANCED, "a date or another limit on documents", "self_query"))
+        .when(contains_any(q, X.FALLBACK_VAGUE), _decision(ADVANCED, "wording that leaves the subject open", "rewriting"))
+        .when((words <= 7) & contains_any(q, X.FALLBACK_FOCUSED), _decision(BASIC, "short, about one fact"))
+        .otherwise(_decision(BASIC, "nothing else applies"))
     )
 
 

@@ -6,68 +6,123 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, context, embed, hooks, rerank, retrieval, routing
+from ..operators.written import written
 from ..sources import files
 
+# Said in place of the instructions on evidence where there is none.
+DIRECT_PROMPT = "Answer from general knowledge. Do not refer to documents, for none were given."
 
-def ingest(spark: SparkSession, path: str, strategy: str = "parent_child", embedder: embed.Embedder | None = None) -> DataFrame:
+
+def ingest(spark: SparkSession, path: str, strategy: str = "parent_child", embedder: embed.Embedder | None = None, extractor: hooks.PageExtractor | None = None) -> DataFrame:
     """A folder of files to chunks with vectors."""
-    elements = files.read_folder(spark, path).filter("_error is null")
+    elements = files.read_folder(spark, path, extractor=extractor).filter("_error is null")
     chunks = chunking.chunk(elements, strategy)
     vectors = embed.choose("auto", embedder).embed(chunks, ["chunk_id"], "text", "vector")
     return chunks.join(vectors, "chunk_id")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, top_k: int, method: str = "rrf", alpha: float = 0.5, embedder: embed.Embedder | None = None) -> DataFrame:
-    """Hybrid hits of ``questions(qid, query_idx, text)``."""
+def with_vectors(chunks: DataFrame, embedder: embed.Embedder | None = None) -> DataFrame:
+    """``chunks`` with vectors, written once."""
+    if "vector" in chunks.columns:
+        return chunks
+    vectors = embed.choose("auto", embedder).embed(chunks, ["chunk_id"], "text", "vector")
+    return chunks.join(written(vectors, "vectors"), "chunk_id")
+
+
+def retrieve(
+    questions: DataFrame, chunks: DataFrame, top_k: int, method: str = "rrf", alpha: float = 0.5, embedder: embed.Embedder | None = None, made: tuple | None = None
+) -> DataFrame:
+    """Hybrid hits of ``questions(qid, query_idx, text)``. ``made``: the chunks' ``retrieval.index``."""
     e = embed.choose("auto", embedder)
     depth = retrieval.fetch_depth(top_k)
     asked = e.embed(retrieval.usable(questions, top_k), ["qid", "query_idx"], "text", "vector", query=True)
     asked = asked.withColumn("query", F.to_json(F.struct("qid", "query_idx")))
     own = chunks if "vector" in chunks.columns else e.embed(chunks, ["chunk_id"], "text", "vector")
     found = retrieval.cosine_topk(asked, own, depth).join(asked.select("query", "qid", "query_idx"), "query")
-    return retrieval.hybrid(found, retrieval.bm25(questions, chunks, depth), top_k, method, alpha)
+    return retrieval.hybrid(found, retrieval.bm25(questions, chunks, depth, made), top_k, method, alpha)
+
+
+def _attributed(chunks: DataFrame) -> DataFrame:
+    attributes = {c: F.col(c) if c in chunks.columns else F.lit(None).cast("string") for c in ("source", "page", "section")}
+    kind = F.col("chunk_type") if "chunk_type" in chunks.columns else F.lit("text")
+    return chunks.select("chunk_id", "text", kind.alias("chunk_type"), *(v.alias(k) for k, v in attributes.items()))
+
+
+REWORDED = ("rewriting", "multi_query", "decomposition", "hyde", "self_query")
+HIT = ["qid", "chunk_id", "chunk_type", "text", "source", "page", "section", "queries"]
 
 
 def answer(questions: DataFrame, chunks: DataFrame, top_k: int = 5, llm: hooks.LLM | None = None, budget: int = context.BUDGET) -> DataFrame:
     """``questions(qid, text, generated)`` to routes, evidence and answers, all in one plan.
 
-    ``generated`` holds wordings by a model, if any. Simple questions skip retrieval. Reranking runs on
-    the advanced route; a failed corrective check leaves ``action`` = rewrite, for a second pass with
-    other wordings, whose rows replace these.
+    ``generated`` holds wordings, sub-questions or passages by a model, if any. What is done with a question
+    follows its route and techniques:
+
+    * simple questions are put to the model as they are, without retrieval;
+    * the basic route searches for the question alone and keeps the hits' own order and scores;
+    * the advanced route adds the generated wordings where a technique makes some, and reranks;
+    * ``crag`` checks the evidence; where that fails the first generated wording (else the question) is
+      searched for alone, and its reranked hits replace the first ones;
+    * ``compression`` shortens the evidence of the questions that list it.
+
+    Confidence is that of the final hits, on both routes.
     """
     llm = llm or hooks.MockLLM()
     routed = questions.withColumn("decision", routing.route(F.col("text"))).select("*", "decision.*").drop("decision")
+    is_advanced = F.col("route") == routing.ADVANCED
+    ranked = is_advanced & ~F.array_contains("techniques", "reranking")
+    routed = routed.withColumn("techniques", F.when(ranked, F.concat("techniques", F.array(F.lit("reranking")))).otherwise(F.col("techniques")))
+    routed = written(routed, "routed")
     needed = routed.filter(F.col("route") != routing.SIMPLE)
-    wordings = retrieval.wordings(needed, "generated")
-    hits = retrieval.merge(retrieve(wordings, chunks, max(top_k, 8)), max(4 * top_k, 20))
-    texts = wordings.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("query_idx", "text"))).alias("w"))
-    kind = F.col("chunk_type") if "chunk_type" in chunks.columns else F.lit("text")
-    attributes = {c: F.col(c) if c in chunks.columns else F.lit(None).cast("string") for c in ("source", "page", "section")}
-    of = chunks.select("chunk_id", "text", kind.alias("chunk_type"), *(v.alias(k) for k, v in attributes.items()))
-    rows = hits.join(of, "chunk_id").join(texts, "qid").join(needed.select("qid", "route", F.col("text").alias("question")), "qid")
-    found = F.transform("queries", lambda i: F.col("w")[i])
-    rows = rows.withColumns({"variants": rerank.variants(F.col("question"), found), "n_found": F.size("queries"), "queries": found})
-    rows = rows.persist()  # read by both routes and by each check; recomputed where it is lost
-    advanced = rerank.rerank(rows.filter(F.col("route") == routing.ADVANCED), top_k)
-    basic = rows.filter(F.col("route") == routing.BASIC).filter(F.col("rank") <= max(top_k, 8))
-    facts = rerank.confidence(needed, advanced).select("qid", "confidence", "label")
-    check = rerank.corrective_check(needed, advanced).select("qid", "action")
-    keep = ["qid", "chunk_id", "chunk_type", "text", "source", "page", "section", "queries"]
-    final = advanced.select(*keep, F.col("new_rank").alias("rank"), F.col("new_score").alias("score")).unionByName(basic.select(*keep, "rank", "score"))
-    short = rerank.compress(final).withColumn("text", F.col("compressed"))
-    built = context.build(needed, short, budget)
-    out = routed.join(built, "qid", "left").join(facts, "qid", "left").join(check, "qid", "left")
-    out = out.withColumn("prompt", context.prompt(F.col("text"), F.coalesce("context", F.lit(""))))
-    out = out.withColumn("system", F.lit(context.SYSTEM_PROMPT))
+    own, made, of = with_vectors(chunks), retrieval.index(chunks), _attributed(chunks)
+
+    def candidates(asked: DataFrame) -> DataFrame:
+        """``asked(qid, text, question, generated)`` to merged hits with their texts and wordings."""
+        wordings = retrieval.wordings(asked, "generated")
+        hits = retrieval.merge(retrieve(wordings, own, max(top_k, 8), made=made), max(4 * top_k, 20))
+        texts = wordings.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("query_idx", "text"))).alias("w"))
+        rows = hits.join(of, "chunk_id").join(texts, "qid").join(asked.select("qid", "question"), "qid")
+        found = F.transform("queries", lambda i: F.col("w")[i])
+        return rows.withColumns({"variants": rerank.variants(F.col("question"), found), "n_found": F.size("queries"), "queries": found})
+
+    reworded = is_advanced & F.arrays_overlap("techniques", F.array(*map(F.lit, REWORDED)))
+    asked = needed.select("qid", "text", F.col("text").alias("question"), F.when(reworded, F.col("generated")).alias("generated"))
+    rows = written(candidates(asked), "candidates")
+    on = lambda route: needed.filter(F.col("route") == route)
+    basic = rows.join(on(routing.BASIC).select("qid"), "qid", "left_semi").filter(F.col("rank") <= max(top_k, 8))
+    advanced = written(rerank.rerank(rows.join(on(routing.ADVANCED).select("qid"), "qid", "left_semi"), top_k), "reranked")
+
+    checked = needed.filter(F.array_contains("techniques", "crag"))
+    check = written(rerank.corrective_check(checked, advanced).select("qid", "action"), "checked")
+    failed = checked.join(check.filter("action = 'rewrite'").select("qid"), "qid", "left_semi")
+    other = F.coalesce(F.get("generated", 0), F.col("text"))
+    again = failed.select("qid", other.alias("text"), F.col("text").alias("question"), F.lit(None).cast("array<string>").alias("generated"))
+    second = rerank.rerank(candidates(again), top_k)
+    advanced = advanced.join(failed.select("qid"), "qid", "left_anti").unionByName(second)
+    advanced = written(advanced, "evidence")
+
+    facts = rerank.confidence(on(routing.ADVANCED), advanced).unionByName(rerank.confidence(on(routing.BASIC), basic, "rank", None))
+    final = advanced.select(*HIT, F.col("new_rank").alias("rank"), F.col("new_score").alias("score")).unionByName(basic.select(*HIT, "rank", "score"))
+    short = needed.filter(F.array_contains("techniques", "compression")).select("qid")
+    shortened = rerank.compress(final.join(short, "qid", "left_semi")).withColumn("text", F.col("compressed")).drop("compressed")
+    built = context.build(needed, final.join(short, "qid", "left_anti").unionByName(shortened), budget)
+    out = routed.join(built, "qid", "left").join(facts.select("qid", "confidence", "label"), "qid", "left").join(check, "qid", "left")
+    simple = F.col("route") == routing.SIMPLE
+    out = out.withColumns(
+        {
+            "label": F.when(simple, "Not Applicable").otherwise(F.col("label")),
+            "confidence": F.coalesce("confidence", F.lit(0.0)),
+            "prompt": F.when(simple, F.col("text")).otherwise(context.prompt(F.col("text"), F.coalesce("context", F.lit("")))),
+            "system": F.when(simple, DIRECT_PROMPT).otherwise(context.SYSTEM_PROMPT),
+        }
+    )
     return llm.generate(out, "system", "prompt", "answer")
 
 
 def baseline(questions: DataFrame, chunks: DataFrame, top_k: int = 5, llm: hooks.LLM | None = None) -> DataFrame:
     """One wording, top_k hits, no reranking."""
     one = questions.select("qid", F.lit(0).alias("query_idx"), "text")
-    attributes = {c: F.col(c) if c in chunks.columns else F.lit(None).cast("string") for c in ("source", "page", "section")}
-    kind = F.col("chunk_type") if "chunk_type" in chunks.columns else F.lit("text")
-    of = chunks.select("chunk_id", "text", kind.alias("chunk_type"), *(v.alias(k) for k, v in attributes.items()))
+    of = _attributed(chunks)
     built = context.build(questions, retrieve(one, chunks, top_k).join(of, "chunk_id"))
     out = questions.join(built, "qid").withColumn("prompt", context.prompt(F.col("text"), F.col("context")))
     return (llm or hooks.MockLLM()).generate(out.withColumn("system", F.lit(context.SYSTEM_PROMPT)), "system", "prompt", "answer")

@@ -123,11 +123,11 @@ def section_paths(spark, d):
 
 @query()
 def markdown_elements(spark, d):
-    """Documents as Markdown: every fifth line a heading, each with a table of its words' first cells."""
+    """Documents as Markdown: every fifth line a heading, every seventh a table whose first cell it is."""
     marked = F.array_join(
         F.transform(
             F.split("text", "\n"),
-            lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("## "), x)).when(i % 7 == 3, F.concat(F.lit("| a | b |\n|---|---|\n| "), F.substring(x, 1, 20), F.lit(" | c |"))).otherwise(x),
+            lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("## "), x)).when(i % 7 == 3, F.concat(F.lit("| a | b |\n|---|---|\n| "), x, F.lit(" | c |"))).otherwise(x),
         ),
         "\n",
     )
@@ -761,3 +761,134 @@ def advanced_answers(spark, d):
 def baseline_answers(spark, d):
     rows = pipelines.baseline(_t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), _sourced(spark, d), TOP_K)
     return rows.select("qid", F.size("sources").alias("n_sources"), "answer")
+
+
+@query()
+def pipelines_compared(spark, d):
+    """The conditional pipeline and the baseline over all benchmark items, measured alike."""
+    asked, chunks = _generated(spark, d), pipelines.with_vectors(_sourced(spark, d))
+    advanced = pipelines.answer(asked, chunks, TOP_K).select("qid", F.col("text").alias("question"), "answer", "context", "route")
+    basic = pipelines.baseline(asked.select("qid", "text"), chunks, TOP_K)
+    basic = basic.select("qid", F.col("text").alias("question"), "answer", "context", F.lit(routing.BASIC).alias("route"))
+    measured = (evaluation.evaluate(x.withColumn("reference", F.lit(None).cast("string")), ["qid"]) for x in (advanced, basic))
+    return evaluation.compare(*measured, ["qid"], _METRICS)
+
+
+_CELL = lambda x: f"replace({x}, '|', '')"
+
+
+@query(
+    f"""with ln as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),
+k as (select doc_id, i, {S.strip(_CELL('raw'))} as l, i % 7 = 3 and i % 5 <> 0 as tab from ln),
+e as (select doc_id, i, 0 as part, case when i % 5 = 0 then 'heading' else 'paragraph' end as type, l as text, case when i % 5 = 0 then 2 end as level, null as tbl from k where not tab and l <> ''
+  union all select doc_id, i, 0, 'table', '', null, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || l || ' | c |' from k where tab),
+s as (select *, type = 'paragraph' and not coalesce(lag(type) over o = 'paragraph' and lag(i) over o = i - 1, false) or type <> 'paragraph' as new from e window o as (partition by doc_id order by i)),
+g as (select *, sum(new::int) over (partition by doc_id order by i) as island from s)
+select doc_id, (island - 1)::bigint as pos, min(type) as type, string_agg(text, chr(10) order by i) as text, min(level)::int as level, min(tbl) as table from g group by doc_id, island"""
+)
+def markdown_lines(spark, d):
+    """Documents as Markdown: every fifth line a heading, some a table whose first cell it is; bars are left out."""
+    cell = lambda x: T.strip(F.translate(x, "|", ""))
+    line = lambda x, i: F.when(
+        i % 5 == 0, F.when(cell(x) != "", F.concat(F.lit("## "), cell(x))).otherwise("")
+    ).when(i % 7 == 3, F.concat(F.lit("| a | b |\n|---|---|\n| "), cell(x), F.lit(" | c |"))).otherwise(cell(x))
+    marked = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    out = elements.markdown_elements(_t(spark, d, "documents").select("doc_id", marked.alias("text")))
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "type", "text", "level", "table")
+
+
+@query(
+    "with r as (select o_custkey, o_orderkey, '| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |  |' as line from orders) "
+    "select o_custkey, 1 as piece, '**Table: orders**' || chr(10) || chr(10) || '| order | status | priority |  |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || "
+    "string_agg(line, chr(10) order by o_orderkey) as text from r group by 1"
+)
+def table_whole(spark, d):
+    """Tables that fit are one piece, which is the table."""
+    tables = _order_tables(spark, d).select("o_custkey", T.table_markdown(F.col("rows")).alias("md"))
+    pieces = chunking.table_splitter(10_000_000)(F.col("md"), F.lit("orders"))
+    return tables.select("o_custkey", F.posexplode(pieces).alias("piece", "text")).withColumn("piece", F.col("piece") + 1)
+
+
+_REPLY = """with r as (select event_id, event_type as t, substr(event_type, 1, 1) as a, value from events)"""
+
+
+def _replies(spark, d):
+    """Replies of models made of events: fenced, with words around, with unknown names, or none at all."""
+    kind = F.col("event_type")
+    known = F.when(kind == "view", "advanced_rag").when(kind == "click", "simple").otherwise("maze")
+    made = F.format_string('```json\n{"route": "%s", "reason": "%s", "techniques": ["hyde", "%s", "crag"], "query": " %s ", "queries": ["%s", " ", "x", "y", "z"]}\n```', known, kind, kind, kind, kind)
+    return _t(spark, d, "events").select("event_id", "event_type", F.when(kind == "error", "no reply").otherwise(made).alias("reply"))
+
+
+@query(
+    f"{_REPLY} select event_id, case t when 'error' then null when 'view' then 'advanced_rag' when 'click' then 'simple' else 'basic_rag' end as route, "
+    "case when t = 'error' then null else 'hyde,crag' end as techniques from r"
+)
+def route_replies(spark, d):
+    rows = _replies(spark, d).select("event_id", routing.from_reply(F.col("reply")).alias("r"))
+    return rows.select("event_id", "r.route", F.array_join("r.techniques", ",").alias("techniques"))
+
+
+@query(f"{_REPLY} select event_id, case when t = 'error' then 'asked' else t end as rewritten, case when t = 'error' then '' else t || ',x,y' end as several from r")
+def wording_replies(spark, d):
+    reply = F.col("reply")
+    return _replies(spark, d).select("event_id", routing.rewritten(reply, F.lit("asked")).alias("rewritten"), F.array_join(routing.several(reply), ",").alias("several"))
+
+
+@query(
+    f"{_FAITH}, ev as (select conv_id, turn, round_even(least(1.0, greatest(0.0, turn / 4.0 - 0.25)), 3) as j, case when context = '' then 0.0 else coalesce(f, 0.0) end as f, "
+    "turn % 3 = 0 as judged from qt left join fa using (conv_id, turn)) select conv_id, turn, case when judged then j else f end as faithfulness from ev"
+)
+def eval_judged(spark, d):
+    """A judge's values win where it gave any; every third turn has some, beyond 0 and 1 too."""
+    value = (F.col("turn") / 4.0 - 0.25).cast("double")
+    names = ("context_relevance", "faithfulness", "answer_relevance", "correctness")
+    judge = F.when(F.col("turn") % 3 == 0, F.struct(*(value.alias(n) for n in names)))
+    return evaluation.evaluate(_pairs(spark, d).withColumn("judge", judge), ["conv_id", "turn"], judge="judge").select("conv_id", "turn", "faithfulness")
+
+
+@query(f"{_COST} select conv_id as qid, count(*) as n_calls, round_even(sum(actual_cost), 6) as total_cost from priced group by 1")
+def calls_of_question(spark, d):
+    calls = evaluation.costs(_calls(spark, d)).withColumn("qid", F.col("conv_id"))
+    return evaluation.latest_calls(calls).select("qid", "n_calls", F.bround("total_cost", 6).alias("total_cost"))
+
+
+@query("select o_orderkey, case when o_orderkey % 2 = 0 then o_orderstatus else o_orderpriority end as department from orders")
+def attribute_or_metadata(spark, d):
+    """A chunk's own attribute, or else its metadata's."""
+    rows = _metadata_orders(spark, d)
+    own = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus"))
+    return rows.select("o_orderkey", T.attribute(own, F.col("metadata"), "department").alias("department"))
+
+
+@query("select event_id, (case when event_id % 3 = 0 then event_id when length(props) < 4 then 1 else length(props) // 4 end)::bigint as used from events where event_id % 3 <> 0 or event_id > 0")
+def usage_counts(spark, d):
+    """Tokens as counted, else a quarter of the characters."""
+    rows = _t(spark, d, "events").filter("event_id % 3 <> 0 or event_id > 0")
+    return rows.select("event_id", hooks.usage_fallback(F.when(F.col("event_id") % 3 == 0, F.col("event_id")), F.col("props")).alias("used"))
+
+
+def _boxes(spark, d):
+    size = F.col("l_quantity").cast("double")
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("top"), size.alias("x1"), (size / 2).alias("bottom"))
+    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(box).alias("boxes"))
+
+
+@query("select l_orderkey, round_even(least(1.0, sum(l_quantity::double * (l_quantity::double / 2)) / 5000.0), 6) as ratio from lineitem group by 1")
+def table_areas(spark, d):
+    """Each order as a page of 100 by 50 whose lines are tables."""
+    ratio = ocr.table_area_ratio(F.col("boxes"), F.lit(100.0), F.lit(50.0))
+    return _boxes(spark, d).select("l_orderkey", F.bround(ratio, 6).alias("ratio"))
+
+
+@query(
+    "select l_orderkey, l_linenumber::bigint as n, dense_rank() over (partition by l_orderkey order by (l_linenumber - 1) // 3) - 1 as row, (row_number() over (partition by l_orderkey, (l_linenumber - 1) // 3 order by l_linenumber) - 1)::bigint as col from lineitem"
+)
+def cell_grid(spark, d):
+    """Lines of an order as cells, three to a row, whose tops differ a little."""
+    n = F.col("l_linenumber").cast("long") - 1
+    cells = _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("table_no"), (n * 10.0).alias("x0"), (F.floor(n / 3) * 20.0 + n % 3).alias("top"), (n + 1).cast("string").alias("text")
+    )
+    out = ocr.cell_rows(cells)
+    return out.select(F.col("doc_id").alias("l_orderkey"), F.col("text").cast("long").alias("n"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))

@@ -17,7 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.elements import markdown_elements, text_elements
+from ..operators.elements import markdown_elements, page_elements, text_elements
+from ..operators.hooks import PageExtractor
+from . import ocr
 
 FORMATS = {
     ".txt": "txt", ".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html", ".csv": "csv",
@@ -47,22 +49,23 @@ class _Node:
     def __init__(self, tag: str, parent: _Node | None):
         self.tag, self.parent, self.children = tag, parent, []
 
-    def strings(self):
-        for c in self.children:
-            if isinstance(c, str):
+    def walk(self):
+        """All nodes and strings below, in document order, without recursion."""
+        stack = [iter(self.children)]
+        while stack:
+            for c in stack[-1]:
                 yield c
+                if isinstance(c, _Node):
+                    stack.append(iter(c.children))
+                    break
             else:
-                yield from c.strings()
+                stack.pop()
 
     def text(self) -> str:
-        return " ".join(s.strip() for s in self.strings() if s.strip())
+        return " ".join(s.strip() for s in self.walk() if isinstance(s, str) and s.strip())
 
     def find(self, tags):
-        for c in self.children:
-            if isinstance(c, _Node):
-                if c.tag in tags:
-                    yield c
-                yield from c.find(tags)
+        return (c for c in self.walk() if isinstance(c, _Node) and c.tag in tags)
 
 
 class _Tree(HTMLParser):
@@ -170,12 +173,30 @@ def parsed(files: DataFrame) -> DataFrame:
     return some.select("doc_id", "path", "format", "content").mapInPandas(run, PARSED)
 
 
-def read_folder(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """All elements of a folder's files. PDF files need an extractor (``operators.hooks``)."""
+def pdf_elements(files: DataFrame, extractor: PageExtractor) -> DataFrame:
+    """``files(doc_id, path, content)`` by an extractor of tokens: lines of each page, the native text where
+    recognition is weak (``native``, if the tokens have that column), headings by their look."""
+    tokens = extractor.tokens(files)
+    pages = ocr.page_stats(tokens).join(ocr.page_text(tokens), ["doc_id", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    if "native" in tokens.columns:
+        native = tokens.groupBy("doc_id", "page").agg(F.max("native").alias("native"))
+        pages = ocr.best_text(pages.join(native, ["doc_id", "page"]).withColumn("native", F.coalesce("native", F.lit(""))))
+    return page_elements(pages.select("doc_id", "page", "text")).withColumn("_error", F.lit(None).cast("string"))
+
+
+def read_folder(spark: SparkSession, path: str, recursive: bool = True, extractor: PageExtractor | None = None) -> DataFrame:
+    """All elements of a folder's files. Bytes that are no UTF-8 become U+FFFD. PDF files need an
+    ``extractor``; without one each gives a row with ``_error``."""
     files = scan(spark, path, recursive)
-    texts = files.filter(F.col("format").isin("txt", "markdown")).select("doc_id", "format", F.decode("content", "utf-8").alias("text"))
+    texts = files.filter(F.col("format").isin("txt", "markdown"))
+    texts = texts.select("doc_id", "format", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     plain = text_elements(texts.filter("format = 'txt'"))
     marked = markdown_elements(texts.filter("format = 'markdown'"))
     columns = ["doc_id", "pos", "type", "text", "level", "page", "table"]
     native = plain.select(*columns).unionByName(marked.select(*columns)).withColumn("_error", F.lit(None).cast("string"))
-    return native.unionByName(parsed(files))
+    pdf = files.filter("format = 'pdf'")
+    if extractor:
+        pages = pdf_elements(pdf, extractor).select(*columns, "_error")
+    else:
+        pages = pdf.select("doc_id", *(F.lit(None).alias(c) for c in columns[1:]), F.lit("no extractor for PDF").alias("_error"))
+    return native.unionByName(parsed(files)).unionByName(pages)

@@ -150,3 +150,8 @@ def test_full_text(spark):
     rows = made(spark, h("A", 2), p("x"), t("| t |"))
     assert E.full_text(rows).first().full_text == "## A\n\nx\n\n| t |"
     assert E.text_elements(spark.createDataFrame([(1, " a \n \n\n b\nc ")], "doc_id long, text string")).select(F.collect_list("text")).first()[0] == ["a", "b\nc"]
+
+
+def test_cells_with_line_ends_stay_whole():
+    md = "| a | b |\n| --- | --- |\n| x\ny | 1 |\n| z | 2 |"
+    assert C.split_table(md, 30) == ["| a | b |\n| --- | --- |\n| x\ny | 1 |", "| a | b |\n| --- | --- |\n| z | 2 |"]

@@ -51,13 +51,25 @@ def test_bm25_is_okapi(spark, chunks):
     assert retrieval.bm25(ask(spark, "stock"), chunks.limit(0), 5).count() == 0
 
 
-def test_hash_bucket_equals_whole_number(spark):
+def test_hash_vectors_equal_whole_numbers(spark):
     import hashlib
 
-    words = ["stock", "مخزون", "x1", "a", "warehouse"]
-    df = spark.createDataFrame([(w,) for w in words], "t string").select("t", embed.bucket(F.col("t")).alias("m"))
-    for r in df.collect():
-        assert r.m == int(hashlib.md5(r.t.encode()).hexdigest(), 16) % 768
+    texts = ["stock مخزون x1", "a a Warehouse", "", None, "?!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for r in embed.HashingEmbedder().embed(df, ["id"], "t").collect():
+        want = np.zeros(384)
+        for w in (texts[r.id] or "").lower().replace("?!", "").split():
+            m = int(hashlib.md5(w.encode()).hexdigest(), 16) % 768
+            want[m % 384] += 1 if m < 384 else -1
+        assert np.allclose(r.vector, want / (np.linalg.norm(want) or 1))
+
+
+def test_ragged_and_broken_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0]), (3, []), (4, [None, 1.0]), (5, None), (6, [0.5, 0.5])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    asked = spark.createDataFrame([(i, v) for i, v in rows], "query long, vector array<double>")
+    got = {(r.query, r.chunk_id) for r in retrieval.cosine_topk(asked, chunks, 9).collect()}
+    assert got == {(1, 1), (1, 6), (6, 1), (6, 6), (2, 2)}
 
 
 def test_cosine_in_blocks_equals_numpy(spark):

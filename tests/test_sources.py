@@ -119,3 +119,13 @@ def test_streaming_ingest_appends_once(spark, tmp_path):
     ingest.ingest(spark, src, rows.schema, store, 100, 10).awaitTermination()
     assert first > 0 and ingest.chunks(spark, store).select("doc_id").distinct().count() == 5
     assert ingest.postings(spark, store).filter("term = 'stock'").select("chunk_id").distinct().count() == ingest.chunks(spark, store).count()
+
+
+def test_bad_bytes_pdfs_and_deep_pages(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"good \xff text")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    (tmp_path / "c.html").write_text("<p>x" * 3000)
+    rows = files.read_folder(spark, str(tmp_path)).collect()
+    assert [r.text for r in rows if r.type == "paragraph" and r.text.startswith("good")] == ["good \ufffd text"]
+    assert [r["_error"] for r in rows if r["_error"]] == ["no extractor for PDF"]
+    assert sum(r.type == "paragraph" for r in rows) == 3001
