@@ -130,6 +130,6 @@ def compare(advanced: DataFrame, basic: DataFrame, keys: list[str], metrics: lis
 
 def latest_calls(calls: DataFrame) -> DataFrame:
     """Sums of a question's calls, as its call log shows them."""
-    return calls.groupBy("qid").agg(F.count("*").alias("n_calls"), F.bround(F.sum("actual_cost"), 8).alias("total_cost"))
+    return calls.groupBy("qid").agg(F.count("*").alias("n_calls"), F.bround(F.sum(F.col("actual_cost").cast("decimal(28,10)")).cast("double"), 8).alias("total_cost"))
 
 

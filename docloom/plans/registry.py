@@ -847,10 +847,10 @@ def eval_judged(spark, d):
     return evaluation.evaluate(_pairs(spark, d).withColumn("judge", judge), ["conv_id", "turn"], judge="judge").select("conv_id", "turn", "faithfulness")
 
 
-@query(f"{_COST} select conv_id as qid, count(*) as n_calls, round_even(sum(actual_cost), 6) as total_cost from priced group by 1")
+@query(f"{_COST} select conv_id as qid, count(*) as n_calls, round_even(sum(actual_cost::decimal(28,10))::double, 8) as total_cost from priced group by 1")
 def calls_of_question(spark, d):
     calls = evaluation.costs(_calls(spark, d)).withColumn("qid", F.col("conv_id"))
-    return evaluation.latest_calls(calls).select("qid", "n_calls", F.bround("total_cost", 6).alias("total_cost"))
+    return evaluation.latest_calls(calls).select("qid", "n_calls", "total_cost")
 
 
 @query("select o_orderkey, case when o_orderkey % 2 = 0 then o_orderstatus else o_orderpriority end as department from orders")

@@ -5,8 +5,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
@@ -98,17 +97,16 @@ def cell_rows(cells: DataFrame, tolerance: float = 4.0) -> DataFrame:
     row whose first cell's top is within ``tolerance``; rows by top, cells by x0. A table's cells are
     one group, as small as a page."""
 
-    def grid(pdf: pd.DataFrame) -> pd.DataFrame:
-        tops: list[float] = []
-        rows = []
-        for top in pdf["top"]:
-            at = next((i for i, t in enumerate(tops) if abs(t - top) <= tolerance), len(tops))
-            if at == len(tops):
-                tops.append(top)
-            rows.append(at)
-        order = {r: i for i, r in enumerate(sorted(range(len(tops)), key=lambda r: (tops[r], r)))}
-        pdf = pdf.assign(row=[order[r] for r in rows]).sort_values(["row", "x0"], kind="stable")
-        return pdf.assign(col=pdf.groupby("row").cumcount())
-
-    schema = cells.select("doc_id", "page", "table_no", "x0", "top", "text").schema
-    return cells.select(*schema.names).groupBy("doc_id", "page", "table_no").applyInPandas(grid, schema.add("row", "long").add("col", "long"))
+    keys = ["doc_id", "page", "table_no"]
+    near = lambda t, top: F.abs(t - top) <= tolerance
+    found = cells.groupBy(*keys).agg(F.collect_list(F.struct("x0", "top", "text")).alias("cells"))
+    tops = F.aggregate(
+        F.transform("cells", lambda c: c["top"].cast("double")),
+        F.array().cast("array<double>"),
+        lambda seen, top: F.when(F.exists(seen, lambda t: near(t, top)), seen).otherwise(F.concat(seen, F.array(top))),
+    )
+    each = found.withColumn("tops", tops).select(*keys, "tops", F.posexplode("cells").alias("at", "cell")).select(*keys, "tops", "at", "cell.*")
+    first = F.get(F.filter("tops", lambda t: near(t, F.col("top"))), 0)
+    each = each.withColumn("row", F.array_position(F.array_sort("tops"), first) - 1)
+    order = Window.partitionBy(*keys, "row").orderBy("x0", "at")
+    return each.withColumn("col", F.row_number().over(order).cast("long") - 1).select(*keys, "x0", "top", "text", "row", "col")
