@@ -118,6 +118,14 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes > len(hashes)).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH longs, whose bit i tells whether the number of ``hashes`` that fall to i is odd. Sketches of
+    two sets differ in no more bits than there are hashes in only one of them."""
+    bits = 64 * SKETCH
+    found = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(found.astype(np.uint8)).view(np.int64)
+
+
 def prefix(hashes: np.ndarray, least: float, classes: np.ndarray) -> np.ndarray:
     """The first of ``hashes`` in the order of their class, then value. Two sets with a Jaccard
     similarity of ``least`` or more have one in common."""
@@ -181,6 +189,7 @@ LANES = 4
 BLOCK_BITS = 24
 BLOCKS = 48
 CLASS_BITS = 20
+SKETCH = 16  # longs of a text's parities
 KNOWN_WORDS = 1 << 17  # words whose hashes a task keeps at a time
 SAMPLE = 8  # one text in so many counts for the classes
 OFTEN = 3  # a shingle found in so many texts of the sample is no longer of class 0
@@ -310,20 +319,34 @@ def _to_heads(mixed: DataFrame, fps: DataFrame, least: float, no: int) -> DataFr
     return near.select("a", F.explode("best").alias("x"), "ra").select("a", "x.b", "ra", "x.rb")
 
 
-def _all_pairs(mixed: DataFrame, least: float) -> DataFrame:
-    """All pairs of different components that share a shingle of their prefixes.
+def _few_apart(a: str, b: str, least: float) -> Column:
+    """False for rows whose ``sketch`` shows more shingles in only one of the texts than a similarity of
+    ``least`` leaves room for."""
+    x, y = F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+    bits = [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH)]
+    return (1 + least) * sum(bits[1:], bits[0]) <= (1 - least) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + EPSILON
+
+
+def _all_pairs(mixed: DataFrame, least: float, sketches: DataFrame | None = None) -> DataFrame:
+    """All pairs of different components that share a shingle of their prefixes, but for those that
+    ``sketches(node, sketch)``, if given, prove to be below ``least``.
 
     Of each shingle, the rows outside its largest component meet all rows of other components. The
     rows that they meet are dealt to parts of SPLIT rows, so a frequent shingle spans many tasks."""
     counts = mixed.groupBy("token", "root").count()
     facts = counts.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("count").alias("n"))
     rows = mixed.select("token", "root", "node", "size", "pos").join(materialize(facts, "near-big"), "token")
+    if sketches is not None:
+        rows = materialize(rows.join(sketches, "node"), "near-rows")
     parts = F.ceil(F.col("n") / SPLIT).cast("int")
     a = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).alias("a")
     b = rows.filter("root <> big").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("b")
     same = (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part"))
     once = (F.col("a.root") == F.col("a.big")) | (F.col("a.root") < F.col("b.root"))
-    pairs = a.join(b, same & once & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", least))
+    may = once & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", least)
+    if sketches is not None:
+        may = may & _few_apart("a", "b", least)
+    pairs = a.join(b, same & may)
     return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb")).distinct()
 
 
@@ -335,7 +358,8 @@ def near_copies(df: DataFrame, text_col: str = "text", k: int = 5, similarity: f
     one pair a text, which keeps large groups from becoming all their pairs. What that leaves in
     different components is found by an exact prefix-filter join: texts of ``similarity`` share one
     of the rarest shingles, a fifth of each text's. First each text meets some others, so that large
-    groups become few components, then all that are still apart do.
+    groups become few components, then all that are still apart do, unless the parities of their
+    shingles' hashes already tell that they differ too much.
     """
     texts = df.select(text_key(text_col).alias("key"), text_bytes(text_col).alias("text"))
     classes = _classes(texts, k)
@@ -350,11 +374,14 @@ def near_copies(df: DataFrame, text_col: str = "text", k: int = 5, similarity: f
             hashes = [token_hashes(t, k, known) for t in batch.column(1).to_pylist()]
             fp = lists([wide_fingerprint(h) for h in hashes])
             tokens = lists([prefix(h, similarity, classes).view(np.int64) for h in hashes])
+            sketch = lists([parities(h) for h in hashes])
             size = pa.array(list(map(len, hashes)), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, size, tokens], names=["key", "fp", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), fp, sketch, size, tokens], names=["key", "fp", "sketch", "size", "tokens"]
+            )
 
-    fps = texts.mapInArrow(marked, "key binary, fp array<long>, size int, tokens array<long>")
-    fps = fps.groupBy("key").agg(*(F.first(c).alias(c) for c in ("fp", "size", "tokens")))
+    fps = texts.mapInArrow(marked, "key binary, fp array<long>, sketch array<long>, size int, tokens array<long>")
+    fps = fps.groupBy("key").agg(*(F.first(c).alias(c) for c in ("fp", "sketch", "size", "tokens")))
     # a short name for each text, fixed by being written
     fps = materialize(fps.withColumn("node", F.monotonically_increasing_id()), "near-fp")
     blocks = materialize(fps.select("node", "fp").mapInArrow(_spread, "block long, node long"), "near-blocks")
@@ -379,7 +406,7 @@ def near_copies(df: DataFrame, text_col: str = "text", k: int = 5, similarity: f
     tokens = fps.join(placed, "node").select("node", "root", "size", F.posexplode("tokens").alias("pos", "token"))
     mixed = _mixed(tokens)
     for no in range(ROUNDS + 1):
-        pairs = _to_heads(mixed, fps, similarity, no) if no < ROUNDS else _all_pairs(mixed, similarity)
+        pairs = _to_heads(mixed, fps, similarity, no) if no < ROUNDS else _all_pairs(mixed, similarity, fps.select("node", "sketch"))
         cross = _verified(materialize(pairs, "near-cross"), fps, texts, k, similarity)
         roots = connected_components(cross.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         placed = replaced(placed, roots)

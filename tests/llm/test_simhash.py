@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from docloom.llm.simhash import fingerprint, jaccard, keep_one, simhash_components
@@ -104,3 +105,23 @@ def test_a_frequent_shingle_is_split_without_loss(spark, monkeypatch):
     schema = "node long, root long, size int, pos int, token long"
     rows = spark.createDataFrame([(i, i, 5, 0, 1) for i in range(20)], schema)
     assert simhash._all_pairs(rows, 0.8).count() == 190
+
+
+def test_parities_leave_out_no_pair_at_the_threshold(spark):
+    from docloom.llm import simhash
+
+    r = np.random.default_rng(5)
+    rows, want = [], set()
+    for i in range(300):
+        common, x, y = (r.integers(0, 2**64, n, np.uint64) for n in (r.integers(1, 1500), r.integers(0, 300), r.integers(0, 300)))
+        a, b = np.unique(np.concatenate([common, x])), np.unique(np.concatenate([common, y]))
+        differ = np.unpackbits((simhash.parities(a) ^ simhash.parities(b)).view(np.uint8)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+        n = len(np.intersect1d(a, b))
+        if n / (len(a) + len(b) - n) >= 0.8:
+            want.add((2 * i, 2 * i + 1))
+        rows += [(2 * i + j, 2 * i + j, len(h), 0, i, simhash.parities(h).tolist()) for j, h in enumerate((a, b))]
+    df = spark.createDataFrame(rows, "node long, root long, size int, pos int, token long, sketch array<long>")
+    got = simhash._all_pairs(df.drop("sketch"), 0.8, df.select("node", "sketch"))
+    found = {(min(x.a, x.b), max(x.a, x.b)) for x in got.collect()}
+    assert want and want <= found and len(found) < 300
