@@ -189,7 +189,7 @@ LANES = 4
 BLOCK_BITS = 24
 BLOCKS = 48
 CLASS_BITS = 20
-SKETCH = 16  # longs of a text's parities
+SKETCH = 4  # longs of a text's parities
 KNOWN_WORDS = 1 << 17  # words whose hashes a task keeps at a time
 SAMPLE = 8  # one text in so many counts for the classes
 OFTEN = 3  # a shingle found in so many texts of the sample is no longer of class 0
