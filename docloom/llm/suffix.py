@@ -203,7 +203,7 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
         "suffix-contexts",
     )
     done = [ctx.filter("k > 1").select("g", "c", F.lit(0).alias("j0"), (F.col("n") - 1).alias("j1"))]
-    some = ctx.join(_twice(ctx, "g"), "g")
+    some = ctx.join(materialize(_twice(ctx, "g"), "suffix-several"), "g")
     some = materialize(some.select("g", "c", "reach", "n", F.col("at.t").alias("t"), F.col("at.lo").alias("lo")), "suffix-open")
     keys, _ = _few(materialize(some.select("t").distinct(), "suffix-texts"))
     texts = docs.join(keys, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
