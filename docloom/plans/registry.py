@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions import text as T
 from ..operators import chunking, context, elements, embed, evaluation, filters, hooks, rerank, retrieval, routing
-from ..sources import files, ocr
+from ..sources import files, ocr, tables
 from . import pipelines
 from . import sql as S
 
@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return tables.table(spark, d, name, {"documents": "doc_id", "pages": "page_id"}.get(name))
 
 
 # --- adapters -----------------------------------------------------------------------------
