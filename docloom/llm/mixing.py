@@ -102,17 +102,24 @@ def position(copy: Column, size_col: str) -> Column:
     return 2 * u / ((1 - b) + F.sqrt((1 - b) * (1 - b) + 4 * b * u))
 
 
-def _ranged(rows: DataFrame) -> DataFrame:
+def _tie(rows: DataFrame, columns: list[str]) -> Column:
+    """Orders rows of one position alike, however they are laid out: a hash of the columns (maps aside)."""
+    return F.xxhash64(*(c for c in columns if "map<" not in rows.schema[c].dataType.simpleString()))
+
+
+def _ranged(rows: DataFrame, *ties: Column | str) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "__position").sortWithinPartitions("__position")
+    return rows.repartitionByRange(n, "__position", *ties).sortWithinPartitions("__position", *ties)
 
 
 def train_order(mixed: DataFrame, size_col: str, keep: list[str]) -> DataFrame:
-    """A row for each copy, range-sorted by ``__position``, the training time from 0 to 1."""
+    """A row for each copy, range-sorted by ``__position``, the training time from 0 to 1; rows of one time by
+    a hash of what they hold, then by copy, so the order is the same for any layout of the input."""
     copies = mixed.filter(
         "__copies > 0"
     ).withColumn("__copy", F.explode(F.expr("sequence(0, __copies - 1)")))
-    return _ranged(copies.withColumn("__position", position(F.col("__copy"), size_col)).select(*keep, "__position", "__copy"))
+    rows = copies.withColumn("__position", position(F.col("__copy"), size_col)).select(*keep, "__position", "__copy")
+    return _ranged(rows, _tie(rows, keep), "__copy")
 
 
 def first_order(mixed: DataFrame, size_col: str) -> DataFrame:
@@ -120,7 +127,8 @@ def first_order(mixed: DataFrame, size_col: str) -> DataFrame:
     a copy come last, from 2 on by their place in the source, so that they are not all one value."""
     place = F.col("__before") / F.greatest(F.col("__source_size"), F.lit(1))
     first = F.when(F.col("__copies") > 0, position(F.lit(0), size_col)).otherwise(2 + place)
-    return _ranged(mixed.withColumn("__position", first))
+    rows = mixed.withColumn("__position", first)
+    return _ranged(rows, _tie(rows, mixed.columns))
 
 
 def rank_in_order(rows: DataFrame) -> DataFrame:

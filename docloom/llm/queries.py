@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, mixing, pieces, quality, tokens, toxicity
+from . import chat, embeddings, lines, mixing, pieces, quality, tokens, toxicity, whitening
 from .common import materialize, new_path
 from .sharding import shard_by_bytes
 from .simhash import simhash_components
@@ -119,6 +119,22 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(spark.read.parquet(path))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows, components=32).withColumnRenamed("id", "vec_id")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.drop_lines(docs, min_docs=10, min_chars=1)
+    return out.select(
+        "doc_id",
+        F.col("__n_lines").alias("n_lines"),
+        F.col("__n_dropped").alias("n_dropped"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -130,10 +146,13 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_line_dedup": op12_line_dedup,
 }
 
 ORACLE_SQL = {
     "op5_embedding_near_dedup": embeddings.sql(),
     "op6_mixing_target_weights": mixing.sql(),
     "op7_quality_rules": quality.sql(),
+    "op12_line_dedup": lines.sql(),
 }

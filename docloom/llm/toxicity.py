@@ -9,7 +9,8 @@ A word's features are its first 3 to 6 letters and the word itself. Features tha
 enough and tell the classes apart are kept.
 
 ``max_rows`` (TRAIN_ROWS) bounds the labelled rows that training sees, those with the smallest hash of
-the id, and ``max_chars`` (TRAIN_CHARS) their characters in sum, so what the driver fits on is bounded;
+the id, and ``max_chars`` (TRAIN_CHARS) their characters in sum, so what the driver fits on is bounded. Ids
+whose texts have more than ``row_chars`` (TRAIN_ROW_CHARS) characters are not learned from; the others are;
 ``max_features`` (MAX_FEATURES) and ``min_chi`` (MIN_CHI) bound the model. Scoring reads every text in whole.
 
 Defined cases: a null or empty text has no sentence with a word and scores 0; null ids are not
@@ -34,6 +35,7 @@ from .common import guarded, materialize, slices
 
 TRAIN_ROWS = 12_000
 TRAIN_CHARS = 60_000_000
+TRAIN_ROW_CHARS = 1_000_000
 MAX_FEATURES = 20_000
 MIN_DOCS = 5
 MIN_CHI = 30.0
@@ -119,6 +121,7 @@ def train(
     label_col: str = "toxic",
     max_rows: int = TRAIN_ROWS,
     max_chars: int = TRAIN_CHARS,
+    row_chars: int = TRAIN_ROW_CHARS,
     max_features: int = MAX_FEATURES,
     min_chi: float = MIN_CHI,
 ) -> Model:
@@ -136,6 +139,7 @@ def train(
     # found once; the rows of an id come together, max_rows bounds the ids in the window
     texts = materialize(texts.repartition(spark.sparkContext.defaultParallelism), "toxic-labelled")
     sizes = texts.groupBy("id").agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("n"))
+    sizes = sizes.filter(F.col("n") <= min(row_chars, max_chars))
     upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id"))
     within = sizes.withColumn("upto", upto).filter(F.col("upto") <= max_chars).select("id")
     texts = texts.join(F.broadcast(within), "id", "left_semi")

@@ -131,3 +131,27 @@ def test_results_follow_the_curriculum(spark, tmp_path):
         for r in order:
             place.setdefault(r.doc_id, []).append(r["__position"])
         assert all(order[x.position]["__position"] in place[x.doc_id] for x in out)
+
+
+def test_training_positions_do_not_depend_on_the_layout(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, "" if i % 2 else f"{'abc'[i % 3]} x y", "en", "abc"[i % 3], 9) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = []
+    for n in (3, 9):
+        df.repartition(n).write.parquet(f"{tmp_path}/{n}")
+        mixed = corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{tmp_path}/{n}"), "")
+        mixed.write.parquet(f"{tmp_path}/mixed{n}")
+        ranks = mixing.rank_in_order(spark.read.parquet(f"{tmp_path}/mixed{n}")).collect()
+        got.append(sorted((x.position, x.doc_id) for x in ranks))
+    assert got[0] == got[1] and len(got[0]) > 2000
+
+
+def test_stage_leaves_columns_of_clashing_names_alone(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"word{i} and more words", "en", "ab"[i % 2], 9, f"w{i}", i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __words string, __before long, __copies string")
+    out = corpus_pipeline.mix_sources(spark, df, "").collect()
+    assert out and all((r["__words"], r["__before"], r["__copies"]) == (f"w{r.doc_id}", r.doc_id, None) for r in out)

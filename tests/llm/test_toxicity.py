@@ -52,3 +52,16 @@ def test_without_labels_or_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     only = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert 0 <= toxicity.score(docs, toxicity.train(docs, only)).first()["__score"] <= 1
+
+
+def test_a_very_long_labelled_text_does_not_spoil_the_model(spark):
+    rows, labels = corpus(600, 3)
+    long = [(i, "endless words without harm. " * 3000) for i in range(700, 704)]
+    docs = spark.createDataFrame(rows + long, "doc_id long, text string")
+    marks = spark.createDataFrame(labels + [(i, 0) for i, _ in long], "doc_id long, toxic int")
+    # each of the long texts would use up all that the others are given
+    model = toxicity.train(docs, marks, max_chars=2_000_000, row_chars=50_000, min_chi=5.0)
+    plain = toxicity.train(docs.filter("doc_id < 700"), marks, min_chi=5.0)
+    assert model.weights and model.weights.keys() == plain.weights.keys() and abs(model.bias - plain.bias) < 1e-6
+    tight = toxicity.train(docs, marks, max_chars=60_000, min_chi=1.0)
+    assert tight.bias > -60 and tight.weights
