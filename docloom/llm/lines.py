@@ -113,7 +113,8 @@ def _with_bitmaps(df: DataFrame, text_col: str, keep: list[str], min_docs: int,
     dropped = materialize(dropped, "lines-bitmaps")
     release(rows, often)
     n_lines = F.size(split_lines(F.col(text_col))).cast("long").alias("__n_lines")
-    out = docs.select(*keep, n_lines, *_DOC).join(dropped, _DOC, "left")
+    # the bitmaps grow with the documents, so both sides are shuffled at any size
+    out = docs.select(*keep, n_lines, *_DOC).join(dropped.hint("merge"), _DOC, "left")
     none = F.array().cast(dropped.schema["__bitmap"].dataType)
     return out.select(
         *keep, "__n_lines", F.coalesce("__n_dropped", F.lit(0)).cast("long").alias("__n_dropped"), F.coalesce("__bitmap", none).alias("__bitmap")
