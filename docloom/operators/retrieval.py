@@ -7,17 +7,15 @@ ranked, so that equal ones stay equal whatever the order of their sums; ``chunk_
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, tokens
+from .vectors import PLACES, cosine_topk  # noqa: F401  part of this module's interface
 from .written import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BROADCAST_ROWS = 200_000  # smaller sides are sent to all executors up to this many rows
-PLACES = 6
 
 
 def usable(questions: DataFrame, top_k: int) -> DataFrame:
@@ -35,72 +33,6 @@ def ranked(scored: DataFrame, top_k: int, *by: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
-# --- vectors ------------------------------------------------------------------------------
-
-
-def _comparable(column: str) -> Column:
-    """Vectors with a component, none of which is null."""
-    return F.coalesce((F.size(column) > 0) & F.forall(column, lambda x: x.isNotNull()), F.lit(False))
-
-
-def _best_in_batches(queries: list, vectors: list[np.ndarray], groups: list, top_k: int):
-    """Scores of a batch against all queries of a vector's length; each batch sends on its own top_k only."""
-    lengths = np.array([len(v) for v in vectors])
-
-    def against(x: np.ndarray, own, names: pa.Array, of: np.ndarray):
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        scores = np.round(x / np.where(norm == 0, 1, norm) @ np.array([vectors[j] for j in of]).T, PLACES)
-        for at, j in enumerate(of):
-            rows = np.arange(len(x)) if own is None else np.flatnonzero(own == groups[j])
-            if not len(rows):
-                continue
-            k = min(top_k, len(rows))
-            cut = np.partition(scores[rows, at], len(rows) - k)[len(rows) - k]
-            best = rows[scores[rows, at] >= cut]  # with all that tie at the end
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([queries[j]] * len(best)), names.take(pa.array(best)), pa.array(scores[best, at])], names=["query", "chunk_id", "score"]
-            )
-
-    def run(batches):
-        for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
-            begin = np.cumsum(sizes) - sizes
-            own = np.array(batch.column(2).to_pylist(), object) if batch.num_columns > 2 else None
-            for size in np.unique(sizes).tolist():
-                rows, of = np.flatnonzero(sizes == size), np.flatnonzero(lengths == size)
-                if len(of):
-                    x = flat[begin[rows][:, None] + np.arange(size)]
-                    yield from against(x, None if own is None else own[rows], batch.column(0).take(pa.array(rows)), of)
-
-    return run
-
-
-def cosine_topk(queries: DataFrame, chunks: DataFrame, top_k: int, where: str | None = None, max_queries: int = 20_000) -> DataFrame:
-    """``queries(query, vector)`` against ``chunks(chunk_id, vector)``: exact top-k by cosine. With
-    ``where``, a column of both, only chunks that agree in it are ranked at all.
-
-    A block of queries goes to each task, which multiplies it with its chunks batch by batch and
-    sends on the best; no pair leaves a task otherwise. More than ``max_queries`` queries are
-    taken in blocks of that size. Vectors of different lengths never meet; null vectors, empty ones and
-    ones with a null component have no hits and are none.
-    """
-    extra = [where] if where else []
-    rows = chunks.filter(_comparable("vector")).select("chunk_id", "vector", *extra)
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
-    first = queries.schema["query"].dataType.simpleString()
-    out, taken = None, queries.filter(_comparable("vector")).select("query", "vector", *extra).toLocalIterator()
-    while block := [r for _, r in zip(range(max_queries), taken)]:
-        vectors = [np.array(r.vector, float) for r in block]
-        vectors = [v / (np.linalg.norm(v) or 1) for v in vectors]
-        run = _best_in_batches([r.query for r in block], vectors, [r[where] for r in block] if where else [], top_k)
-        part = rows.mapInArrow(run, f"query {first}, chunk_id {kind}, score double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = chunks.sparkSession.createDataFrame([], f"query {first}, chunk_id {kind}, score double")
-    return ranked(out, top_k, "query")
-
-
 # --- BM25 ---------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
-from ..operators import chunking, context, elements, embed, evaluation, filters, hooks, rerank, retrieval, routing
+from ..operators import chunking, context, elements, embed, evaluation, filters, hooks, rerank, retrieval, routing, vectors
 from ..sources import files, ocr, tables
 from . import pipelines
 from . import sql as S
@@ -282,6 +282,14 @@ def cosine_topk(spark, d):
     return retrieval.cosine_topk(asked, rows, 10).select("query", "chunk_id", "score", "rank")
 
 
+@query(_cosine_sql("true"))
+def cosine_topk_tiles(spark, d):
+    """The same by tiles of small blocks: the plan for more queries than a block holds."""
+    rows = _vectors(spark, d)
+    asked = rows.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query"), "vector")
+    return vectors.topk_tiles(asked, rows, 10, block_rows=256)[0].select("query", "chunk_id", "score", "rank")
+
+
 @query(_cosine_sql("a.label = b.label"))
 def cosine_topk_filtered(spark, d):
     rows = _vectors(spark, d)
