@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, lines, mixing, pieces, quality, tokens, toxicity, whitening
+from . import chat, embeddings, lines, mixing, negatives, pieces, quality, tokens, toxicity, whitening
 from .common import materialize, new_path
 from .sharding import shard_by_bytes
 from .simhash import simhash_components
@@ -135,6 +135,12 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -148,6 +154,7 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_line_dedup": op12_line_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -155,4 +162,5 @@ ORACLE_SQL = {
     "op6_mixing_target_weights": mixing.sql(),
     "op7_quality_rules": quality.sql(),
     "op12_line_dedup": lines.sql(),
+    "op13_hard_negatives": negatives.sql(),
 }

@@ -49,12 +49,12 @@ def valid(vector: str) -> Column:
 # --- integers of vectors ------------------------------------------------------------------
 
 
-def whole(column: pa.ListArray, size: int) -> np.ndarray:
-    """floor(SCALE * c), a row a vector: int64 where all are below 2^53, else Python integers."""
+def whole(column: pa.ListArray, size: int, scale: int = SCALE) -> np.ndarray:
+    """floor(scale * c), scale a power of two, a row a vector: int64 where all are below 2^53, else Python integers."""
     c = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
-    if c.size and np.abs(c).max() >= 2.0**53 / SCALE:
-        return np.array([math.floor(x * SCALE) if abs(x) < 2.0**53 else int(x) * SCALE for x in c.flat], object).reshape(c.shape)
-    return np.floor(c * SCALE).astype(np.int64)
+    if c.size and np.abs(c).max() >= 2.0**53 / scale:
+        return np.array([math.floor(x * scale) if abs(x) < 2.0**53 else int(x) * scale for x in c.flat], object).reshape(c.shape)
+    return np.floor(c * scale).astype(np.int64)
 
 
 def _fits(x: np.ndarray, factor: int) -> bool:
