@@ -36,16 +36,20 @@ def ranked(scored: DataFrame, top_k: int, *by: str) -> DataFrame:
 # --- BM25 ---------------------------------------------------------------------------------
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, dl, term, tf)``: dl is the number of a chunk's tokens, chunk_id is unique. A chunk's sorted
-    tokens are counted by their runs where the chunk lies, so no row moves."""
+def term_runs(chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, dl, runs)``: dl is the number of a chunk's tokens, ``runs`` an array of its terms with their counts,
+    by term; chunk_id is unique. A chunk's sorted tokens are counted by their runs where the chunk lies, so no row moves."""
     found = chunks.select("chunk_id", F.sort_array(tokens(F.col("text"))).alias("found")).filter(F.size("found") > 0)
     begins = lambda i: (i == 0) | (F.get("found", i) != F.get("found", i - 1))
     begun = found.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("found") - 1), begins))
     after = lambda j: F.coalesce(F.get("at", j + 1), F.size("found"))
     runs = F.transform("at", lambda i, j: F.struct(F.get("found", i).alias("term"), (after(j) - i).cast("long").alias("tf")))
-    rows = begun.select("chunk_id", F.size("found").cast("long").alias("dl"), F.explode(runs).alias("run"))
-    return rows.select("chunk_id", "dl", "run.term", "run.tf")
+    return begun.select("chunk_id", F.size("found").cast("long").alias("dl"), runs.alias("runs"))
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, dl, term, tf)``, a row for each of a chunk's ``term_runs``."""
+    return term_runs(chunks).select("chunk_id", "dl", F.explode("runs").alias("run")).select("chunk_id", "dl", "run.term", "run.tf")
 
 
 def index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
-from ..operators import chunking, context, elements, embed, evaluation, filters, hooks, rerank, retrieval, routing, vectors
+from ..operators import blockmax, chunking, context, elements, embed, evaluation, filters, hooks, rerank, retrieval, routing, vectors
 from ..sources import files, ocr, tables
 from . import pipelines
 from . import sql as S
@@ -325,6 +325,12 @@ def bm25_topk(spark, d):
     return _hits(_keyword(spark, d, 10))
 
 
+@query(f"with {S.chunks(SIZE, OVERLAP)}, {S.ONE}, {S.bm25(10)} {_HITS} hits")
+def bm25_blockmax(spark, d):
+    """The same hits from packed postings, without the blocks that can't hold one."""
+    return _hits(blockmax.bm25(_questions(spark, d), _chunks(spark, d), 10)[0])
+
+
 @query(f"with {S.chunks(SIZE, OVERLAP)}, {S.ONE}, {S.semantic(10)} {_HITS} sem")
 def hash_semantic_topk(spark, d):
     return _hits(_semantic(spark, d, 10))
