@@ -36,20 +36,28 @@ def ranked(scored: DataFrame, top_k: int, *by: str) -> DataFrame:
 # --- BM25 ---------------------------------------------------------------------------------
 
 
-def term_runs(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, dl, runs)``: dl is the number of a chunk's tokens, ``runs`` an array of its terms with their counts,
-    by term; chunk_id is unique. A chunk's sorted tokens are counted by their runs where the chunk lies, so no row moves."""
+def _begun(chunks: DataFrame) -> tuple[DataFrame, Column]:
+    """Chunks with their sorted tokens (``found``) and where a term begins among them; and the terms with their counts."""
     found = chunks.select("chunk_id", F.sort_array(tokens(F.col("text"))).alias("found")).filter(F.size("found") > 0)
     begins = lambda i: (i == 0) | (F.get("found", i) != F.get("found", i - 1))
     begun = found.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("found") - 1), begins))
     after = lambda j: F.coalesce(F.get("at", j + 1), F.size("found"))
-    runs = F.transform("at", lambda i, j: F.struct(F.get("found", i).alias("term"), (after(j) - i).cast("long").alias("tf")))
+    return begun, F.transform("at", lambda i, j: F.struct(F.get("found", i).alias("term"), (after(j) - i).cast("long").alias("tf")))
+
+
+def term_runs(chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, dl, runs)``: dl is the number of a chunk's tokens, ``runs`` an array of its terms with their counts,
+    by term; chunk_id is unique. A chunk's sorted tokens are counted by their runs where the chunk lies, so no row moves."""
+    begun, runs = _begun(chunks)
     return begun.select("chunk_id", F.size("found").cast("long").alias("dl"), runs.alias("runs"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """``(chunk_id, dl, term, tf)``, a row for each of a chunk's ``term_runs``."""
-    return term_runs(chunks).select("chunk_id", "dl", F.explode("runs").alias("run")).select("chunk_id", "dl", "run.term", "run.tf")
+    begun, runs = _begun(chunks)
+    # exploded as an expression: of a column Spark would infer that it isn't empty, and work it out again for that
+    rows = begun.select("chunk_id", F.size("found").cast("long").alias("dl"), F.explode(runs).alias("run"))
+    return rows.select("chunk_id", "dl", "run.term", "run.tf")
 
 
 def index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,9 +79,8 @@ def index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return post, terms, totals
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, top_k: int, made: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Top-k chunks of each ``(qid, query_idx)`` that share a term with it; a term that a question
-    repeats counts as often. ``made``: the chunks' ``index``, if there is one."""
+def bm25_scores(questions: DataFrame, chunks: DataFrame, top_k: int, made: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``(qid, query_idx, chunk_id, score)`` of all chunks that share a term with a question."""
     post, terms, totals = made or index(chunks)
     asked = (
         usable(questions, top_k)
@@ -85,8 +92,13 @@ def bm25(questions: DataFrame, chunks: DataFrame, top_k: int, made: tuple[DataFr
     found = post.join(small(wanted), "term").crossJoin(F.broadcast(totals))
     length = 1 - B + B * F.col("dl") * F.col("n") / F.col("words")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    scores = found.groupBy("qid", "query_idx", "chunk_id").agg(F.bround(F.sum(part), PLACES).alias("score"))
-    return ranked(scores, top_k, "qid", "query_idx")
+    return found.groupBy("qid", "query_idx", "chunk_id").agg(F.bround(F.sum(part), PLACES).alias("score"))
+
+
+def bm25(questions: DataFrame, chunks: DataFrame, top_k: int, made: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Top-k chunks of each ``(qid, query_idx)`` that share a term with it; a term that a question
+    repeats counts as often. ``made``: the chunks' ``index``, if there is one."""
+    return ranked(bm25_scores(questions, chunks, top_k, made), top_k, "qid", "query_idx")
 
 
 # --- fusion -------------------------------------------------------------------------------
@@ -137,18 +149,25 @@ def weighted(semantic: DataFrame, keyword: DataFrame, alpha: float = 0.5) -> Dat
     return _ordered(both.withColumn("score", score).drop("s", "k"))
 
 
-def hybrid(semantic: DataFrame, keyword: DataFrame, top_k: int, method: str = "rrf", alpha: float = 0.5, k: int = 60, keep: Column | None = None) -> DataFrame:
-    """Fused hits up to top_k. ``keep``, a condition on the hits, applies after fusion and before
-    the cut, so it can leave fewer."""
+def fuse(semantic: DataFrame, keyword: DataFrame, method: str = "rrf", alpha: float = 0.5, k: int = 60) -> DataFrame:
     if method not in ("rrf", "weighted"):
         raise ValueError(f"unknown fusion {method!r}")
-    fused = rrf(semantic, keyword, k) if method == "rrf" else weighted(semantic, keyword, alpha)
-    if keep is not None:
-        fused = fused.filter(keep)
+    return rrf(semantic, keyword, k) if method == "rrf" else weighted(semantic, keyword, alpha)
+
+
+def cut(fused: DataFrame, top_k: int) -> DataFrame:
+    """The first top_k of each question's fused hits, ranked anew."""
     order = Window.partitionBy("qid", "query_idx").orderBy("rank")
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
+def hybrid(semantic: DataFrame, keyword: DataFrame, top_k: int, method: str = "rrf", alpha: float = 0.5, k: int = 60, keep: Column | None = None) -> DataFrame:
+    """Fused hits up to top_k. ``keep``, a condition on the hits, applies after fusion and before
+    the cut, so it can leave fewer."""
+    fused = fuse(semantic, keyword, method, alpha, k)
+    return cut(fused if keep is None else fused.filter(keep), top_k)
+
+
 def fetch_depth(top_k: int) -> int:
     return max(40, top_k)
 

@@ -8,12 +8,13 @@ recognised tokens.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
-from ..operators import blockmax, chunking, context, elements, embed, evaluation, filters, hooks, rerank, retrieval, routing, vectors
+from ..operators import blockmax, chunking, context, elements, embed, evaluation, filtering, filters, hooks, rerank, retrieval, routing, vectors
+from ..operators.written import written
 from ..sources import files, ocr, tables
 from . import pipelines
 from . import sql as S
@@ -403,6 +404,77 @@ def metadata_filter_engine(spark, d):
     return rows.filter(keep).select("o_orderkey")
 
 
+def _filtered_chunks(spark, d):
+    """Chunks with metadata of their documents: source, language, two years and dates."""
+    n = F.col("doc_id")
+    meta = F.create_map(
+        F.lit("Document"), F.concat(F.lit(" "), "source", F.lit(".PDF")), F.lit("department"), F.col("lang"),
+        F.lit("issue_date"), F.concat((1990 + n % 30).cast("string"), F.lit("-05-01")), F.lit("review_year"), F.when(n % 4 != 0, (2000 + n % 20).cast("string")),
+    )
+    of = _t(spark, d, "documents").select("doc_id", F.map_filter(meta, lambda k, v: v.isNotNull()).alias("metadata"))
+    return written(_chunks(spark, d).join(of, "doc_id").select("chunk_id", "text", "metadata"), "chunks-metadata")
+
+
+def _filtered_questions(spark, d):
+    """Benchmark items, each with the filter that its number says, and every fifth with none."""
+    n = F.col("qid")
+    one = lambda *kv: F.create_map(*(x if isinstance(x, Column) else F.lit(x) for x in kv))
+    year = lambda x: x.cast("string")
+    wanted = (
+        F.when(n % 5 == 1, one("department", "EN ", "year_gt", year(2005 + n % 7)))
+        .when(n % 5 == 2, one("issue_year", year(1990 + n % 30), "document", "Src"))
+        .when(n % 5 == 3, one("document", "src1", "review_year", year(2000 + n % 20)))
+        .when(n % 5 == 4, one("version", "2", "department", "en"))
+    )
+    return _questions(spark, d).withColumn("wanted", F.when(n % 10 == 0, F.create_map().cast("map<string,string>")).otherwise(wanted))
+
+
+_META = """
+meta as (select chunk_id, ' ' || source || '.PDF' as document, lang, 1990 + doc_id % 30 as issued, case when doc_id % 4 <> 0 then 2000 + doc_id % 20 end as reviewed from chunks join documents using (doc_id))"""
+_STORE_OK = """(q.qid % 5 = 0 or (q.qid % 5 = 1 and contains(lower(m.lang), 'en') and greatest(m.issued, coalesce(m.reviewed, 0)) > 2005 + q.qid % 7)
+  or (q.qid % 5 = 2 and m.issued = 1990 + q.qid % 30 and contains(lower(m.document), 'src')) or (q.qid % 5 = 3 and contains(lower(m.document), 'src1') and m.reviewed = 2000 + q.qid % 20))"""
+_KEYWORD_OK = """(q.qid % 5 = 0 or (q.qid % 5 = 1 and false) or (q.qid % 5 = 3 and m.lang in ('en', 'fr') and m.reviewed = 2000 + q.qid % 20) or (q.qid % 5 = 4 and m.lang = 'en' and m.reviewed > 2010))"""
+
+
+@query(
+    f"with {S.chunks(SIZE, OVERLAP)}, {S.ONE}, {S.semantic(10)}, {_META}, ok as (select a.qid, a.chunk_id, a.score, row_number() over (partition by a.qid order by a.score desc, a.chunk_id) as rank "
+    f"from sem_all a join meta m using (chunk_id) join questions q on q.qid = a.qid where {_STORE_OK}) {_HITS} ok where rank <= 10"
+)
+def semantic_by_own_filter(spark, d):
+    """Vector search of questions that each have a filter of their own, applied before the ten best are taken."""
+    chunks, e = _filtered_chunks(spark, d), embed.HashingEmbedder()
+    asked = _filtered_questions(spark, d)
+    of = e.embed(asked, ["qid"], "text").join(asked.select("qid", "wanted"), "qid").withColumnRenamed("qid", "query")
+    own = e.embed(chunks, ["chunk_id"], "text").join(chunks.select("chunk_id", "metadata"), "chunk_id")
+    return _hits(filtering.cosine_topk(of, own, 10).withColumnRenamed("query", "qid"))
+
+
+@query(
+    f"with {S.chunks(SIZE, OVERLAP)}, {S.ONE}, {S.bm25(10)}, {_META}, ok as (select a.qid, a.chunk_id, a.score, row_number() over (partition by a.qid order by a.score desc, a.chunk_id) as rank "
+    f"from scored a join meta m using (chunk_id) join questions q on q.qid = a.qid where {_KEYWORD_OK}) {_HITS} ok where rank <= 10"
+)
+def keyword_by_own_filter(spark, d):
+    """BM25 of questions that each have a filter of their own: equal values, one of a list, years."""
+    n = F.col("qid")
+    one = lambda *kv: F.create_map(*(x if isinstance(x, Column) else F.lit(x) for x in kv))
+    wanted = (
+        F.when(n % 5 == 1, one("department", "EN"))
+        .when(n % 5 == 2, one("issue_year", "2001"))  # of the index's own years only, which no chunk has
+        .when(n % 5 == 3, one("department", '["en", "fr"]', "review_year", (2000 + n % 20).cast("string")))
+        .when(n % 5 == 4, one("department", "en", "year_gt", "2010"))
+    )
+    return _hits(filtering.bm25(_questions(spark, d).withColumn("wanted", wanted), _filtered_chunks(spark, d), 10))
+
+
+@query(
+    f"{_FUSION}, {S.RRF}, {S.ORDERED}, {_META}, good as (select o.*, row_number() over (partition by o.qid, o.query_idx order by o.rank) as r2 from ordered o join meta m using (chunk_id) join questions q on q.qid = o.qid "
+    f"where {_STORE_OK}) select qid, chunk_id, score, semantic_rank::int as semantic_rank, keyword_rank::int as keyword_rank, r2::int as rank from good where r2 <= {TOP_K}"
+)
+def hybrid_by_own_filter(spark, d):
+    """Fused hits, each question's held against its own filter before the cut."""
+    return _fused(filtering.hybrid(_semantic(spark, d), _keyword(spark, d), _filtered_questions(spark, d), _filtered_chunks(spark, d), TOP_K))
+
+
 _MANY = f"with {S.chunks(SIZE, OVERLAP)}, {S.MANY}, {S.bm25(DEPTH)}, {S.MERGED}"
 
 
