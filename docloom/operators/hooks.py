@@ -25,7 +25,8 @@ class LLM(Protocol):
 
 
 class PageExtractor(Protocol):
-    """``(path, content)`` to ``(doc_id, page, block_num, par_num, line_num, word_num, text, conf)``."""
+    """``(path, content)`` to ``(doc_id, page, block_num, par_num, line_num, word_num, text, conf)``. One that knows pages and
+    tables too has ``extract(content: bytes)`` instead, see ``sources.layout.extracted``."""
 
     def tokens(self, files: DataFrame) -> DataFrame: ...
 

@@ -15,7 +15,7 @@ from ..functions import fixed as X
 from ..functions import text as T
 from ..operators import blockmax, chunking, context, elements, embed, evaluation, filtering, filters, hooks, rerank, retrieval, routing, vectors
 from ..operators.written import written
-from ..sources import files, ocr, tables
+from ..sources import files, layout, ocr, tables
 from . import pipelines
 from . import sql as S
 
@@ -967,14 +967,74 @@ def table_areas(spark, d):
     return _boxes(spark, d).select("l_orderkey", F.bround(ratio, 6).alias("ratio"))
 
 
+_GRID = """
+c as (select l_orderkey, l_linenumber, (l_linenumber * 5) % 7 as cell_no, ((l_linenumber - 1) * 37) % 50 * 10.0 as x0, (l_linenumber - 1) // 3 * 3.0 + l_linenumber % 3 * 1.5 as top from lineitem),
+o as (select *, row_number() over (partition by l_orderkey order by cell_no) as nth from c),
+f as (select l_orderkey, list(top order by nth) as tops from o group by 1),
+s as (select l_orderkey, list_reduce(list_prepend(array[]::double[], list_transform(tops, lambda t: [t])), lambda a, b: case when len(list_filter(a, lambda t: abs(t - b[1]) <= 4)) > 0 then a else a || b end) as firsts from f),
+m as (select o.*, list_position(list_transform(firsts, lambda t: abs(t - top) <= 4), true) as made from o join s using (l_orderkey)),
+n as (select *, min(top) over (partition by l_orderkey, made) as least from m)"""
+
+
 @query(
-    "select l_orderkey, l_linenumber::bigint as n, dense_rank() over (partition by l_orderkey order by (l_linenumber - 1) // 3) - 1 as row, (row_number() over (partition by l_orderkey, (l_linenumber - 1) // 3 order by l_linenumber) - 1)::bigint as col from lineitem"
+    f"with {_GRID} select l_orderkey, l_linenumber::bigint as n, (dense_rank() over (partition by l_orderkey order by least, made) - 1)::bigint as row, "
+    "(row_number() over (partition by l_orderkey, made order by x0, nth) - 1)::bigint as col from n"
 )
 def cell_grid(spark, d):
-    """Lines of an order as cells, three to a row, whose tops differ a little."""
-    n = F.col("l_linenumber").cast("long") - 1
+    """Lines of an order as cells in a mixed order, whose tops are so near each other that the order decides about rows."""
+    n = F.col("l_linenumber").cast("long")
+    top = F.floor((n - 1) / 3) * 3.0 + n % 3 * 1.5
     cells = _t(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("table_no"), (n * 10.0).alias("x0"), (F.floor(n / 3) * 20.0 + n % 3).alias("top"), (n + 1).cast("string").alias("text")
-    )
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("table_no"), (n * 5 % 7).alias("cell_no"),
+        ((n - 1) * 37 % 50 * 10.0).alias("x0"), top.alias("top"), n.cast("string").alias("text"),
+    )
     out = ocr.cell_rows(cells)
-    return out.select(F.col("doc_id").alias("l_orderkey"), F.col("text").cast("long").alias("n"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    return out.select(F.col("doc_id").alias("l_orderkey"), F.col("text").cast("long").alias("n"), "row", "col")
+
+
+def _page_tables(spark, d):
+    """Events as tokens on pages by user; lines of the order of that number as tables, of four cells each."""
+    e = F.col("event_id")
+    tokens = _ocr_tokens(spark, d).drop("doc_id").withColumn("doc_id", F.lit(0))
+    place = {"x0": F.col("word_num") % 97 * 10.0, "top": F.floor(F.col("word_num") / 97) % 61 * 10.0}
+    tokens = tokens.withColumns(place).withColumns({"x1": F.col("x0") + 8.0, "bottom": F.col("top") + 6.0})
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("double")
+    lines = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.max("l_quantity").alias("l_quantity"))
+    lines = lines.select(F.lit(0).alias("doc_id"), F.col("l_orderkey").alias("page"), n.alias("table_no"), (n * 110.0).alias("x0"), (F.col("l_partkey") % 40 * 10.0).alias("top"), (q * 6 + 40).alias("w"))
+    boxes = lines.select("doc_id", "page", "table_no", "x0", "top", (F.col("x0") + F.col("w")).alias("x1"), (F.col("top") + F.col("w")).alias("bottom"), F.concat(F.lit("line "), F.col("table_no").cast("string")).alias("caption"))
+    i = F.col("cell_no")
+    half = F.col("w") / 2
+    cells = lines.withColumn("cell_no", F.explode(F.array(*map(F.lit, (2, 0, 3, 1)))))
+    cells = cells.withColumns({"x0": F.col("x0") + i % 2 * half, "top": F.col("top") + F.floor(i / 2) * half})
+    cells = cells.select("doc_id", "page", "table_no", "cell_no", "x0", "top", (F.col("x0") + half).alias("x1"), (F.col("top") + half).alias("bottom"))
+    return tokens, boxes, cells
+
+
+_LAYOUT = f"""{_OCR},
+pt as (select *, word % 97 * 10.0::double + 4 as x, (word // 97) % 61 * 10.0::double + 3 as y from tok),
+box as (select l_orderkey as page, l_linenumber as table_no, l_linenumber * 110.0::double as x0, min(l_partkey) % 40 * 10.0::double as top, max(l_quantity)::double * 6 + 40 as w from lineitem group by 1, 2),
+inside as (select pt.page, word, min(table_no) as table_no from pt join box on pt.page = box.page and x between x0 and x0 + w and y between top and top + w group by 1, 2)"""
+
+
+@query(f"with {_LAYOUT} select pt.page, pt.word as event_id, table_no from pt left join inside using (page, word)")
+def table_tokens(spark, d):
+    """The table, if any, in which each token of a page lies."""
+    tokens, boxes, _ = _page_tables(spark, d)
+    return layout.held(tokens, boxes, list(ocr.PAGE), "table_no").select("page", F.col("word_num").alias("event_id"), "table_no")
+
+
+@query(
+    f"""with {_LAYOUT},
+cell as (select page, table_no, i as cell_no, x0 + i % 2 * (w / 2) as x0, top + i // 2 * (w / 2) as top, w / 2 as h from box, range(4) t(i)),
+fit as (select pt.*, inside.table_no from pt join inside using (page, word) where not (conf < 20 and length(t) <= 4)),
+cw as (select fit.page, fit.table_no, word, block, line, t, min(cell_no) as cell_no from fit join cell c on c.page = fit.page and c.table_no = fit.table_no and x between c.x0 and c.x0 + c.h and y between c.top and c.top + c.h group by all),
+ln as (select page, table_no, cell_no, block, line, string_agg(t, ' ' order by word) as s from cw group by all),
+dd as (select *, lag(s) over (partition by page, table_no, cell_no order by block, line) as p from ln),
+ct as (select page, table_no, cell_no, string_agg(s, ' ' order by block, line) as t from dd where p is distinct from s group by all),
+full_ as (select page, table_no, cell_no, coalesce(t, '') as t from (select distinct page, table_no, cell_no from cell) left join ct using (page, table_no, cell_no)),
+rw as (select page, table_no, cell_no // 2 as r, '| ' || string_agg(t, ' | ' order by cell_no) || ' |' as md, max(t) as any_ from full_ group by all)
+select page, table_no, '**Table: line ' || table_no || '**' || chr(10) || chr(10) || first(md order by r) || chr(10) || '| --- | --- |' || coalesce(chr(10) || case when count(*) > 1 then last(md order by r) end, '') as markdown from rw where any_ <> '' group by 1, 2"""
+)
+def page_tables(spark, d):
+    """Tables of pages, their cells filled with the tokens that lie in them."""
+    return layout.tables(*_page_tables(spark, d))[1].select("page", "table_no", "markdown")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.elements import markdown_elements, page_elements, text_elements
 from ..operators.hooks import PageExtractor
-from . import ocr
+from . import layout, ocr
 
 FORMATS = {
     ".txt": "txt", ".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html", ".csv": "csv",
@@ -174,14 +174,23 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def pdf_elements(files: DataFrame, extractor: PageExtractor) -> DataFrame:
-    """``files(doc_id, path, content)`` by an extractor of tokens: lines of each page, the native text where
-    recognition is weak (``native``, if the tokens have that column), headings by their look."""
+    """``files(doc_id, path, content)`` by an extractor. One with ``extract(content)`` works file by file, a failing one
+    gives a row with ``_error``: its pages have tables, whose tokens leave the text and fill cells (``layout``), and native
+    text where recognition is weak or finds nothing. One with ``tokens(files)`` alone gives lines of each page, the native text
+    where recognition is weak (``native``, if the tokens have that column). Headings are told by their look."""
+    columns = ["doc_id", "pos", "type", "text", "level", "page", "table", "_error"]
+    none = F.lit(None).cast("string").alias("_error")
+    if hasattr(extractor, "extract"):
+        parts, failed = layout.extracted(files, extractor.extract)
+        found = layout.elements(parts["tokens"], parts["pages"], parts["boxes"], parts["cells"])
+        bad = failed.select("doc_id", *(F.lit(None).alias(c) for c in columns[1:-1]), "_error")
+        return found.select(*columns[:-1], none).unionByName(bad)
     tokens = extractor.tokens(files)
     pages = ocr.page_stats(tokens).join(ocr.page_text(tokens), ["doc_id", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     if "native" in tokens.columns:
         native = tokens.groupBy("doc_id", "page").agg(F.max("native").alias("native"))
         pages = ocr.best_text(pages.join(native, ["doc_id", "page"]).withColumn("native", F.coalesce("native", F.lit(""))))
-    return page_elements(pages.select("doc_id", "page", "text")).withColumn("_error", F.lit(None).cast("string"))
+    return page_elements(pages.select("doc_id", "page", "text")).withColumn("_error", none)
 
 
 def read_folder(spark: SparkSession, path: str, recursive: bool = True, extractor: PageExtractor | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions.text import strip
 
+PAGE = ("doc_id", "page")
+
 
 def normalize(text: Column) -> Column:
     """Without marks of direction and byte order; blanks and blank lines one at a time."""
@@ -37,33 +39,33 @@ def remove_noise(text: Column) -> Column:
     return strip(F.aggregate(kept, start, step, lambda s: F.array_join(s["out"], "\n")))
 
 
-def page_stats(tokens: DataFrame) -> DataFrame:
+def page_stats(tokens: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Mean confidence, short tokens below 25, and tokens that are not blank."""
     score = strip(F.col("conf")).try_cast("double")
     word = strip(F.coalesce("text", F.lit("")))
     good = score.isNotNull() & (word != "")
-    return tokens.groupBy("doc_id", "page").agg(
+    return tokens.groupBy(*keys).agg(
         F.coalesce(F.bround(F.avg(F.when(good, score)), 6), F.lit(0.0)).alias("mean_conf"),
         F.count_if(good & (score < 25) & (F.length(word) <= 4)).alias("low_count"),
         F.count_if(good).alias("token_count"),
     )
 
 
-def page_text(tokens: DataFrame) -> DataFrame:
+def page_text(tokens: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Lines again, without short tokens below 20 that are not Arabic; then cleaned."""
     word = strip(F.coalesce("text", F.lit("")))
     conf = F.coalesce(strip(F.col("conf")).try_cast("double"), F.lit(-1.0))
     noise = (conf < 20) & (F.length(word) <= 4) & ~word.rlike(f"[{X.ARABIC}]")
     rows = tokens.withColumn("word", word).filter((F.col("word") != "") & ~noise)
-    lines = rows.groupBy("doc_id", "page", "block_num", "par_num", "line_num").agg(
+    lines = rows.groupBy(*keys, "block_num", "par_num", "line_num").agg(
         F.array_sort(F.collect_list(F.struct("word_num", "word"))).alias("w")
     )
     lines = lines.withColumn("line", F.array_join(F.transform("w", lambda x: x["word"]), " "))
-    pages = lines.groupBy("doc_id", "page").agg(
+    pages = lines.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("block_num", "par_num", "line_num", "line"))).alias("l")
     )
     text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
-    return pages.select("doc_id", "page", remove_noise(normalize(text)).alias("text"))
+    return pages.select(*keys, remove_noise(normalize(text)).alias("text"))
 
 
 def is_weak(text: Column, mean_conf: Column, token_count: Column) -> Column:
@@ -93,20 +95,24 @@ def table_area_ratio(boxes: Column, width: Column, height: Column) -> Column:
 
 
 def cell_rows(cells: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """``cells(doc_id, page, table_no, x0, top, text)`` with ``row`` and ``col``: a cell joins the first
-    row whose first cell's top is within ``tolerance``; rows by top, cells by x0. A table's cells are
+    """``cells(doc_id, page, table_no, cell_no, x0, top, text)`` with ``row`` and ``col``. In the order of ``cell_no`` a cell joins
+    the first row whose first cell's top is within ``tolerance``, or starts a row; rows are put in order by their least top,
+    cells by x0, what ties by the order of cells. Without a ``cell_no`` cells are taken by top and x0. A table's cells are
     one group, as small as a page."""
 
     keys = ["doc_id", "page", "table_no"]
     near = lambda t, top: F.abs(t - top) <= tolerance
-    found = cells.groupBy(*keys).agg(F.collect_list(F.struct("x0", "top", "text")).alias("cells"))
+    first = ["cell_no"] if "cell_no" in cells.columns else ["top", "x0"]
+    rest = [c for c in ("cell_no", "x0", "top", "text") if c in cells.columns and c not in first]
+    found = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias("cells"))
     tops = F.aggregate(
         F.transform("cells", lambda c: c["top"].cast("double")),
         F.array().cast("array<double>"),
         lambda seen, top: F.when(F.exists(seen, lambda t: near(t, top)), seen).otherwise(F.concat(seen, F.array(top))),
     )
     each = found.withColumn("tops", tops).select(*keys, "tops", F.posexplode("cells").alias("at", "cell")).select(*keys, "tops", "at", "cell.*")
-    first = F.get(F.filter("tops", lambda t: near(t, F.col("top"))), 0)
-    each = each.withColumn("row", F.array_position(F.array_sort("tops"), first) - 1)
-    order = Window.partitionBy(*keys, "row").orderBy("x0", "at")
-    return each.withColumn("col", F.row_number().over(order).cast("long") - 1).select(*keys, "x0", "top", "text", "row", "col")
+    each = each.withColumn("made", F.array_position(F.transform("tops", lambda t: near(t, F.col("top"))), True))
+    of = Window.partitionBy(*keys, "made")
+    each = each.withColumn("least", F.min("top").over(of)).withColumn("col", F.row_number().over(of.orderBy("x0", "at")).cast("long") - 1)
+    each = each.withColumn("row", F.dense_rank().over(Window.partitionBy(*keys).orderBy("least", "made")).cast("long") - 1)
+    return each.select(*cells.columns, "row", "col")
