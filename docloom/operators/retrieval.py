@@ -206,6 +206,31 @@ def merge(hits: DataFrame, top_k: int = 20, listed: bool = False) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).drop("first")
 
 
+def merge_decomposed(hits: DataFrame, top_k: int = 20) -> DataFrame:
+    """``merge`` of lists of which each was found for a sub-question (query_idx 1, 2, ...) or for the question itself (0, which
+    comes last). The first list that has a chunk tags it: ``sub_index`` is its sub-question, null for the question itself.
+    Lists bring their scores along, so the first score stands twice; a later list wins only with a higher score."""
+    place = F.when(F.col("query_idx") == 0, F.lit(1 << 30)).otherwise(F.col("query_idx")).cast("int")
+    rows = hits.withColumn("place", place)
+    seen = F.array_sort(F.collect_list(F.struct("place", "rank", "score", "query_idx")))
+    best = F.max_by(F.struct("score", "query_idx"), F.struct(F.col("score"), -F.col("place"), -F.col("rank")))
+    found = rows.groupBy("qid", "chunk_id").agg(best.alias("best"), seen.alias("seen"))
+    first = F.col("seen")[0]
+    scores = F.transform("seen", lambda x: x["score"])
+    out = found.select(
+        "qid",
+        "chunk_id",
+        F.col("best.score").alias("score"),
+        F.col("best.query_idx").alias("best_query"),
+        F.array_distinct(F.transform("seen", lambda x: x["query_idx"])).alias("queries"),
+        F.concat(F.slice(scores, 1, 1), scores).alias("scores"),
+        F.when(first["query_idx"] > 0, first["query_idx"]).alias("sub_index"),
+        F.struct(first["place"], first["rank"]).alias("first"),
+    )
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "first", "chunk_id")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).drop("first")
+
+
 def query_stats(hits: DataFrame, chunks: DataFrame, preview: int = 500) -> DataFrame:
     """Of each wording: how many hits, the best five scores and the start of their chunks."""
     top = hits.filter("rank <= 5").join(chunks.select("chunk_id", F.substring("text", 1, preview).alias("preview")), "chunk_id")

@@ -503,6 +503,22 @@ def decomposed_merge(spark, d):
     return rows.select("qid", "chunk_id", "score", F.size("scores").alias("n_scores"), F.size(F.filter("queries", lambda x: x > 0)).alias("n_sub"), F.col("rank").cast("int").alias("rank"))
 
 
+_TAGGED = f"""{_MANY}, placed as (select *, case when query_idx = 0 then 1073741824 else query_idx end as place from hits),
+tag_all as (select qid, chunk_id, max(score) as score, arg_max(query_idx, (score, -place, -rank)) as best_query, list(query_idx order by place, rank) as qs, count(*) + 1 as n_scores,
+  min((place, rank)) as first, arg_min(query_idx, (place, rank)) as first_query from placed group by 1, 2),
+tagged as (select *, row_number() over (partition by qid order by score desc, first, chunk_id) as rank from tag_all)"""
+
+
+@query(
+    f"{_TAGGED} select qid, chunk_id, score, best_query::int as best_query, nullif(first_query, 0)::int as sub_index, array_to_string(list_distinct(qs).list_sort(), ',') as queries, n_scores::int as n_scores, rank::int as rank from tagged where rank <= 20"
+)
+def decomposed_tags(spark, d):
+    """Hits of sub-questions and of the question, merged; each keeps the first sub-question that found it."""
+    rows = retrieval.merge_decomposed(_many_hits(spark, d))
+    n = lambda c: F.col(c).cast("int").alias(c)
+    return rows.select("qid", "chunk_id", "score", n("best_query"), n("sub_index"), _listed(F.sort_array("queries")).alias("queries"), F.size("scores").alias("n_scores"), n("rank"))
+
+
 @query(
     f"{_MANY} select h.qid, h.query_idx::int as query_idx, count(*) as result_count, string_agg(case when h.rank <= 5 then h.chunk_id end, ',' order by h.rank) as top_chunks, "
     "sum(case when h.rank <= 5 then length(substr(c.text, 1, 500)) end)::bigint as preview_chars from hits h join chunks c using (chunk_id) group by 1, 2"
@@ -843,6 +859,22 @@ def advanced_answers(spark, d):
     return rows.select("qid", "route", _listed("techniques").alias("techniques"), "confidence", "label", "action", "answer")
 
 
+@query()
+def replied_answers(spark, d):
+    """The same with models' replies made of the items: a router's, rewritten and several wordings, sub-questions, filters."""
+    n = F.col("qid")
+    parts = lambda key: F.concat(F.lit('{"'), F.lit(key), F.lit('": '), F.to_json("generated"), F.lit("}"))
+    route = F.when(n % 4 == 0, '{"route": "simple"}').when(n % 4 == 1, '{"route": "basic_rag"}').when(n % 4 == 2, '{"route": "advanced_rag", "techniques": ["self_query", "multi_query"]}')
+    route = route.otherwise('{"route": "advanced_rag", "techniques": ["decomposition", "crag", "rewriting"]}')
+    filters = F.concat(F.lit('{"semantic_query": "", "filters": {"department": "EN", "year_gt": "'), (1990 + n % 30).cast("string"), F.lit('"}}'))
+    replies = F.create_map(
+        F.lit("router"), route, F.lit("decomposition"), parts("subquestions"), F.lit("multi_query"), parts("queries"),
+        F.lit("rewriting"), F.concat(F.lit('{"query": '), F.to_json(F.struct(F.get("generated", 0).alias("q"))).substr(F.lit(6), F.lit(10_000)), F.lit("")), F.lit("self_query"), filters,
+    )
+    rows = pipelines.answer(_generated(spark, d).withColumn("replies", replies), _filtered_chunks(spark, d), TOP_K)
+    return rows.select("qid", "route", _listed("techniques").alias("techniques"), "confidence", "label", "action", "answer")
+
+
 @query()
 def baseline_answers(spark, d):
     rows = pipelines.baseline(_t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), _sourced(spark, d), TOP_K)

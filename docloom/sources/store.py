@@ -17,6 +17,7 @@ another length than the store's are an error, and so is a null or repeated chunk
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -29,6 +30,7 @@ from ..operators.written import written
 from . import files as sources
 
 TRIES = 20  # of a commit, while others commit too
+STALE = 600  # seconds after which a claim on a version that never appeared is void
 
 
 class Conflict(Exception):
@@ -88,8 +90,10 @@ class Store:
         _, marker = self._place(f"{self.path}/versions/.{version:012d}")
         try:
             fs.create(marker, False).close()
-        except Exception:  # noqa: BLE001  it exists: another has this version
+        except Exception:  # noqa: BLE001  it exists: another has this version, or was lost while it made it
             fs.delete(draft, False)
+            if not fs.exists(place) and fs.exists(marker) and time.time() - fs.getFileStatus(marker).getModificationTime() / 1000 > STALE:
+                fs.delete(marker, False)
             return False
         return bool(fs.rename(draft, place))
 

@@ -81,6 +81,16 @@ def test_tokens_and_conflicts(spark, tmp_path):
     assert sorted(done) == [3, 4, 5] and s.chunks().count() == 10
 
 
+def test_a_claim_that_was_lost_does_not_block(spark, tmp_path):
+    s = S.Store(spark, f"file://{tmp_path}/s")
+    s.append(chunks(spark, 0, 2))
+    (tmp_path / "s/versions/.000000000002").touch()  # claimed, but the manifest never came
+    with pytest.raises(S.Conflict):
+        s.append(chunks(spark, 2, 4))
+    os.utime(tmp_path / "s/versions/.000000000002", (1, 1))
+    assert s.append(chunks(spark, 2, 4)) == 2 and s.chunks().count() == 4
+
+
 def test_sync_equals_a_rebuild_and_parses_changes_only(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
