@@ -92,6 +92,48 @@ def messages(rows: DataFrame, history: str | None = None) -> DataFrame:
     return rows.withColumns({"system": F.lit(SYSTEM_PROMPT), "messages": all_})
 
 
+TURN_RANGE = 1024  # numbers of turns that share a partial sum
+
+
+def turn_positions(turns: DataFrame) -> DataFrame:
+    """``turns(conv_id, turn, text, ...)`` plus ``start``, where a turn begins if all turns of its conversation stand one after
+    the other, and ``size``, its characters and one more. The sums run in two steps, within ranges of turns and over the
+    ranges' totals, so a conversation may hold any share of the rows."""
+    rows = turns.withColumns({"size": (F.length(F.coalesce("text", F.lit(""))) + 1).cast("long"), "part": F.floor(F.col("turn") / TURN_RANGE)})
+    ahead = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("conv_id", "part").agg(F.sum("size").alias("total"))
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("total").over(ahead), F.lit(0))).drop("total")
+    within = Window.partitionBy("conv_id", "part").orderBy("turn", F.xxhash64("role", "text")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(within), F.lit(0))
+    out = rows.withColumn("before", before).join(sums, ["conv_id", "part"])
+    return out.withColumn("start", F.col("ahead") + F.col("before")).drop("part", "ahead", "before")
+
+
+def recent_history(turns: DataFrame, budget: int) -> DataFrame:
+    """``turns(conv_id, turn, role, text)``: each user turn with the last turns before it, in order, as many whole turns as fit
+    ``budget`` characters (a turn counts its characters and one). Turns meet by ranges of ``budget`` characters in their
+    conversation, so the work grows with the turns and what they are given, not with the square of a conversation.
+
+    Null texts are empty ones; a null conversation has no history; a turn longer than the budget is in no history, and nothing
+    before it is; a conversation's turns are told apart by ``turn``."""
+    placed = turn_positions(turns.filter("conv_id is not null"))
+    range_ = lambda c: F.floor(c / budget)
+    asks = placed.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), "start")
+    near = asks.withColumn("r", F.explode(F.sequence(F.greatest(F.lit(0), range_(F.col("start") - budget)), range_(F.col("start")))))
+    old = placed.select(F.col("conv_id"), range_(F.col("start")).alias("r"), F.col("start").alias("at"), F.struct("role", F.col("text").alias("content")).alias("m"))
+    met = near.select("conv_id", "turn", "start", "r").join(old, ["conv_id", "r"]).filter((F.col("at") < F.col("start")) & (F.col("at") >= F.col("start") - budget))
+    told = met.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("all"))
+    told = told.select("conv_id", "turn", F.transform("all", lambda x: x["m"]).alias("history"))
+    none = F.array().cast(told.schema["history"].dataType)
+    return asks.drop("start").join(told, ["conv_id", "turn"], "left").withColumn("history", F.coalesce("history", none))
+
+
+def with_history(prompt_: Column, history: Column) -> Column:
+    """A prompt after the turns before it, for models that take one text."""
+    lines = F.transform(history, lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit(""))))
+    return F.when(F.size(F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>"))) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n\n"), prompt_)).otherwise(prompt_)
+
+
 def chat_history(turns: DataFrame) -> DataFrame:
     """``turns(conv_id, turn, role, text)``: each user turn with the turns before it, in order."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)

@@ -104,7 +104,8 @@ def answer(questions: DataFrame, chunks: DataFrame, top_k: int = 5, llm: hooks.L
       searched for alone, and its reranked hits replace the first ones;
     * ``compression`` shortens the evidence of the questions that list it.
 
-    Confidence is that of the final hits, on both routes.
+    Confidence is that of the final hits, on both routes. With a column ``history(role, content)``, as ``context.recent_history`` makes
+    it, earlier turns stand before the prompt.
     """
     llm = llm or hooks.MockLLM()
     if "replies" in questions.columns:
@@ -165,6 +166,8 @@ def answer(questions: DataFrame, chunks: DataFrame, top_k: int = 5, llm: hooks.L
             "system": F.when(simple, DIRECT_PROMPT).otherwise(context.SYSTEM_PROMPT),
         }
     )
+    if "history" in questions.columns:
+        out = out.withColumn("prompt", context.with_history(F.col("prompt"), F.col("history")))
     return llm.generate(out, "system", "prompt", "answer")
 
 

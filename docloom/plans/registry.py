@@ -708,6 +708,18 @@ def chat_history(spark, d):
     return rows.select("conv_id", "turn", "question", F.size("history").alias("n_history"), F.md5(text.cast("binary")).alias("history_md5"))
 
 
+@query(
+    "with p as (select *, sum(length(coalesce(text, '')) + 1) over (partition by conv_id order by turn) - length(coalesce(text, '')) - 1 as start from conversations), "
+    "h as (select a.conv_id, a.turn, string_agg(b.role || ':' || coalesce(b.text, ''), chr(10) order by b.turn) as s, count(*) as n from p a join p b on a.conv_id = b.conv_id and b.start < a.start and b.start >= a.start - 1000 where a.role = 'user' group by 1, 2) "
+    "select a.conv_id, a.turn, coalesce(n, 0)::int as n_history, md5(coalesce(s, '')) as history_md5 from conversations a left join h using (conv_id, turn) where a.role = 'user'"
+)
+def recent_history(spark, d):
+    """Each user turn with the whole turns before it that fit 1,000 characters."""
+    rows = context.recent_history(_t(spark, d, "conversations"), 1000)
+    text = F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["content"], F.lit("")))), "\n")
+    return rows.select("conv_id", "turn", F.size("history").alias("n_history"), F.md5(text.cast("binary")).alias("history_md5"))
+
+
 # --- evaluation and costs -----------------------------------------------------------------
 
 
