@@ -29,26 +29,33 @@ def groups(spark: SparkSession, left_blocks: int) -> int:
     return max(1, -(-TASKS * partitions(spark) // max(1, left_blocks)))
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[Column | str], weight: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``rows`` plus ``block`` (long): neighbours in the order of ``by`` and ``order`` share one, at most
-    ``block_rows`` of them, fewer where the vectors in ``weight`` are long. A block holds one value of ``by``."""
-    ranged = rows.repartitionByRange(partitions(rows.sparkSession), *by, *order).sortWithinPartitions(*by, *order)
+def numbered(
+    rows: DataFrame, by: list[str], order: list[Column | str], weight: str | None = None, block_rows: int = BLOCK_ROWS, loose: list[str] | None = None
+) -> DataFrame:
+    """``rows`` plus ``block`` (long): neighbours in the order of ``by``, ``loose`` and ``order`` share one, at most
+    ``block_rows`` of them, fewer where the vectors in ``weight`` are long. A block holds one value of ``by``, and of ``loose``
+    too where a quarter of a block has it: blocks of few rows would make the other side move for each of them."""
+    loose = loose or []
+    ranged = rows.repartitionByRange(partitions(rows.sparkSession), *by, *loose, *order).sortWithinPartitions(*by, *loose, *order)
     ranged = ranged.withColumn("__part", F.spark_partition_id())
     of = [ranged.columns.index(c) for c in by]
+    soft = [ranged.columns.index(c) for c in loose]
     long = ranged.columns.index(weight) if weight else None
     schema = ranged.drop("__part").withColumn("block", F.lit(0).cast("long")).schema
 
     def run(batches):
-        block, held, last = -1, 0, None
+        block, held, last, now = -1, 0, None, None
         for batch in batches:
             part = batch.column(batch.num_columns - 1)
             keys = list(zip(*(batch.column(i).to_pylist() for i in of))) if of else [()] * batch.num_rows
+            parts = list(zip(*(batch.column(i).to_pylist() for i in soft))) if soft else keys
             width = np.diff(batch.column(long).offsets.to_numpy()) if long is not None else None
             out = np.zeros(batch.num_rows, np.int64)
             for i, key in enumerate(keys):
                 most = block_rows if width is None else max(1, min(block_rows, BLOCK_BYTES // (8 * max(1, int(width[i])))))
-                if key != last or held >= most or block < 0:
+                if key != last or held >= most or block < 0 or parts[i] != now and 4 * held >= most:
                     block, held, last = block + 1, 0, key
+                now = parts[i]
                 held += 1
                 out[i] = block
             first = part[0].as_py() if batch.num_rows else 0

@@ -105,7 +105,8 @@ def _query_blocks(queries: DataFrame, where: str | None, pivots: dict, block_row
     group = F.col(where) if where else F.lit(0)
     rows = queries.filter(usable("vector") & group.isNotNull()).select("query", "vector", group.alias("of"))
     rows = rows.withColumn("qid", F.monotonically_increasing_id())
-    placed = tiles.numbered(_placed(rows, pivots, True), ["size", "of", "pivot"], ["angle", "qid"], "vector", block_rows)
+    placed = _placed(rows, pivots, True).withColumn("blind", F.col("angles").isNull())
+    placed = tiles.numbered(placed, ["size", "of", "blind"], ["angle", "qid"], "vector", block_rows, loose=["pivot"])
     asked = written(placed.withColumnRenamed("block", "left_block"), "query-blocks")
     # a query without angles can be near anything
     each = asked.select("left_block", "size", "of", F.posexplode(F.coalesce("angles", F.array(F.lit(None).cast("double")))).alias("pivot", "a"))
