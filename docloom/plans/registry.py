@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import blockmax, chunking, context, elements, embed, evaluation, filtering, filters, hooks, rerank, retrieval, routing, vectors
 from ..operators.written import written
 from ..sources import files, layout, ocr, tables
-from . import pipelines
+from . import pipelines, report
 from . import sql as S
 
 SIZE, OVERLAP = 1000, 150
@@ -153,7 +153,17 @@ def markdown_table_render(spark, d):
     return _order_tables(spark, d).select("o_custkey", T.table_markdown(F.col("rows"), F.lit("orders")).alias("markdown"))
 
 
-@query()
+_PIECE_START = "'**Table: orders**' || chr(10) || chr(10) || '| order | status | priority |  |' || chr(10) || '| --- | --- | --- | --- |'"
+
+
+@query(
+    "with recursive lines as (select o_custkey, '| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |  |' as line, row_number() over (partition by o_custkey order by o_orderkey) as n from orders), "
+    f"start as (select {_PIECE_START} as head), "
+    "filled as (select o_custkey, n, line, 0 as piece, (length(head) + 1 + length(line))::bigint as used from lines, start where n = 1 "
+    "union all select l.o_custkey, l.n, l.line, case when f.used + 1 + length(l.line) > 300 then f.piece + 1 else f.piece end, "
+    "(case when f.used + 1 + length(l.line) > 300 then length(head) else f.used end + 1 + length(l.line))::bigint from filled f join lines l on l.o_custkey = f.o_custkey and l.n = f.n + 1, start) "
+    "select o_custkey, piece, head || chr(10) || string_agg(line, chr(10) order by n) as text from filled, start group by 1, 2, head"
+)
 def table_pieces(spark, d):
     tables = _order_tables(spark, d).select("o_custkey", T.table_markdown(F.col("rows")).alias("md"))
     pieces = chunking.table_splitter(300)(F.col("md"), F.lit("orders"))
@@ -633,7 +643,7 @@ def _contexts(spark, d, budget=_BUDGET):
     return q.select("qid", F.col("text").alias("question")).join(context.build(q, _five(spark, d), budget), "qid")
 
 
-_CTX = f"{_ONE}, {S.BLOCKS.format(budget=_BUDGET)}, asked_q as (select item_id as qid, text as question, coalesce(context, '') as context, coalesce(n_sources, 0) as n_sources from benchmark left join ctx on ctx.qid = item_id)"
+_CTX = f"{_ONE}, {S.blocks(_BUDGET)}, asked_q as (select item_id as qid, text as question, coalesce(context, '') as context, coalesce(n_sources, 0) as n_sources from benchmark left join ctx on ctx.qid = item_id)"
 _PROMPTED = f"{_CTX}, prompted as (select *, {S.prompt('question', 'context')} as prompt from asked_q)"
 
 
@@ -732,11 +742,12 @@ def _pairs(spark, d):
     return rows.select("conv_id", "turn", "question", F.col("text").alias("answer"), F.coalesce("context", F.lit("")).alias("context"), F.lit("basic_rag").alias("route"), F.col("question").alias("reference"))
 
 
-_QA = f"with {S.PAIRS}, qt as (select *, {S.eval_tokens('question')} as qw, {S.eval_tokens('answer')} as aw, {S.eval_tokens('context')} as cw from qa)"
-_FAITH = f"""{_QA},
-sent as (select conv_id, turn, cw, unnest(string_split(regexp_replace(answer, '([.!?؟])\\s+', '\\1' || chr(1), 'g'), chr(1))) as s from qt where context <> ''),
+_QT = f"qt as (select *, {S.eval_tokens('question')} as qw, {S.eval_tokens('answer')} as aw, {S.eval_tokens('context')} as cw from qa)"
+_FA = f"""sent as (select conv_id, turn, cw, unnest(string_split(regexp_replace(answer, '([.!?؟])\\s+', '\\1' || chr(1), 'g'), chr(1))) as s from qt where context <> ''),
 sw as (select *, {S.eval_tokens('s')} as w from sent where regexp_matches(s, '[^\\s\\x{{A0}}]')),
 fa as (select conv_id, turn, round_even(round(avg(case when contains(lower(s), '[source') and len(w) > 3 then {S.eval_share('w', 'cw', 0.45)} else {S.eval_share('w', 'cw', 0.55)} end), 9), 3) as f from sw group by 1, 2)"""
+_QA = f"with {S.PAIRS}, {_QT}"
+_FAITH = f"{_QA}, {_FA}"
 _METRICS = ["context_relevance", "faithfulness", "answer_relevance"]
 
 
@@ -792,15 +803,74 @@ def cost_by_technique(spark, d):
     return rows.withColumns({"technique": F.coalesce("technique", F.lit("(all)")), "cost": F.bround("cost", 6)})
 
 
+# Two runs over all benchmark items: on the five BM25 hits as they are, and on the same hits compressed.
+_REPORTED = "qwen3-max"
+_AS_FOUND, _SHORT = "as_found", "compressed"
+_RUNS = f"""{_COMPRESSED}, {S.blocks(_BUDGET, mark='w_')},
+{S.blocks(_BUDGET, "select h.qid, h.rank, h.chunk_id, h.score, k.compressed as text, 'doc' || c.doc_id || '.txt' as source from hits h join comp k using (qid, chunk_id) join chunks c using (chunk_id)", 's_')},
+both_runs as (select item_id as qid, text as question, '{_AS_FOUND}' as pipeline, coalesce(context, '') as context, coalesce(n_sources, 0) as n_sources from benchmark left join w_ctx on qid = item_id
+  union all select item_id, text, '{_SHORT}', coalesce(context, ''), coalesce(n_sources, 0) from benchmark left join s_ctx on qid = item_id),
+prompts as (select *, {S.prompt('question', 'context')} as prompt, {S.strip('context')} as inner_text, regexp_replace({S.strip('question')}, '\\s+', ' ', 'g') as flat from both_runs),
+spoken as (select *, case when inner_text <> '' then {S.q(X.MOCK_PREFIX)} || substr(inner_text, 1, 500) else {S.q(X.NOT_FOUND)} end as said, coalesce({S.route_case('flat')}, {S.fallback_case('question')}) as decision from prompts),
+qa as (select qid as conv_id, pipeline as turn, question, said || {S.q(X.MOCK_SUFFIX)} as answer, context, n_sources, decision, length(prompt) // 4 as input_tokens, length(said) // 4 as output_tokens from spoken),
+{_QT}, {_FA},
+measured as (select turn as pipeline, conv_id as qid, string_split(decision, '|')[1] as route, string_split(decision, '|')[2] as techniques,
+  case when context = '' then 0.0 else round_even({S.eval_share('qw', 'cw', 0.45)}, 3) end as context_relevance, case when context = '' then 0.0 else coalesce(f, 0.0) end as faithfulness,
+  round_even({S.eval_share('qw', 'aw', 0.35)}, 3) as answer_relevance, n_sources, 1 as n_calls, input_tokens, output_tokens,
+  round_even(input_tokens / 1000000 * {X.SIMULATED_PRICES[_REPORTED][0]} + output_tokens / 1000000 * {X.SIMULATED_PRICES[_REPORTED][1]}, 10) as cost
+  from qt left join fa using (conv_id, turn))"""
+
+
+def _runs(spark, d):
+    """The two runs, measured."""
+    asked = _questions(spark, d).select("qid", "text")
+    route = routing.route(F.col("text"))
+    found = written(_five(spark, d), "found")
+    short = rerank.compress(found.join(asked.select("qid", F.array("text").alias("queries")), "qid")).withColumn("text", F.col("compressed")).drop("compressed", "queries")
+    for name, hits in ((_AS_FOUND, found), (_SHORT, short)):
+        rows = asked.join(context.build(asked, hits, _BUDGET), "qid").withColumns({"route": route["route"], "techniques": route["techniques"]})
+        rows = rows.withColumn("prompt", context.prompt(F.col("text"), F.col("context")))
+        yield report.measured(hooks.MockLLM().generate(rows, "", "prompt", "answer"), name, _REPORTED)
+
+
+_SPENT = ["n_sources", "n_calls", "input_tokens", "output_tokens"]
+
+
+@query(f"{_RUNS} select pipeline, qid, route, techniques, {', '.join([*_METRICS, *_SPENT])}, round_even(cost, 8) as cost from measured")
+def measured_runs(spark, d):
+    """Each question of both runs with its metrics, tokens and cost."""
+    one, two = _runs(spark, d)
+    rows = one.unionByName(two).withColumns({"techniques": F.array_join("techniques", ","), "cost": F.bround("cost", 8)})
+    return rows.select("pipeline", "qid", "route", "techniques", *_METRICS, *_SPENT, "cost")
+
+
+_LONG = " union all ".join(f"select pipeline, route, techniques, '{m}' as metric, {m}::decimal(28,10) as v from measured" for m in [*_METRICS, *_SPENT, "cost"])
+
+
+@query(
+    f"{_RUNS}, long as ({_LONG}), listed as (select *, case when techniques = '' then ['{report.NO_TECHNIQUE}'] else string_split(techniques, ',') end as ts from long), "
+    "each as (select pipeline, route, metric, v, unnest(ts) as technique, generate_subscripts(ts, 1) = 1 as once from listed), "
+    "sets as (select pipeline, route, technique, metric, grouping(technique) = 0 as told, grouping(pipeline) as g, grouping(route) as gr, count(*) as a, count(*) filter (where once) as b, "
+    "sum(v) as sa, sum(v) filter (where once) as sb, min(v)::double as least, max(v)::double as most from each group by grouping sets ((metric), (pipeline, metric), (pipeline, route, metric), (pipeline, technique, metric))) "
+    "select case when told then 'technique' when gr = 0 then 'route' when g = 0 then 'pipeline' else 'all' end as level, pipeline, route, technique, metric, case when told then a else b end as n_questions, "
+    "round_even(case when told then sa else sb end::double, 6) as total, round_even(case when told then sa::double / a else sb::double / b end, 6) as mean, round_even(least, 8) as least, round_even(most, 8) as most from sets"
+)
+def run_report(spark, d):
+    """Totals and means of both runs: over all, by pipeline, by route, by technique."""
+    one, two = _runs(spark, d)
+    rows = report.by_levels(one.unionByName(two)).filter(F.col("metric").isin(*_METRICS, *_SPENT, "cost"))
+    return rows.select("level", "pipeline", "route", "technique", "metric", "n_questions", "total", "mean", F.bround("least", 8).alias("least"), F.bround("most", 8).alias("most"))
+
+
 @query(
-    f"{_FAITH}, ev as (select conv_id, turn, case when context = '' then 0.0 else round_even({S.eval_share('qw', 'cw', 0.45)}, 3) end as a, round_even({S.eval_share('qw', 'aw', 0.35)}, 3) as b from qt) "
-    "select conv_id, turn, a as advanced_relevance, b as basic_relevance, round_even(a - b, 3) as delta_relevance from ev"
+    f"{_RUNS} select a.qid, " + ", ".join(f"a.{m} as advanced_{m}, b.{m} as basic_{m}, round_even(a.{m} - b.{m}, 3) as delta_{m}" for m in _METRICS)
+    + f", round_even(a.cost, 8) as advanced_cost, round_even(b.cost, 8) as basic_cost, round_even(a.cost - b.cost, 8) as delta_cost from measured a join measured b on a.qid = b.qid and a.pipeline = '{_SHORT}' and b.pipeline = '{_AS_FOUND}'"
 )
 def basic_vs_advanced(spark, d):
-    rows = evaluation.evaluate(_pairs(spark, d), ["conv_id", "turn"])
-    one = rows.select("conv_id", "turn", F.col("context_relevance").alias("relevance"))
-    two = rows.select("conv_id", "turn", F.col("answer_relevance").alias("relevance"))
-    return evaluation.compare(one, two, ["conv_id", "turn"], ["relevance"])
+    """Both runs side by side."""
+    basic, advanced = _runs(spark, d)
+    rows = report.side_by_side(advanced, basic).withColumns({f"{x}_cost": F.bround(f"{x}_cost", 8) for x in ("advanced", "basic", "delta")})
+    return rows.drop("advanced_correctness", "basic_correctness", "delta_correctness")
 
 
 # --- more of the scalar functions, and whole pipelines ------------------------------------
@@ -887,7 +957,14 @@ def replied_answers(spark, d):
     return rows.select("qid", "route", _listed("techniques").alias("techniques"), "confidence", "label", "action", "answer")
 
 
-@query()
+_BASE_ROWS = "select h.qid, h.rank, h.chunk_id, h.score, c.text, c.doc_id::varchar as source from ordered h join chunks c using (chunk_id) where h.rank <= 5"
+_BASE = f"with {S.chunks(SIZE, OVERLAP)}, {S.ONE}, {S.semantic(retrieval.fetch_depth(TOP_K))}, {S.bm25(retrieval.fetch_depth(TOP_K))}, {S.RRF}, {S.ORDERED}, {S.blocks(context.BUDGET, _BASE_ROWS)}"
+
+
+@query(
+    f"{_BASE}, e as (select item_id as qid, {S.strip("coalesce(context, '')")} as c, n_sources from benchmark left join ctx on qid = item_id) "
+    f"select qid, n_sources::int as n_sources, case when c <> '' then {S.q(X.MOCK_PREFIX)} || substr(c, 1, 500) else {S.q(X.NOT_FOUND)} end || {S.q(X.MOCK_SUFFIX)} as answer from e"
+)
 def baseline_answers(spark, d):
     rows = pipelines.baseline(_t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), _sourced(spark, d), TOP_K)
     return rows.select("qid", F.size("sources").alias("n_sources"), "answer")
@@ -991,11 +1068,10 @@ def attribute_or_metadata(spark, d):
     return rows.select("o_orderkey", T.attribute(own, F.col("metadata"), "department").alias("department"))
 
 
-@query("select event_id, (case when event_id % 3 = 0 then event_id when length(props) < 4 then 1 else length(props) // 4 end)::bigint as used from events where event_id % 3 <> 0 or event_id > 0")
+@query("select event_id, (case when event_id % 3 = 0 and event_id > 0 then event_id else greatest(1, length(coalesce(props, '')) // 4) end)::bigint as used from events")
 def usage_counts(spark, d):
     """Tokens as counted, else a quarter of the characters."""
-    rows = _t(spark, d, "events").filter("event_id % 3 <> 0 or event_id > 0")
-    return rows.select("event_id", hooks.usage_fallback(F.when(F.col("event_id") % 3 == 0, F.col("event_id")), F.col("props")).alias("used"))
+    return _t(spark, d, "events").select("event_id", hooks.usage_fallback(F.when(F.col("event_id") % 3 == 0, F.col("event_id")), F.col("props")).alias("used"))
 
 
 def _boxes(spark, d):

@@ -134,14 +134,19 @@ scored2 as (select *, round_even(0.74 * pair + 0.07 * retrieval + 0.11 * lexical
 reranked as (select * from (select *, row_number() over (partition by qid order by new_score desc, rank, chunk_id) as new_rank from scored2) where new_rank <= 5)"""
 
 
-BLOCKS = f"""
-top5 as (select h.qid, h.rank, h.chunk_id, h.score, c.text, 'doc' || c.doc_id || '.txt' as source from hits h join chunks c using (chunk_id)),
-heads as (select *, '[Source ' || rank || ' | TYPE=TEXT | FILE=' || source || ' | SCORE=' || printf('%.4f', round_even(score, 4)) || ']' as head from top5),
-blk as (select *, head || chr(10) || 'TEXT CONTENT:' || chr(10) || text as block from heads),
-run as (select *, sum(length(block)) over (partition by qid order by rank) as upto from blk),
-taken as (select qid, rank as index, chunk_id, case when upto <= {{budget}} then block else substr(block, 1, {{budget}}) end as block from run
-  where upto <= {{budget}} or (rank = 1 and length(head) + 20 < {{budget}})),
-ctx as (select qid, string_agg(block, {q(X.BLOCK_SEPARATOR)} order by index) as context, count(*) as n_sources from taken group by 1)"""
+FIVE = "select h.qid, h.rank, h.chunk_id, h.score, c.text, 'doc' || c.doc_id || '.txt' as source from hits h join chunks c using (chunk_id)"
+
+
+def blocks(budget: int, rows: str = FIVE, mark: str = "") -> str:
+    """taken and ctx, with ``mark`` before their names: blocks and contexts of rows(qid, rank, chunk_id, score, text, source)."""
+    return f"""
+{mark}top as ({rows}),
+{mark}heads as (select *, '[Source ' || rank || ' | TYPE=TEXT | FILE=' || source || ' | SCORE=' || printf('%.4f', round_even(score, 4)) || ']' as head from {mark}top),
+{mark}blk as (select *, head || chr(10) || 'TEXT CONTENT:' || chr(10) || text as block from {mark}heads),
+{mark}run as (select *, sum(length(block)) over (partition by qid order by rank) as upto from {mark}blk),
+{mark}taken as (select qid, rank as index, chunk_id, case when upto <= {budget} then block else substr(block, 1, {budget}) end as block from {mark}run
+  where upto <= {budget} or (rank = 1 and length(head) + 20 < {budget})),
+{mark}ctx as (select qid, string_agg(block, {q(X.BLOCK_SEPARATOR)} order by index) as context, count(*) as n_sources from {mark}taken group by 1)"""
 
 
 def prompt(question: str, context: str) -> str:
