@@ -853,7 +853,7 @@ _LONG = " union all ".join(f"select pipeline, route, techniques, '{m}' as metric
     "sets as (select pipeline, route, technique, metric, grouping(technique) = 0 as told, grouping(pipeline) as g, grouping(route) as gr, count(*) as a, count(*) filter (where once) as b, "
     "sum(v) as sa, sum(v) filter (where once) as sb, min(v)::double as least, max(v)::double as most from each group by grouping sets ((metric), (pipeline, metric), (pipeline, route, metric), (pipeline, technique, metric))) "
     "select case when told then 'technique' when gr = 0 then 'route' when g = 0 then 'pipeline' else 'all' end as level, pipeline, route, technique, metric, case when told then a else b end as n_questions, "
-    "round_even(case when told then sa else sb end::double, 6) as total, round_even(case when told then sa::double / a else sb::double / b end, 6) as mean, round_even(least, 8) as least, round_even(most, 8) as most from sets"
+    "round_even(case when told then sa else sb end::double, 6) as total, round_even(round(case when told then sa::double / a else sb::double / b end, 9), 6) as mean, round_even(least, 8) as least, round_even(most, 8) as most from sets"
 )
 def run_report(spark, d):
     """Totals and means of both runs: over all, by pipeline, by route, by technique."""

@@ -92,7 +92,7 @@ def by_levels(rows: DataFrame) -> DataFrame:
         F.col(f"min_{m}").cast("double").alias("least"), F.col(f"max_{m}").cast("double").alias("most"),
     )
     out = grouped.select(level.alias("level"), *keys, taken("rows", "").alias("n_questions"), F.explode(F.array(*map(one, names))).alias("m"))
-    mean = F.bround(F.try_divide(F.col("m.total"), F.col("m.n")), 6).alias("mean")
+    mean = F.bround(F.round(F.try_divide(F.col("m.total"), F.col("m.n")), 9), 6).alias("mean")
     return out.filter("n_questions > 0").select("level", *keys, "m.metric", "n_questions", "m.n", F.bround("m.total", 6).alias("total"), mean, "m.least", "m.most")
 
 
