@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,11 +97,33 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
 
-def slices(batches, rows: int):
-    """Arrow batches in parts of ``rows`` rows, so that little stands in memory as Python objects."""
+_KEPT: dict[str, Callable[[], None]] = {}  # in a Python worker: by operator what drops the tables it keeps there
+
+
+def give_back() -> None:
+    """Memory that this Python worker has free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def slices(batches, rows: int, keeps: str | None = None):
+    """Arrow batches in parts of ``rows`` rows, so that little stands in memory as Python objects.
+
+    Spark uses idle workers by turns, for one operator after another. So a task first drops what other
+    operators than ``keeps`` hold in its worker (``_KEPT``), and gives back in the end what it has freed."""
+    others = [x for x in _KEPT if x != keeps]
+    for x in others:
+        _KEPT.pop(x)()
+    if others:
+        gc.collect()
+        give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    batch = None
+    give_back()
 
 
 def text_key(text: str = "text") -> Column:

@@ -12,8 +12,8 @@ ones as they are, others in steps of 2^-16), so the order in which they are adde
 
 A new word (a blank after another character) always starts a piece. Within a chunk the matrix is
 the sum of a part before the first such cut and one after the last; the words between add the same to
-every entry and are left out. Their pieces are found once in a worker and kept. A chunk without such
-a cut computes all states.
+every entry and are left out. Their pieces are found once in a worker and kept until another operator
+uses the worker. A chunk without such a cut computes all states.
 
 The vocabulary file marks its kind as merges by rank (BPE). Merging in order of rank is no sum of
 scores and no scan computes it; as the method asks, pieces are chosen by their scores (in this file
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded, materialize, slices
+from .common import _KEPT, guarded, materialize, slices
 
 CHUNK = 32768
 BLANK = "▁"
@@ -182,6 +182,7 @@ _LOADED: dict[str, Vocabulary] = {}
 def vocabulary(path: str) -> Vocabulary:
     if path not in _LOADED:
         _LOADED[path] = Vocabulary(path)
+    _KEPT["pieces"] = _LOADED.clear
     return _LOADED[path]
 
 
@@ -310,7 +311,7 @@ def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int =
 
     def whole(batches):
         v = vocabulary(model)
-        for batch in slices(batches, 200):
+        for batch in slices(batches, 200, "pieces"):
             ids = [v.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             more = _decoded(v, ids) if decode else []
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), *more], names=full.names)
@@ -329,7 +330,7 @@ def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int =
 
     def matrices(batches):
         v = vocabulary(model)
-        for batch in slices(batches, 50):
+        for batch in slices(batches, 50, "pieces"):
             flat = [Chunk(v, s, left).matrix().ravel() for left, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.list_(pa.int64()))], names=["t", "no", "m"])
 
@@ -346,14 +347,14 @@ def encode_texts(df: DataFrame, model: str, text_col: str = "text", chunk: int =
 
     def enter(batches):
         v = vocabulary(model)
-        for batch in slices(batches, 50):
+        for batch in slices(batches, 50, "pieces"):
             _, _, left, s, sums = (x.to_pylist() for x in batch.columns)
             found = [Chunk(v, x, n).entries(_begin(n, begin)) for x, n, begin in zip(s, left, sums)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["t", "no", "came"])
 
     def backtrace(batches):
         v = vocabulary(model)
-        for batch in slices(batches, 50):
+        for batch in slices(batches, 50, "pieces"):
             _, _, left, s, sums, leave = (x.to_pylist() for x in batch.columns)
             ids = [Chunk(v, x, n).ids(_begin(n, begin), len(x) - end) for x, n, begin, end in zip(s, left, sums, leave)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["t", "no", "ids"])
@@ -412,7 +413,7 @@ def decode_ids(df: DataFrame, model: str, ids_col: str = "__ids") -> DataFrame:
 
     def run(batches):
         v = vocabulary(model)
-        for batch in slices(batches, 200):
+        for batch in slices(batches, 200, "pieces"):
             ids = [x or b"" for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_decoded(v, ids)], names=schema.names)
 

@@ -3,11 +3,13 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from docloom.llm import pieces as P
+from docloom.llm.common import slices
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -111,3 +113,18 @@ def test_prefix_products():
         now = m if now is None else (now[:, :, None] + m[None]).max(1)
         want.append(now)
     assert np.array_equal(P.prefix_products(stack), want)
+
+
+def test_workers_keep_no_vocabulary_for_other_operators(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string").repartition(8)
+
+    def loaded(keeps):
+        def run(batches):
+            for batch in slices(batches, 1000, keeps):
+                yield pa.RecordBatch.from_arrays([pa.array([len(P._LOADED)])], names=["n"])
+
+        return sum(r.n for r in spark.range(0, 800, 1, 8).mapInArrow(run, "n long").collect())
+
+    P.encode_texts(df, PATH).write.format("noop").mode("overwrite").save()
+    assert loaded("pieces") > 0
+    assert loaded(None) == 0
