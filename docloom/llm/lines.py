@@ -40,7 +40,9 @@ def split_lines(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
+    # translate makes a string of each character; where all are ASCII, lower changes A-Z alone
+    folded = F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
+    return F.btrim(folded, F.lit(SPACES))
 
 
 def _tagged(df: DataFrame) -> DataFrame:
@@ -76,6 +78,11 @@ def repeated(ranged: DataFrame, min_docs: int) -> DataFrame:
     return counts.filter(F.col("__docs") >= min_docs)
 
 
+def _few_files(table: DataFrame) -> DataFrame:
+    """Small tables of many ranges are written by as many tasks as there are cores, not in a file for each range."""
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism)
+
+
 def _bounded(table: DataFrame, row_bytes: int) -> DataFrame:
     """Marked for broadcast only if counting finds it within BROADCAST_BYTES."""
     most = BROADCAST_BYTES // row_bytes
@@ -100,7 +107,7 @@ def _with_bitmaps(df: DataFrame, text_col: str, keep: list[str], min_docs: int,
     """The columns ``keep`` with each document's bitmap."""
     docs = _tagged(df)
     rows = materialize(occurrences(docs, text_col, min_chars), "lines")
-    often = materialize(repeated(_ranged(rows), max(1, min_docs)), "lines-often")
+    often = materialize(_few_files(repeated(_ranged(rows), max(1, min_docs))), "lines-often")
     hit = rows.join(_bounded(often, 40), _HASH)
     if keep_first:
         hit = hit.filter(F.struct(*_DOC, "__at") != F.col("__first"))
@@ -110,7 +117,7 @@ def _with_bitmaps(df: DataFrame, text_col: str, keep: list[str], min_docs: int,
     dropped = words.groupBy(*_DOC).agg(
         F.sum(F.bit_count("gone")).alias("__n_dropped"), F.array_sort(F.collect_list(F.struct("word", F.bitwise_not("gone").alias("bits")))).alias("__bitmap")
     )
-    dropped = materialize(dropped, "lines-bitmaps")
+    dropped = materialize(_few_files(dropped), "lines-bitmaps")
     release(rows, often)
     n_lines = F.size(split_lines(F.col(text_col))).cast("long").alias("__n_lines")
     # the bitmaps grow with the documents, so both sides are shuffled at any size

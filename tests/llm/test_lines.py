@@ -104,3 +104,35 @@ def test_nothing_moves_for_first_occurrences_and_columns_clash(spark, folder):
     assert sorted(out.columns) == sorted(clash.columns + ["__n_dropped"])
     assert {(r["__key"], r["__at"], r["__row"]) for r in out.collect()} == {("k", 7, 1)} and dict(out.dtypes)["__n_lines"] == "bigint"
     assert lines.drop_lines(docs.limit(0)).count() == 0 and lines.line_bitmaps(docs.limit(0)).count() == 0
+
+
+def test_small_tables_are_few_files(spark, folder, monkeypatch):
+    d, texts = folder
+    files, write = {}, lines.materialize
+
+    def seen(df, name):
+        out = write(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(lines, "materialize", seen)
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.n: r.text for r in lines.drop_lines(spark.read.parquet(f"{d}/documents.parquet"), min_docs=2).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: x[2] for i, x in enumerate(brute(texts, 2))}
+    cores = spark.sparkContext.defaultParallelism
+    assert files["lines-often"] <= cores and files["lines-bitmaps"] <= cores
+
+
+def test_only_a_to_z_change_in_keys(spark):
+    odd = "ÀÉÞßİIıKKÅÅſΣςσǅⅣⓐⒶЖႠꭰＡ𐐀"  # among them what lower() makes ASCII or longer
+    words = [a + x + b for x in odd for a in ("", "A", "ab ") for b in ("", "Z", "\x1fQ ")] + ["PLAIN", "\tMiXed [@`{] ", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = df.select("w", lines.line_key(F.col("w")).alias("k")).collect()
+    assert {r.w: r.k for r in got} == {w: w.strip(SPACES).translate(FOLD) for w in words}
