@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed as X
+from . import scan
 
 DIM = 384
 KNOWN_TOKENS = 1 << 17
@@ -27,10 +27,10 @@ class Embedder(Protocol):
 class _Places(dict):
     """Tokens to the number of their place and sign: their md5 modulo 2 * DIM; forgets all when full."""
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, token: bytes) -> int:
         if len(self) >= KNOWN_TOKENS:
             self.clear()
-        value = self[token] = int(hashlib.md5(token.encode()).hexdigest(), 16) % (2 * DIM)
+        value = self[token] = int.from_bytes(hashlib.md5(token).digest()) % (2 * DIM)
         return value
 
 
@@ -40,25 +40,32 @@ class HashingEmbedder:
 
     dim = DIM
 
+    def encoder(self) -> Callable[[pa.Array], np.ndarray]:
+        """A function for one task, from texts in lower case to their vectors, a row each."""
+        places = _Places()
+
+        def encode(texts: pa.Array) -> np.ndarray:
+            row, code, words = scan.coded(texts, False)
+            place = np.array([places[w] for w in words], np.int64)
+            signed = np.bincount(row * (2 * DIM) + place[code], minlength=len(texts) * 2 * DIM).reshape(-1, 2 * DIM)
+            value = (signed[:, :DIM] - signed[:, DIM:]).astype(float)
+            norm = np.sqrt((value * value).sum(1, keepdims=True))
+            return value / np.where(norm == 0, 1, norm)
+
+        return encode
+
     def embed(self, df: DataFrame, id_cols: list[str], text_col: str, out: str = "vector", query: bool = False) -> DataFrame:
         """``(ids..., out)``: texts without a token, and null ones, get the zero vector."""
         rows = df.select(*id_cols, F.lower(text_col).alias("__text"))
         schema = rows.drop("__text").withColumn(out, F.array(F.lit(0.0))).schema
-        token = re.compile(X.TOKEN)
 
         def run(batches):
-            places = _Places()
+            encode = self.encoder()
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    some = batch.slice(at, 1000)
-                    signed = np.zeros((some.num_rows, 2 * DIM))
-                    for i, text in enumerate(some.column(some.num_columns - 1).to_pylist()):
-                        found = list(map(places.__getitem__, token.findall(text or "")))
-                        signed[i] = np.bincount(found, minlength=2 * DIM)
-                    value = signed[:, :DIM] - signed[:, DIM:]
-                    norm = np.sqrt((value * value).sum(1, keepdims=True))
-                    flat = pa.array((value / np.where(norm == 0, 1, norm)).ravel())
+                for at in range(0, batch.num_rows, scan.ROWS):
+                    some = batch.slice(at, scan.ROWS)
                     offsets = pa.array(np.arange(some.num_rows + 1, dtype=np.int32) * DIM)
+                    flat = pa.array(encode(some.column(some.num_columns - 1)).ravel())
                     yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
 
         return rows.mapInArrow(run, schema)

@@ -319,7 +319,7 @@ def _semantic(spark, d, top_k=40):
     e = embed.HashingEmbedder()
     key = F.concat_ws(":", "qid", "query_idx").alias("query")
     asked = e.embed(retrieval.usable(_questions(spark, d), top_k), ["qid", "query_idx"], "text").select(key, "vector")
-    hits = retrieval.cosine_topk(asked, e.embed(_chunks(spark, d), ["chunk_id"], "text"), top_k)
+    hits = vectors.topk_texts(asked, _chunks(spark, d), top_k, e)
     part = lambda i: F.split("query", ":")[i]
     return hits.select(part(0).cast("long").alias("qid"), part(1).cast("int").alias("query_idx"), "chunk_id", "score", "rank")
 
