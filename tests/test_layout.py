@@ -103,3 +103,32 @@ def test_facts_of_pages_and_empty_tables(spark):
     assert layout.elements(t, p, b.limit(0), c.limit(0)).filter("type = 'table'").count() == 0
     assert layout.extracted(spark.createDataFrame([], "doc_id string, content binary"), e.extract)[1].count() == 0
     assert layout.held(t.withColumn("table_no", F.lit(7)), b, ["doc_id", "page"], "table_no").filter("table_no = 7").count() == 0
+
+
+def test_pages_with_many_boxes_go_by_the_grid(spark, monkeypatch):
+    r = random.Random(5)
+    boxes = [("d", p, n, x := r.uniform(0, 500), y := r.uniform(0, 500), x + 90, y + 40, None) for p in range(6) for n in range(3 + 10 * (p % 2))]
+    tokens = spark.createDataFrame([("d", i % 7, 0, 0, 0, i, "w", "90", r.uniform(0, 500), y := r.uniform(0, 500), 510.0, y) for i in range(900)], TOKENS)
+    of = lambda: {x.word_num: x.table_no for x in layout.held(tokens, spark.createDataFrame(boxes, BOXES), ["doc_id", "page"], "table_no").collect()}
+    lists = of()
+    monkeypatch.setattr(layout, "FEW", 5)
+    assert of() == lists and len(lists) == 900 and len(set(lists.values())) > 5
+
+
+def test_boxes_and_cells_without_tokens_are_not_written(spark, monkeypatch):
+    """A hundred pages have tables, one has tokens."""
+    boxes = spark.createDataFrame([("d", p, n, 0.0, 50.0 * n, 90.0, 50.0 * n + 40, None) for p in range(100) for n in range(4)], BOXES)
+    cells = spark.createDataFrame([("d", p, n, c, 45.0 * c, 50.0 * n, 45.0 * c + 45, 50.0 * n + 40) for p in range(100) for n in range(4) for c in range(2)], CELLS)
+    tokens = spark.createDataFrame([("d", 7, 0, 0, 0, i, "word", "90", 10.0, 60.0, 12.0, 62.0) for i in range(3)] + [("d", 200, 0, 0, 0, 9, "word", "90", 10.0, 60.0, 12.0, 62.0)], TOKENS)
+    written, rows = layout.written, []
+
+    def counted(df, name):
+        out = written(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(layout, "written", counted)
+    placed, found = layout.tables(tokens, boxes, cells)
+    assert [(r.page, r.table_no, r.rows) for r in found.collect()] == [(7, 1, [["word word word", ""]])]
+    assert sorted(((r.page, r.table_no) for r in placed.collect()), key=lambda x: x[0]) == [(7, 1)] * 3 + [(200, None)]
+    assert sum(rows) < 30
