@@ -544,8 +544,8 @@ def query_stats(spark, d):
 
 def _candidates(spark, d):
     asked = _wordings(spark, d).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("query_idx", "text"))).alias("w"))
-    hits = retrieval.merge(_many_hits(spark, d)).filter(F.col("rank") <= rerank.CANDIDATES)
-    rows = hits.join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(asked, "qid")
+    hits = written(retrieval.merge(_many_hits(spark, d)).filter(F.col("rank") <= rerank.CANDIDATES), "merged")
+    rows = retrieval.met(_chunks(spark, d).select("chunk_id", "text"), hits).join(asked, "qid")
     found = F.transform("queries", lambda i: F.filter("w", lambda x: x["query_idx"] == i)[0]["text"])
     return rows.withColumns(
         {"variants": rerank.variants(F.col("w")[0]["text"], found), "n_found": F.size("queries"), "chunk_type": F.lit("text")}
