@@ -55,3 +55,12 @@ def shuffled_by(df, key):
 @pytest.mark.parametrize("name", ["rerank_features", "rerank_topk", "query_stats"])
 def test_few_hits_go_to_the_texts(plain_joins, name):
     assert not shuffled_by(registry.QUERIES[name](plain_joins, DATA), "chunk_id")
+
+
+@pytest.mark.parametrize("name", ["multi_query_merge", "decomposed_tags", "weighted_fusion"])
+def test_a_block_of_questions_makes_no_index(spark, monkeypatch, name):
+    def never(*_):
+        raise AssertionError("postings of all terms")
+
+    monkeypatch.setattr(retrieval, "index", never)
+    assert registry.QUERIES[name](spark, DATA).filter(F.col("rank") == 1).count() >= 40
