@@ -421,8 +421,8 @@ def _filtered_chunks(spark, d):
         F.lit("Document"), F.concat(F.lit(" "), "source", F.lit(".PDF")), F.lit("department"), F.col("lang"),
         F.lit("issue_date"), F.concat((1990 + n % 30).cast("string"), F.lit("-05-01")), F.lit("review_year"), F.when(n % 4 != 0, (2000 + n % 20).cast("string")),
     )
-    of = _t(spark, d, "documents").select("doc_id", F.map_filter(meta, lambda k, v: v.isNotNull()).alias("metadata"))
-    return written(_chunks(spark, d).join(of, "doc_id").select("chunk_id", "text", "metadata"), "chunks-metadata")
+    docs = _t(spark, d, "documents").withColumn("metadata", F.map_filter(meta, lambda k, v: v.isNotNull()))
+    return chunking.fixed_size(docs, SIZE, OVERLAP, keep=("metadata",)).select("chunk_id", "text", "metadata")
 
 
 def _filtered_questions(spark, d):
@@ -455,8 +455,7 @@ def semantic_by_own_filter(spark, d):
     chunks, e = _filtered_chunks(spark, d), embed.HashingEmbedder()
     asked = _filtered_questions(spark, d)
     of = e.embed(asked, ["qid"], "text").join(asked.select("qid", "wanted"), "qid").withColumnRenamed("qid", "query")
-    own = e.embed(chunks, ["chunk_id"], "text").join(chunks.select("chunk_id", "metadata"), "chunk_id")
-    return _hits(filtering.cosine_topk(of, own, 10).withColumnRenamed("query", "qid"))
+    return _hits(filtering.topk_texts(of, _filtered_chunks(spark, d), 10, e).withColumnRenamed("query", "qid"))
 
 
 @query(
@@ -473,7 +472,7 @@ def keyword_by_own_filter(spark, d):
         .when(n % 5 == 3, one("department", '["en", "fr"]', "review_year", (2000 + n % 20).cast("string")))
         .when(n % 5 == 4, one("department", "en", "year_gt", "2010"))
     )
-    return _hits(filtering.bm25(_questions(spark, d).withColumn("wanted", wanted), _filtered_chunks(spark, d), 10))
+    return _hits(filtering.bm25(_questions(spark, d).withColumn("wanted", wanted), written(_filtered_chunks(spark, d), "chunks-metadata"), 10))
 
 
 @query(
@@ -953,7 +952,7 @@ def replied_answers(spark, d):
         F.lit("router"), route, F.lit("decomposition"), parts("subquestions"), F.lit("multi_query"), parts("queries"),
         F.lit("rewriting"), F.concat(F.lit('{"query": '), F.to_json(F.struct(F.get("generated", 0).alias("q"))).substr(F.lit(6), F.lit(10_000)), F.lit("")), F.lit("self_query"), filters,
     )
-    rows = pipelines.answer(_generated(spark, d).withColumn("replies", replies), _filtered_chunks(spark, d), TOP_K)
+    rows = pipelines.answer(_generated(spark, d).withColumn("replies", replies), written(_filtered_chunks(spark, d), "chunks-metadata"), TOP_K)
     return rows.select("qid", "route", _listed("techniques").alias("techniques"), "confidence", "label", "action", "answer")
 
 

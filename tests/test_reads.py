@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import retrieval
+from docloom.operators import embed, filtering, retrieval, vectors
 from docloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -64,3 +64,39 @@ def test_a_block_of_questions_makes_no_index(spark, monkeypatch, name):
 
     monkeypatch.setattr(retrieval, "index", never)
     assert registry.QUERIES[name](spark, DATA).filter(F.col("rank") == 1).count() >= 40
+
+
+@pytest.fixture
+def no_tables(monkeypatch):
+    """Fails where postings of all terms, or vectors of chunks, are made as a table."""
+    made = embed.HashingEmbedder.embed
+
+    def never(*_):
+        raise AssertionError("postings of all terms")
+
+    def of_questions(self, df, id_cols, *rest, **more):
+        assert "chunk_id" not in id_cols, "vectors of all chunks"
+        return made(self, df, id_cols, *rest, **more)
+
+    monkeypatch.setattr(retrieval, "index", never)
+    monkeypatch.setattr(embed.HashingEmbedder, "embed", of_questions)
+
+
+@pytest.mark.parametrize("name", ["semantic_by_own_filter"])
+def test_no_vectors_or_postings_are_tables(spark, no_tables, name):
+    assert registry.QUERIES[name](spark, DATA).count() >= 40
+
+
+def test_filters_by_number_equal_copies_of_vectors(spark, monkeypatch):
+    """A chunk is scored once, however many filters let it through; for more filters than a list holds it stands once for each."""
+    e = embed.HashingEmbedder()
+    asked = registry._filtered_questions(spark, DATA).select("qid", "text", "wanted")
+    own = registry._filtered_chunks(spark, DATA).union(spark.createDataFrame([("x:1", "de la", None), ("x:2", "de la", {})], "chunk_id string, text string, metadata map<string,string>"))
+    of = e.embed(asked, ["qid"], "text").join(asked.select("qid", "wanted"), "qid").withColumnRenamed("qid", "query")
+    rows = lambda df: sorted(tuple(r) for r in df.select("query", "rank", "chunk_id", "score").collect())
+    scored, found = vectors.cosine_topk, []
+    monkeypatch.setattr(vectors, "cosine_topk", lambda *a, **b: found.append(1) or scored(*a, **b))
+    got = rows(filtering.topk_texts(of, own, 10, e))
+    assert not found
+    monkeypatch.setattr(filtering, "FILTERS", 3)
+    assert rows(filtering.topk_texts(of, own, 10, e)) == got and len(found) == 1 and len(got) > 100
