@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import attribute
-from ..operators import chunking, context, embed, filtering, hooks, rerank, retrieval, routing
+from ..operators import chunking, context, embed, filtering, hooks, rerank, retrieval, routing, vectors
 from ..operators.written import written
 from ..sources import files
 
@@ -39,8 +39,8 @@ def retrieve(
     depth = retrieval.fetch_depth(top_k)
     asked = e.embed(retrieval.usable(questions, top_k), ["qid", "query_idx"], "text", "vector", query=True)
     asked = asked.withColumn("query", F.to_json(F.struct("qid", "query_idx")))
-    own = chunks if "vector" in chunks.columns else e.embed(chunks, ["chunk_id"], "text", "vector")
-    found = retrieval.cosine_topk(asked, own, depth).join(asked.select("query", "qid", "query_idx"), "query")
+    hits = retrieval.cosine_topk(asked, chunks, depth) if "vector" in chunks.columns else vectors.topk_texts(asked, chunks, depth, e)
+    found = hits.join(asked.select("query", "qid", "query_idx"), "query")
     keyword = retrieval.bm25(questions, chunks, depth, made)
     if "wanted" in questions.columns and "metadata" in chunks.columns:
         return filtering.hybrid(found, keyword, questions, chunks, top_k, method, alpha)
@@ -175,6 +175,6 @@ def baseline(questions: DataFrame, chunks: DataFrame, top_k: int = 5, llm: hooks
     """One wording, top_k hits, no reranking."""
     one = questions.select("qid", F.lit(0).alias("query_idx"), "text")
     of = _attributed(chunks)
-    built = context.build(questions, retrieve(one, chunks, top_k).join(of, "chunk_id"))
+    built = context.build(questions, retrieval.met(of, written(retrieve(one, chunks, top_k), "hits")))
     out = questions.join(built, "qid").withColumn("prompt", context.prompt(F.col("text"), F.col("context")))
     return (llm or hooks.MockLLM()).generate(out.withColumn("system", F.lit(context.SYSTEM_PROMPT)), "system", "prompt", "answer")

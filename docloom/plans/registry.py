@@ -929,8 +929,8 @@ def _generated(spark, d):
 
 
 def _sourced(spark, d):
-    of = _t(spark, d, "documents").select("doc_id", "source")
-    return _chunks(spark, d).join(of, "doc_id").select("chunk_id", "text", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source"))
+    docs = _t(spark, d, "documents").withColumn("of", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
+    return chunking.fixed_size(docs, SIZE, OVERLAP, keep=("of",)).select("chunk_id", "text", F.col("of").alias("source"))
 
 
 @query()
@@ -965,7 +965,7 @@ _BASE = f"with {S.chunks(SIZE, OVERLAP)}, {S.ONE}, {S.semantic(retrieval.fetch_d
     f"select qid, n_sources::int as n_sources, case when c <> '' then {S.q(X.MOCK_PREFIX)} || substr(c, 1, 500) else {S.q(X.NOT_FOUND)} end || {S.q(X.MOCK_SUFFIX)} as answer from e"
 )
 def baseline_answers(spark, d):
-    rows = pipelines.baseline(_t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), _sourced(spark, d), TOP_K)
+    rows = pipelines.baseline(_t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), written(_sourced(spark, d), "chunks-sourced"), TOP_K)
     return rows.select("qid", F.size("sources").alias("n_sources"), "answer")
 
 
