@@ -88,7 +88,8 @@ def _worded(routed: DataFrame) -> DataFrame:
 
 
 def answer(questions: DataFrame, chunks: DataFrame, top_k: int = 5, llm: hooks.LLM | None = None, budget: int = context.BUDGET) -> DataFrame:
-    """``questions(qid, text, generated[, replies])`` to routes, evidence and answers, all in one plan.
+    """``questions(qid, text, generated[, replies])`` to routes, evidence and answers, all in one plan. ``chunks`` are read several
+    times: pass a table that is written. Their vectors are taken where they have some, else made in each search.
 
     ``replies`` is a map from a step to a model's reply to it: ``router``, ``rewriting``, ``multi_query``, ``decomposition``, ``hyde`` and
     ``self_query``; where a question has none, ``generated`` holds its wordings, sub-questions or passages, if any. What is done with a
@@ -119,18 +120,19 @@ def answer(questions: DataFrame, chunks: DataFrame, top_k: int = 5, llm: hooks.L
     routed = routed.withColumn("techniques", F.when(ranked, F.concat("techniques", F.array(F.lit("reranking")))).otherwise(F.col("techniques")))
     routed = written(_worded(routed), "routed")
     needed = routed.filter(F.col("route") != routing.SIMPLE)
-    own, made, of = with_vectors(chunks), retrieval.index(chunks), _attributed(chunks)
+    of = _attributed(chunks)
 
     def candidates(asked: DataFrame) -> DataFrame:
         """``asked(qid, text, question, generated, subquestions, wanted)`` to merged hits with their texts and wordings."""
         split = F.size(F.coalesce("subquestions", F.array().cast("array<string>"))) > 0
         every = asked.withColumn("generated", F.when(split, F.col("subquestions")).otherwise(F.col("generated")))
         wordings = retrieval.wordings(every, "generated").join(asked.select("qid", "wanted", split.alias("split")), "qid")
-        hits = retrieve(wordings.drop("split"), own, max(top_k, 8), made=made).join(asked.select("qid", split.alias("split")), "qid")
+        hits = retrieve(wordings.drop("split"), chunks, max(top_k, 8)).join(asked.select("qid", split.alias("split")), "qid")
+        hits = written(hits, "hits")  # a few a wording, merged in two ways
         plain = retrieval.merge(hits.filter(~F.col("split")), max(4 * top_k, 20)).withColumn("sub_index", F.lit(None).cast("int"))
         parts = retrieval.merge_decomposed(hits.filter("split")).select(*plain.columns)
         texts = wordings.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("query_idx", "text"))).alias("w"))
-        rows = plain.unionByName(parts).join(of, "chunk_id").join(texts, "qid").join(asked.select("qid", "question"), "qid")
+        rows = retrieval.met(of, written(plain.unionByName(parts), "merged")).join(texts, "qid").join(asked.select("qid", "question"), "qid")
         found = F.transform("queries", lambda i: F.col("w")[i])
         rows = rows.withColumn("subquestion", F.col("w")[F.col("sub_index")])
         return rows.withColumns({"variants": rerank.variants(F.col("question"), found, F.col("subquestion")), "n_found": F.size("queries"), "queries": found})

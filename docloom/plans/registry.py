@@ -452,8 +452,7 @@ _KEYWORD_OK = """(q.qid % 5 = 0 or (q.qid % 5 = 1 and false) or (q.qid % 5 = 3 a
 )
 def semantic_by_own_filter(spark, d):
     """Vector search of questions that each have a filter of their own, applied before the ten best are taken."""
-    chunks, e = _filtered_chunks(spark, d), embed.HashingEmbedder()
-    asked = _filtered_questions(spark, d)
+    e, asked = embed.HashingEmbedder(), _filtered_questions(spark, d)
     of = e.embed(asked, ["qid"], "text").join(asked.select("qid", "wanted"), "qid").withColumnRenamed("qid", "query")
     return _hits(filtering.topk_texts(of, _filtered_chunks(spark, d), 10, e).withColumnRenamed("query", "qid"))
 
@@ -936,7 +935,7 @@ def _sourced(spark, d):
 @query()
 def advanced_answers(spark, d):
     """The whole conditional pipeline over all benchmark items."""
-    rows = pipelines.answer(_generated(spark, d), _sourced(spark, d), TOP_K)
+    rows = pipelines.answer(_generated(spark, d), written(_sourced(spark, d), "chunks-sourced"), TOP_K)
     return rows.select("qid", "route", _listed("techniques").alias("techniques"), "confidence", "label", "action", "answer")
 
 
@@ -972,7 +971,7 @@ def baseline_answers(spark, d):
 @query()
 def pipelines_compared(spark, d):
     """The conditional pipeline and the baseline over all benchmark items, measured alike."""
-    asked, chunks = _generated(spark, d), pipelines.with_vectors(_sourced(spark, d))
+    asked, chunks = _generated(spark, d), written(_sourced(spark, d), "chunks-sourced")
     advanced = pipelines.answer(asked, chunks, TOP_K).select("qid", F.col("text").alias("question"), "answer", "context", "route")
     basic = pipelines.baseline(asked.select("qid", "text"), chunks, TOP_K)
     basic = basic.select("qid", F.col("text").alias("question"), "answer", "context", F.lit(routing.BASIC).alias("route"))
