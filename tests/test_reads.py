@@ -82,7 +82,7 @@ def no_tables(monkeypatch):
     monkeypatch.setattr(embed.HashingEmbedder, "embed", of_questions)
 
 
-@pytest.mark.parametrize("name", ["semantic_by_own_filter", "baseline_answers", "pipelines_compared"])
+@pytest.mark.parametrize("name", ["semantic_by_own_filter", "baseline_answers", "pipelines_compared", "replied_answers"])
 def test_no_vectors_or_postings_are_tables(spark, no_tables, name):
     assert registry.QUERIES[name](spark, DATA).count() >= 40
 
